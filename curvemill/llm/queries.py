@@ -20,6 +20,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curvemill.llm.near_dedup import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curvemill.llm.suffix_dedup import dedup_substrings
 
@@ -42,6 +49,7 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_near_dedup": op3_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_decontam": op7_decontam,
     "op10_window_dedup": op10_window_dedup,
