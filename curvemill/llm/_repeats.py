@@ -35,7 +35,7 @@ DECIDED, GROUPED, WINDOW = 0, 1, 2
 RECORD = "key long, kind int, doc_id long, dkey long, start int, left int, n int, body binary"
 _RECORD = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("dkey", pa.int64()), ("start", pa.int32()), ("left", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("dkeys", pa.binary()), ("pos", pa.binary())])
-_FLAGS = pa.schema([("dkey", pa.int64()), ("pos", pa.binary())])
+_FLAGS = pa.schema([("dkey", pa.int64()), ("pos", pa.int32())])
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def repeated_ranges(documents: DataFrame, anchors: Callable, records: Callable,
     base = base.withColumn("dkey", F.xxhash64("doc_id", "text")).repartition("dkey")
 
     sent = base.mapInArrow(_send(anchors, buckets), "bucket int, hashes binary, counts binary, dkeys binary, pos binary").repartition("bucket")
-    flags = sent.mapInArrow(_flag, "dkey long, pos binary").groupBy("dkey").agg(F.collect_list("pos").alias("pos"))
+    flags = sent.mapInArrow(_flag, "dkey long, pos int").groupBy("dkey").agg(F.collect_list("pos").alias("pos"))
     rows = base.join(flags.hint("shuffle_hash"), "dkey").select("doc_id", "text", "dkey", "pos").mapInArrow(_windows(anchors, records, strictly_smaller_doc), RECORD)
     for _ in range(2):  # the second time for windows of hot groups, if there are any
         rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_compared(compare, strictly_smaller_doc), RECORD)
@@ -134,11 +134,8 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = np.concatenate([order[yes], np.flatnonzero(n == 3)])
     keep = keep[np.argsort(d[keep], kind="stable")]
     d, p = d[keep], p[keep]
-    cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-    ends = np.concatenate([cuts[1:], [len(d)]])
-    for i in range(0, len(cuts), 10_000):
-        a, b = cuts[i : i + 10_000], ends[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(d[a]), pa.array([p[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], schema=_FLAGS)
+    for i in range(0, len(d), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(d[i : i + 100_000]), pa.array(p[i : i + 100_000])], schema=_FLAGS)
 
 
 def _windows(anchors: Callable, records: Callable, strictly: bool) -> Callable:
@@ -147,12 +144,12 @@ def _windows(anchors: Callable, records: Callable, strictly: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch["text"])
-            ids, dkeys, flags = batch["doc_id"].to_numpy(), batch["dkey"].to_numpy(), batch["pos"].to_pylist()
+            ids, dkeys = batch["doc_id"].to_numpy(), batch["dkey"].to_numpy()
+            flags, ends = batch["pos"].flatten().to_numpy().astype(np.int64), np.cumsum(np.concatenate([[0], batch["pos"].value_lengths().to_numpy()]))
             rows, seen = [], {}
             for i, j in steps(offsets):
                 a = anchors(data, offsets[i : j + 1])
-                want = [np.frombuffer(b"".join(x), np.int32) for x in flags[i:j]]
-                want = np.concatenate([w.astype(np.int64) | (k << 32) for k, w in enumerate(want)])
+                want = flags[ends[i] : ends[j]] | (np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])) << 32)
                 take = np.isin((a.doc << 32) | a.pos, want)
                 a = Anchors(*(x[take] for x in (a.doc, a.pos, a.hash, a.lo, a.hi)))
                 doc = a.doc + i
