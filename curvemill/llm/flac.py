@@ -262,7 +262,8 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block:
     coef, shift = np.zeros((most, len(lanes)), np.int64), np.zeros(len(lanes), np.int64)
     for o in range(1, 5):
         mine = np.flatnonzero(fixed[lanes] & (order == o))
-        coef[:o, mine] = np.array(_FIXED[o])[:, None]
+        if len(mine):
+            coef[:o, mine] = np.array(_FIXED[o])[:, None]
     own = np.flatnonzero(linear[lanes])
     if len(own):
         precision = bit.read(4, lanes[own]) + 1
