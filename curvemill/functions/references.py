@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A reference: an optional word, digits, an optional panel letter, bare, in brackets or after an underscore.
+#: Fixed value, the notation of a reference: an optional word, digits, an optional panel letter, bare, in brackets or after an underscore.
 FIGURE = r"(?i)^(?:fig(?:ure)?\.?\s+)?(\d+)\s*(?:[(_]?\s*([a-zA-Z])\)?)?$"
 
 

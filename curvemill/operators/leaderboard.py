@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,13 +31,15 @@ def html(board: DataFrame) -> str:
     """A page with the board; it has a row for each model, so it is made on the driver."""
     from html import escape
 
-    cells = []
-    for r in board.orderBy("rank").collect():
+    def line(r: Row) -> str:
         if r.status == PENDING:
-            cells.append(f'<tr class="pending"><td>{r["rank"]}</td><td>{escape(r.model_name)}</td><td class="score">—</td><td colspan="3">pending external run — {escape(r.note or "")}</td></tr>')
+            told = ["", "", "", f"waits for an external run. {r.note or ''}"]
         else:
-            cells.append(f'<tr><td>{r["rank"]}</td><td>{escape(r.model_name)}</td><td class="score">{r.mean_summary_score:.3f}</td><td>{r.n_figures}</td><td>{r.dataset_version}</td><td>{r.run_at}</td></tr>')
+            told = [f"{r.mean_summary_score:.3f}", str(r.n_figures), r.dataset_version or "", r.run_at or ""]
+        return "".join(f"<td>{escape(x)}</td>" for x in (str(r["rank"]), r.model_name, *told))
+
     top = latest(board).first()
-    said = f"Dataset {top.dataset_version}, run {top.run_at}" if top and top.run_at else "No scored runs yet"
-    rows = "\n".join(cells) or '<tr><td colspan="6">No results yet.</td></tr>'
-    return f"<!doctype html><html><body><p>{said}</p><table>\n{rows}\n</table></body></html>\n"
+    caption = f"Data set {top.dataset_version}, {top.run_at}" if top and top.run_at else "Nothing has been scored"
+    head = "".join(f"<th>{x}</th>" for x in ("Rank", "Model", "Score", "Figures", "Data set", "Run"))
+    body = "".join(f"<tr>{line(r)}</tr>" for r in board.orderBy("rank").collect())
+    return f"<!doctype html><meta charset=utf-8><title>Leaderboard</title><table><caption>{escape(caption)}</caption><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"

@@ -11,7 +11,7 @@ from curvemill import ports
 from curvemill.functions import geometry, references, responses
 from curvemill.functions.licensing import license_status
 from curvemill.functions.split import assign_split, unit_hash
-from curvemill.operators import assignment, curves, leaderboard, manifest, panels, scoring, tables, tracing
+from curvemill.operators import assignment, curves, leaderboard, manifest, pairings, panels, scoring, tables, tracing
 from curvemill.plans import views
 from curvemill.plans.views import table
 from curvemill.sources.files import with_default_scales, works
@@ -143,6 +143,8 @@ def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", references.image_name(F.col("l_orderkey") % 120, source, F.col("l_linenumber")).alias("name"), references.image_path(bare, "/data", "raw").alias("path"))
 
 
+PAIRINGS = "case quality when 1 then 'verified' else 'rejected' end as status", "case when toxic = 1 then 'toxic' end as excluded_reason"
+
 # --- ingest and manifest -----------------------------------------------------------------------------------------
 
 
@@ -159,6 +161,25 @@ def curve_bad_rows_void_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.without_spoilt_papers(manifest.parsed_curve_rows(views.curve_rows(spark, sf_dir)).join(orders, "l_orderkey")).select("l_orderkey", F.col("sid").alias("o_custkey"))
 
 
+@query(f"WITH {views.CURVE_ROWS} SELECT doc_id::VARCHAR AS figure_id, series_label, len(xs)::INTEGER AS n_points FROM labels JOIN pe ON l_orderkey = doc_id WHERE quality = 1 AND toxic = 0 AND error IS NULL AND len(xs) > 0")
+def pairing_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = manifest.verified(table(spark, sf_dir, "labels").selectExpr("cast(doc_id as string) as figure_id", *PAIRINGS))
+    parsed = manifest.parsed_curve_rows(views.curve_rows(spark, sf_dir)).withColumn("figure_id", F.col("l_orderkey").cast("string"))
+    return pairings.ground_truth(pairs, parsed).select("figure_id", "series_label", F.size("x_values").alias("n_points"))
+
+
+@query("""SELECT l_orderkey AS doc, l_linenumber AS page, l_partkey AS number, CASE WHEN l_linestatus = 'O' THEN 'embedded' ELSE 'page_render' END AS source FROM lineitem l WHERE (l_linestatus = 'O' AND l_quantity * 10 * 150 >= 22500)
+OR (l_linestatus <> 'O' AND NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber = l.l_linenumber AND m.l_linestatus = 'O' AND m.l_quantity * 10 * 150 >= 22500))""")
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc", "l_linenumber as page", "l_partkey as number", "if(l_linestatus = 'O', 'embedded', 'page_render') as source", "l_quantity * 10 as width", "150 as height")
+    return pairings.page_images(images).select("doc", "page", "number", "source")
+
+
+@query("SELECT 'v0-eval-pilot-n' || count(*) AS dataset_version FROM labels WHERE quality = 1 AND toxic = 0")
+def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate_verified(spark, sf_dir).agg(pairings.dataset_version(F.count("*")).alias("dataset_version"))
+
+
 @query(f"WITH {views.MANIFEST_ROWS} SELECT paper_id, figure_id, figure_reference, n_curves, CASE WHEN ('0x' || substr(sha256(paper_id), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < 0.2::DOUBLE THEN 'held_out' ELSE 'public' END AS split FROM mf")
 def manifest_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.figures(views.manifest_rows(spark, sf_dir)).drop("first_ord")
@@ -205,7 +226,6 @@ def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.not_yet_done(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-PAIRINGS = "case quality when 1 then 'verified' else 'rejected' end as status", "case when toxic = 1 then 'toxic' end as excluded_reason"
 
 
 @query("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0")

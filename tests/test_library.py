@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvemill import cli, ports
-from curvemill.operators import leaderboard, manifest, panels, tables, tracing
+from curvemill.operators import leaderboard, manifest, pairings, panels, tables, tracing
 from curvemill.sources import files, remote, schemas, sinks
 from curvemill.streaming import ingest
 
@@ -19,8 +19,8 @@ def test_leaderboard(spark):
     assert [(r["rank"], r.model_id, r.mean_summary_score) for r in board.orderBy("rank").collect()] == [(1, "a", 0.9), (2, "alpha", 0.5), (3, "zeta", 0.5), (4, "b", 0.2), (5, "p", None)]
     assert leaderboard.latest(board).first().run_at == "2026-03-01"
     page = leaderboard.html(board)
-    assert "0.900" in page and "pending external run — n" in page
-    assert "No results yet." in leaderboard.html(board.where("false"))
+    assert "<td>0.900</td>" in page and "waits for an external run. n" in page
+    assert "Nothing has been scored" in leaderboard.html(board.where("false"))
 
 
 def grid_of(spark, width, height, dark, **changes):
@@ -169,6 +169,17 @@ def test_incremental_ingest(spark, tmp_path):
     assert ingest.ingest(spark, source, "k int, v string", table, state, ["k"]) == 3
 
 
+def test_pairings(spark):
+    pairs = spark.createDataFrame([("p", "i", "a", "x.png"), ("q", "i", "z", "d/x.png"), ("r", "j", None, None)], "paper_id string, image_id string, panel_label string, image_path string")
+    boxes = spark.createDataFrame([("i", "a", 1)], "image_id string, label string, x0 int")
+    assert {r.paper_id: (r.x0, r.error) for r in pairings.with_panel(pairs, boxes).collect()} == {"p": (1, None), "q": (None, "KeyError: no panel z"), "r": (None, None)}
+    names = spark.createDataFrame([("p", "x.png", 7), ("q", "x.png", 8)], "paper_id string, name string, size int")
+    assert [(r.paper_id, r["size"]) for r in pairings.with_images(pairs, names).collect()] == [("p", 7)]
+    papers = spark.createDataFrame([("p", "", 1), ("q", "cc0", 0)], "paper_id string, license_id string, n_images int")
+    assert {r.paper_id: r.license_id for r in pairings.with_license(pairs, papers).collect()} == {"p": "cc-by", "q": "cc0"}
+    assert pairings.papers_with_images(papers, spark.createDataFrame([("p", ["a"]), ("q", ["b"])], "folder string, names array<string>")).count() == 1
+
+
 def test_command_line(capsys):
     assert cli.main(["version"]) == 0
     assert json.loads(capsys.readouterr().out)["tool"] == "curvemill"
