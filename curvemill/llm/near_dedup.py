@@ -4,8 +4,10 @@
    samples, and an odd sketch: a bitmap in which every (sample number, sample) flips one bit, so that the population
    count of two sketches' XOR tells how many samples differ.
 2. Equal sets are one class from here on; its least doc_id stands for it.
-3. Classes that share a band are candidates. A bucket of many is dealt as pairs of blocks of BLOCK members, so that no
-   task holds more than two blocks; no pairs are listed. A pair is looked at in the first band that it shares.
+3. Classes that share a band are candidates. A small bucket is left out if a larger one has all its members. A bucket of
+   many is dealt as pairs of blocks of BLOCK members, so that no task holds more than two blocks; no pairs are listed,
+   and a pair of a large bucket is looked at in the first band that it shares. The full sets of the candidates are
+   computed again from their texts; a bitmap of bounded size tells where, so the texts are not dealt out.
 4. In a block pair, candidates whose XOR count is beyond what SIMILARITY can give are dropped, the rest are compared by
    their full sets, nearest first; a pair that links already connect needs no comparison. Only links that join two
    groups come out, pointing at the least member.
@@ -30,6 +32,8 @@ from curvemill.llm._common import grams, mix, staged, steps, utf8, words_of
 from curvemill.llm.components import components
 
 SAMPLES, ROWS, BANDS, SKETCH_BITS, BLOCK = 128, 4, 24, 512, 512
+#: Members of a bucket that is small; places of the bitmap of wanted documents (16 MB; where it fills up, more sets than needed are sent).
+SMALL, PLACES = 32, 1 << 27
 _RANDOM = random.Random(20)
 _FACTORS = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(SAMPLES)], np.uint64)
 _FLIPS = np.array([_RANDOM.getrandbits(64) for _ in range(SAMPLES)], np.uint64)
@@ -94,9 +98,16 @@ def _signatures(words: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, bitmap):
+    """Sets of the documents whose place the bitmap has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(PLACES // 8, np.uint8)
+        for bucket, bits in bitmap.value.items():
+            wanted[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
         for batch in batches:
+            place = batch["place"].to_numpy()
+            batch = batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             data, offsets = utf8(batch["text"])
             for i, j in steps(offsets):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(data, offsets[i : j + 1], words)], pa.binary())], names=["id", "shingles"])
@@ -109,7 +120,8 @@ def _link(percent: int):
     limit = xor_limit(percent / 100)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, side, band = table["id"].to_numpy(), table["side"].to_numpy(), table["band_no"][0].as_py()
+        ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+        band = table["band_no"][0].as_py() if table["members"][0].as_py() > SMALL else 0
         m = len(ids)
         sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
         size = np.array([len(s) for s in sets])
@@ -163,17 +175,24 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     leads = leads.select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
 
     banded = leads.select("id", F.posexplode("bands").alias("band_no", "band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("members"), F.min("band_no").alias("band_no"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("which")).where("members > 1")
-    # buckets of the same members are looked at once, in their first band
-    buckets = buckets.groupBy("members", "which").agg(F.min_by("band", F.struct("band_no", "band")).alias("band"))
-    open_ = banded.join(buckets.select("band", "members"), "band")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    members = banded.join(buckets, "band")
+    small = members.where(F.col("members") <= SMALL).groupBy("band").agg(F.min("band_no").alias("band_no"), F.sort_array(F.collect_list("id")).alias("ids"))
+    # a document is in at most BANDS buckets, so as many at most have it as their least member
+    small = small.groupBy(F.col("ids")[0].alias("least")).agg(F.collect_list(F.struct(F.size("ids").alias("n"), (-F.col("band_no")).alias("early"), "band", "ids")).alias("all"))
+    inside = lambda b, c: ((c["n"] > b["n"]) | ((c["n"] == b["n"]) & (c["early"] > b["early"]))) & (F.size(F.array_except(b["ids"], c["ids"])) == 0)
+    needed = small.select(F.explode(F.filter("all", lambda b: ~F.exists("all", lambda c: inside(b, c)))).alias("b"))
+    needed = needed.select("b.band", (-F.col("b.early")).alias("band_no"), F.explode("b.ids").alias("id"), F.col("b.n").cast("long").alias("members"))
+    open_ = needed.unionByName(members.where(F.col("members") > SMALL))
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(1)), n_blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(o == own, 2).when(o > own, 0).otherwise(1).alias("side")))
-    dealt = staged(open_.select("band", "band_no", "id", F.explode(pairs).alias("p")).select("band", "band_no", "id", "p.*"), "buckets")
-    wanted = dealt.select("id").distinct()
-    sets = texts.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, shingles binary").dropDuplicates(["id"])
-    full = sets.join(leads, "id")
+    dealt = staged(open_.select("band", "band_no", "members", "id", F.explode(pairs).alias("p")).select("band", "band_no", "members", "id", "p.*"), "buckets")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
+    wanted = dealt.select((place("id") + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+    bitmap = documents.sparkSession.sparkContext.broadcast({r.bucket: bytes(r.bits) for r in wanted.collect()})
+    sets = texts.where("doc_id is not null").withColumn("place", place("doc_id")).mapInArrow(_sets(words, bitmap), "id long, shingles binary")
+    full = leads.join(sets.dropDuplicates(["id"]), "id")
     links = dealt.join(full, "id").groupBy("band", "i", "j").applyInArrow(_link(percent), "a long, b long")
     roots = components(links)
 
