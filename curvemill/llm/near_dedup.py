@@ -170,7 +170,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(texts.mapInArrow(_signatures(words), "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
     known = signed.where("doc_id is not null and n > 0")
-    classes = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"))
+    classes = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     leads = known.join(classes.select(F.col("id").alias("doc_id"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), "doc_id").where("h1 = c1 and h2 = c2")
     leads = leads.select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
 
@@ -196,6 +196,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     links = dealt.join(full, "id").groupBy("band", "i", "j").applyInArrow(_link(percent), "a long, b long")
     roots = components(links)
 
-    rooted = classes.join(roots, "id", "left").select("h1", "h2", F.col("n").alias("n_"), F.coalesce("root", "id").alias("root"))
+    # a class of one text without links needs no answer; the written table lets Spark split a class with very many copies
+    rooted = classes.join(roots, "id", "left").where("copies > 1 or root is not null")
+    rooted = staged(rooted.select("h1", "h2", F.col("n").alias("n_"), F.coalesce("root", "id").alias("root")), "classes")
     out = signed.join(rooted, (signed.h1 == rooted.h1) & (signed.h2 == rooted.h2) & (signed.n == rooted.n_) & signed.doc_id.isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
