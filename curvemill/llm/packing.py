@@ -20,6 +20,8 @@ import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,33 +33,67 @@ from curvemill.llm._common import steps, utf8
 
 #: Context sizes, the longest first; tokens of a step; token that ends a document.
 TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
-#: Pieces of text whose ids a task remembers, and tokens that it packs together.
-REMEMBERED, HELD_TOKENS = 300_000, 4_000_000
+#: Pieces of text whose ids a worker remembers at once, and tokens that it packs together.
+REMEMBERED, HELD_TOKENS = 400_000, 4_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_id", pa.int64())])
 
 
 class Tokens:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    Remembers pieces in two generations of at most REMEMBERED each; a worker keeps them from task to task. ASCII is
+    lowered first, as the tokenizer does it anyway (but where a text may hold a special token, which is told by case),
+    and a mark of punctuation after an ASCII letter or digit ends a piece of its own.
+    """
+
+    made: ClassVar[dict[str, Tokens]] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+
+    @classmethod
+    def shared(cls, path: str) -> Tokens:
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
-        new = list({p for ps in pieces for p in ps} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({p for ps in pieces for p in ps})
+        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        flat = list(chain.from_iterable(pieces))
+        ids = list(map(self.known.get, flat))
+        if gaps := [i for i, x in enumerate(ids) if x is None]:
+            self._learn({flat[i] for i in gaps})
+            for i in gaps:
+                ids[i] = self.known[flat[i]]
+        end, at, out = np.array([END], "<u4").tobytes(), 0, []
+        for ps in pieces:
+            out.append(b"".join(ids[at : at + len(ps)]) + end)
+            at += len(ps)
+        return out
+
+    def _learn(self, wanted: set[bytes]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        ended, new = [], set()
+        for piece in wanted:
+            if found := self.old.get(piece):
+                self.known[piece] = found
+            elif piece[-1:] in b".,!?;:" and piece[-2:-1].isalnum():
+                ended.append(piece)
+                new.update(x for x in (piece[:-1], piece[-1:]) if x not in self.known)
+            else:
+                new.add(piece)
+        new = [x for x in new if x not in self.known]
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
                 self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        end, get = np.array([END], "<u4").tobytes(), self.known.__getitem__
-        return [b"".join(map(get, ps)) + end for ps in pieces]
+        for piece in ended:
+            self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1:]]
 
 
 Piece = tuple[int, int, int]  # number of the document, first token, tokens
@@ -121,7 +157,7 @@ class Packer:
 
 def _packed(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = Tokens(path), Packer()
+        tokens, packer = Tokens.shared(path), Packer()
         first = TaskContext.get().partitionId() << 32
         names: list = []
         ids: dict[int, bytes] = {}
