@@ -51,6 +51,12 @@ def test_secret_spans_against_brute_force(spark):
     assert any("entropy" in s for _, s in got.values())
 
 
+def test_long_rule_lines(spark):
+    rows = [(1, "-" * 100_000), (2, "a_" * 50_000), (3, "=" * 5000 + " " + "-/" * 5000), (4, "password=abcdefghijkl")]
+    got = {r.doc_id: len(r.spans) for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "a password=abcdefghijkl b"), (2, "clean"), (3, None), (4, "0123456789abcdef0")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.find_secrets(frame)).collect()}
