@@ -5,7 +5,8 @@ window of WINDOW characters slides one character at a time; the counts of the ch
 that enters and the one that leaves, and with them the sum of c * log2(c) (in millionths, so that it stays exact), from
 which the window's Shannon entropy follows: log2(WINDOW) - sum / WINDOW. A candidate's character class sets the least
 entropy of a secret. The span reaches from the first such window to the end of the last. Candidates that an allow-list
-pattern matches, or that touch a base span, add none.
+pattern matches, or that touch a base span, add none. Letters of one case are told from words by entropy alone, so that
+only a part of such keys is found.
 
 Null counts as empty; texts without a match have empty span lists; extra columns are kept.
 """
@@ -27,9 +28,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidate strings, the alphabet whose characters are counted, and the window.
 CANDIDATE, ALPHABET, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20
 #: Character classes, the first that fits holds: pattern and least entropy in bits (of at most log2(20) = 4.32).
-CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9A-Fa-f]+$", 3.0), (r"^[A-Za-z]+$", 9.0), (r"^[A-Za-z0-9]+$", 3.7), (r"", 3.6))
-#: Candidates that match one of these are known not to be secrets.
-ALLOWED = (r"(?i)example|sample|placeholder|changeme|your[_-]", r"(?i)abcdefghij|0123456789|x{8}", r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^[A-Za-z_/=+-]*$")
+#: Digits only are of the kind hex already. Without a digit, upper and lower case that change faster than in names are
+#: judged as keys; the rest may be words, slugs or paths and needs more.
+CLASSES = ((r"^[0-9A-Fa-f]+$", 3.0), (r"^[A-Za-z]*[0-9][A-Za-z0-9]*$", 3.7), (r"[0-9]", 3.6), (r"[a-z][A-Z]{2}[a-z]|[a-z][A-Z][a-z][A-Z]", 3.6), (r"", 4.1))
+#: Candidates that match one of these as a whole are known not to be secrets: placeholders, alphabets, UUIDs. No group
+#: may repeat without a bound: java.util.regex recurses for each turn.
+ALLOWED = (
+    r"(?i)^(?:(?:your|my|the|example|sample|placeholder|changeme|insert|api|access|secret|private|client|auth|key|token|password|value|id|goes|here)[_/=+-]?){1,24}$",
+    r"(?i)^(?:(?:abcdefghij(?:klmnopqrstuvwxyz)?|0123456789|1234567890)[+/_=-]{0,2}){1,9}$",
+    r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
+)
 
 
 def _scaled(count: int) -> int:
@@ -55,21 +63,26 @@ def _spans(matches: Column, positions: Column, kind: int, keep) -> Column:
 
 def high_entropy(candidate: Column) -> Column:
     """First and last start of windows whose entropy reaches what the candidate's class asks; null ones if there are none."""
-    chars = F.split(candidate, "")
+    chars, pad = F.split(candidate, ""), F.array_repeat(F.lit(None).cast("string"), WINDOW)
+    # each character with the one that leaves; split and limit are outside of the step, which would take them anew each time
+    moves = F.slice(F.arrays_zip(F.concat(chars, pad).alias("enters"), F.concat(pad, chars).alias("leaves")), 1, F.length(candidate))
     terms = F.array(*(F.lit(_scaled(c)) for c in range(WINDOW + 1)))
     most = F.lit(-1)
     for pattern, least in reversed(CLASSES):
         most = F.when(candidate.rlike(pattern), F.lit(round(WINDOW * (math.log2(WINDOW) - least) * 1e6))).otherwise(most)
     term = lambda n: F.get(terms, n)
 
-    def step(s: Column, i: Column) -> Column:
-        enters = F.instr(F.lit(ALPHABET), F.get(chars, i)) - 1
-        leaves = F.when(i >= WINDOW, F.instr(F.lit(ALPHABET), F.get(chars, i - WINDOW)) - 1).otherwise(-1)
+    def step(s: Column, move: Column) -> Column:
+        i = s["i"]
+        enters = F.instr(F.lit(ALPHABET), move["enters"]) - 1
+        leaves = F.coalesce(F.instr(F.lit(ALPHABET), move["leaves"]) - 1, F.lit(-1))
         less = F.transform(s["counts"], lambda c, k: c - (k == leaves).cast("int"))
         gone = F.when(leaves < 0, 0).otherwise(term(F.get(s["counts"], leaves)) - term(F.get(less, leaves)))
         total = s["sum"] - gone - term(F.get(less, enters)) + term(F.get(less, enters) + 1)
-        high = (i >= WINDOW - 1) & (total <= most)
+        high = (i >= WINDOW - 1) & (total <= s["most"])
         return F.struct(
+            (i + 1).alias("i"),
+            s["most"].alias("most"),
             F.transform(less, lambda c, k: c + (k == enters).cast("int")).alias("counts"),
             total.alias("sum"),
             F.when(high & s["first"].isNull(), i - (WINDOW - 1)).otherwise(s["first"]).alias("first"),
@@ -77,8 +90,8 @@ def high_entropy(candidate: Column) -> Column:
         )
 
     none = F.lit(None).cast("int")
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).alias("sum"), none.alias("first"), none.alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    start = F.struct(F.lit(0).alias("i"), most.alias("most"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).alias("sum"), none.alias("first"), none.alias("last"))
+    return F.aggregate(moves, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import string
 import sys
 from pathlib import Path
 
@@ -51,6 +52,24 @@ def test_secret_spans_against_brute_force(spark):
     assert any("entropy" in s for _, s in got.values())
 
 
+def test_keys_without_digits(spark):
+    rng = random.Random(5)
+    letters = string.ascii_letters
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in (letters, letters + "+/") for n in (20, 32) for _ in range(100)]
+    known = ["sample/" + keys[-1], keys[-2] + "EXAMPLE", "0123456789" + keys[-3], "xxxxxxxx" + keys[-4]]
+    plain = """Donaudampfschifffahrtsgesellschaft counterrevolutionaries pneumonoultramicroscopicsilicovolcanoconiosis antidisestablishmentarianism
+        /usr/local/lib/python/site-packages the-cat-sat-on-the-mat-and-then-it-slept getElementsByClassName parseHTMLDocumentFromString
+        MAX_CONNECTIONS_PER_HOST_LIMIT snake_case_name_of_a_function your_secret_api_key_goes_here ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/
+        123e4567-e89b-12d3-a456-426614174000""".split()
+    rows = list(enumerate(keys + known + plain))
+    found = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: any(s.kind == 3 for s in r.spans) for r in found.select("doc_id", "spans").collect()}
+    hits = [got[i] for i, _ in rows]
+    assert sum(hits[:100]) >= 75 and sum(hits[200:300]) >= 75 and sum(hits[100:200]) >= 95 and sum(hits[300:400]) >= 95
+    assert all(hits[400:404]) and not any(hits[404:]), [t for i, t in rows[404:] if hits[i]]
+    assert all(x < math.log2(secret_scan.WINDOW) for _, x in secret_scan.CLASSES)
+
+
 def test_long_rule_lines(spark):
     rows = [(1, "-" * 100_000), (2, "a_" * 50_000), (3, "=" * 5000 + " " + "-/" * 5000), (4, "password=abcdefghijkl")]
     got = {r.doc_id: len(r.spans) for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
