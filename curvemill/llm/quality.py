@@ -108,43 +108,6 @@ def fit(labelled: DataFrame) -> Model | None:
     return Model(weights, np.array([r.label for r in found]))
 
 
-def score(self, weights: np.ndarray) -> np.ndarray:
-        cosine = np.maximum(self._unit(weights) @ self.vectors.T, 0)
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.take_along_axis(cosine, near, axis=1) ** 8
-        total = weight.sum(axis=1)
-        voted = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
-        return np.where(total > 1e-12, voted, self.labels.mean())
-
-
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch["text"])
-        for k in range(batch.num_rows):
-            row = term_weights(data, offsets[k : k + 2])[0]
-            index = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(k, 1), batch["label"].slice(k, 1), pa.array([index.astype(np.int32).tobytes()], pa.binary()), pa.array([row[index].tobytes()], pa.binary())], names=["doc_id", "label", "index", "weight"])
-
-
-def fit(labelled: DataFrame) -> Model | None:
-    """A model from rows (doc_id, text, label 0 or 1); None if there are none. Uses about TRAIN_PER_LABEL rows of each label, chosen by hash."""
-    rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and text is not null and doc_id is not null")
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not counts:
-        return None
-    share = F.when(F.col("label") == 0, TRAIN_PER_LABEL / max(1, counts.get(0, 1))).otherwise(TRAIN_PER_LABEL / max(1, counts.get(1, 1)))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < share * 1_000_000)
-    found = sample.mapInArrow(_vectors, "doc_id string, label int, index binary, weight binary").collect()
-    if not found:
-        return None
-    found.sort(key=lambda r: (r.doc_id, bytes(r["index"]), r.label))
-    weights = np.zeros((len(found), TERMS), np.float32)
-    for k, r in enumerate(found):
-        weights[k, np.frombuffer(r["index"], np.int32)] = np.frombuffer(r.weight, np.float32)
-    return Model(weights, np.array([r.label for r in found]))
-
-
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
     """documents with score: how much of the neighbours' weight has label 1."""
     if model is None:
