@@ -16,25 +16,29 @@ packed as often; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
-from itertools import chain
 from typing import ClassVar
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import steps, utf8
+from curvemill.llm._common import spread, steps, utf8
 
 #: Context sizes, the longest first; tokens of a step; token that ends a document.
 TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
 #: Pieces of text whose ids a worker remembers at once, and tokens that it packs together.
-REMEMBERED, HELD_TOKENS = 400_000, 4_000_000
+REMEMBERED, HELD_TOKENS = 600_000, 4_000_000
+#: Bytes of text that are cut into pieces at a time.
+STEP_BYTES = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_id", pa.int64())])
 
@@ -44,7 +48,8 @@ class Tokens:
 
     Remembers pieces in two generations of at most REMEMBERED each; a worker keeps them from task to task. ASCII is
     lowered first, as the tokenizer does it anyway (but where a text may hold a special token, which is told by case),
-    and a mark of punctuation after an ASCII letter or digit ends a piece of its own.
+    and a mark of punctuation after letters or an ASCII digit ends a piece of its own. New pieces of letters only are
+    one word to the tokenizer, whose last token says so; they are encoded side by side in one text and cut there.
     """
 
     made: ClassVar[dict[str, Tokens]] = {}
@@ -54,6 +59,11 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.plain = Tokenizer.from_file(path)  # for what is normalised and lowered already
+        self.plain.normalizer = None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
 
     @classmethod
     def shared(cls, path: str) -> Tokens:
@@ -62,39 +72,70 @@ class Tokens:
         return cls.made[path]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        flat = list(chain.from_iterable(pieces))
-        ids = list(map(self.known.get, flat))
+        column = pa.array(texts, pa.binary()).cast(pa.string())
+        lowered = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        pieces = pc.ascii_split_whitespace(lowered)
+        coded = pieces.flatten().dictionary_encode()  # each distinct piece of these texts is looked up once
+        listed = pa.LargeListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        distinct = pc.binary_join(listed, " ")[0].as_py().encode().split(b" ")  # pieces have no blanks
+        ids = list(map(self.known.get, distinct))
         if gaps := [i for i, x in enumerate(ids) if x is None]:
-            self._learn({flat[i] for i in gaps})
+            self._learn({distinct[i] for i in gaps})
             for i in gaps:
-                ids[i] = self.known[flat[i]]
-        end, at, out = np.array([END], "<u4").tobytes(), 0, []
-        for ps in pieces:
-            out.append(b"".join(ids[at : at + len(ps)]) + end)
-            at += len(ps)
-        return out
+                ids[i] = self.known[distinct[i]]
+        ids.append(np.array([END], "<u4").tobytes())
+        # the pieces of all texts as numbers of distinct ones, with the end token after each text
+        stops = np.cumsum(pieces.value_lengths().to_numpy())
+        order = np.insert(coded.indices.to_numpy(), stops, len(distinct))
+        size = np.array([len(x) // 4 for x in ids])
+        tokens = np.frombuffer(b"".join(ids), "<u4")[spread((np.cumsum(size) - size)[order], size[order])].tobytes()
+        ends = (4 * np.cumsum(size[order])[stops + np.arange(len(stops))]).tolist()
+        return [tokens[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, wanted: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
-        ended, new = [], set()
+        ended, words, others = [], set(), set()
         for piece in wanted:
             if found := self.old.get(piece):
                 self.known[piece] = found
-            elif piece[-1:] in b".,!?;:" and piece[-2:-1].isalnum():
+            elif is_word(piece):
+                words.add(piece)
+            elif piece[-1:] in b".,!?;:" and (is_word(piece[:-1]) or piece[-2:-1].isalnum()):
                 ended.append(piece)
-                new.update(x for x in (piece[:-1], piece[-1:]) if x not in self.known)
+                (words if is_word(piece[:-1]) else others).add(piece[:-1])
+                others.add(piece[-1:])
             else:
-                new.add(piece)
-        new = [x for x in new if x not in self.known]
+                others.add(piece)
+        new = [x for x in words if x not in self.known]
         for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+            self._learn_words(new[i : i + 20_000])
+        self._learn_each([x for x in others if x not in self.known])
         for piece in ended:
             self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1:]]
 
+    def _learn_words(self, words: list[bytes]) -> None:
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(words):  # the tokenizer's notion of a letter isn't ours
+            return self._learn_each(words)
+        data, stops = ids.tobytes(), stops.tolist()
+        self.known.update(zip(words, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
+    def _learn_each(self, pieces: list[bytes]) -> None:
+        for i in range(0, len(pieces), 20_000):
+            some = pieces[i : i + 20_000]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+
+
+def is_word(piece: bytes) -> bool:
+    """Whether a piece is letters only, normalised and in lower case."""
+    if piece.isascii():
+        return piece.isalpha() and piece.islower()
+    text = piece.decode()
+    return text.isalpha() and text.lower() == text and is_normalized("NFC", text)
+
 
 Piece = tuple[int, int, int]  # number of the document, first token, tokens
 
@@ -191,7 +232,7 @@ def _packed(path: str) -> Callable:
         for batch in batches:
             data, offsets = utf8(batch["text"])
             docs = batch["doc_id"].to_pylist()
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, STEP_BYTES):
                 texts = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
                 for name, found in zip(docs[i:j], tokens.of(texts), strict=True):
                     doc, n = len(names), len(found) // 4
