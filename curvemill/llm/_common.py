@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,20 +21,34 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a local master, where all is one machine, gets a temporary one if it is unset (tests)."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found := "file://" + tempfile.mkdtemp(prefix="curvemill-"))
     return found.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The caller may let go of a table that nothing reads any more by dropped(); what a lazy result reads has to stay, so
+    the session's folder is emptied when the application ends, by whoever runs it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete a staged table."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without copying, and int64 offsets; null counts as empty."""
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "") if column.null_count else column
@@ -77,14 +92,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words (runs of bytes that aren't white space) of documents: 64-bit hashes, starts, ends in data[offsets[0]:offsets[-1]], and the number of each document's first word."""
+#: Words longer than this are hashed whole; a shorter one is the sum of a random number for each of its bytes at its place.
+_LONG = 32
+_RANDOM = np.random.default_rng(20).integers(0, 1 << 64, (2, _LONG * 256), np.uint64)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, streams: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words (runs of bytes that aren't white space) of documents: hashes, starts, ends in data[offsets[0]:offsets[-1]], and the number of each document's first word.
+
+    streams says how many independent 64-bit hashes a word gets; with two, hashes has two rows.
+    """
     base = int(offsets[0])
     part = data[base : int(offsets[-1])]
     off = offsets - base
-    if not len(part):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, U64), none, none, np.zeros(len(off), np.int64)
+    shape = lambda h: h[0] if streams == 1 else h
     word = ~_IS_SPACE[part]
     first = word.copy()
     inner = np.ones(len(part) + 1, bool)
@@ -94,16 +115,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
     last[:-1] &= ~(word[1:] & inner[1:-1])
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
-        return np.zeros(0, U64), starts, ends, np.zeros(len(off), np.int64)
-    flat = (_LOWER[part] if lower else part)[word].astype(U64)
-    flat += U64(1)
+        return shape(np.zeros((streams, 0), U64)), starts, ends, np.zeros(len(off), np.int64)
+    if lower:
+        part = _LOWER[part]
     lens = ends - starts
     at = np.cumsum(lens) - lens
-    powers = np.multiply.accumulate(np.full(int(lens.max()), _ODD[0], U64))
-    flat *= powers[np.arange(len(flat)) - np.repeat(at, lens)]
-    hashes = np.add.reduceat(flat, at)
+    place = np.arange(int(lens.sum())) - np.repeat(at, lens)
+    cell = (np.minimum(place, _LONG - 1) << 8) | part[word]
+    hashes = np.stack([np.add.reduceat(table[cell], at) for table in _RANDOM[:streams]])
     hashes += lens.astype(U64) * _ODD[1]
-    return mix(hashes), starts, ends, np.searchsorted(starts, off)
+    for k in np.flatnonzero(lens > _LONG).tolist():
+        digest = hashlib.blake2b(part[starts[k] : ends[k]].tobytes(), digest_size=16).digest()
+        hashes[:, k] = np.frombuffer(digest, U64)[:streams]
+    return shape(mix(hashes)), starts, ends, np.searchsorted(starts, off)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

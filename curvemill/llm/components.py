@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import staged
+from curvemill.llm._common import dropped, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,4 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
-        edges = staged(small, "links")
+        old, edges = edges, staged(small, "links")
+        dropped(old)

@@ -50,9 +50,9 @@ def _word_anchors(hashes: np.ndarray, first: np.ndarray) -> _repeats.Anchors:
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, a: _repeats.Anchors) -> tuple[list, list, list]:
-    """Of each anchor: 0, number of its windows, and the windows' 64-bit fingerprints."""
-    hashes, _, _, first = words_of(data, offsets, lower=False)
-    prints = grams(hashes, WINDOW)
+    """Of each anchor: 0, number of its windows, and the windows' fingerprints of 128 bits."""
+    hashes, _, _, first = words_of(data, offsets, lower=False, streams=2)
+    prints = np.stack([grams(h, WINDOW) for h in hashes], axis=1)
     at = first[a.doc] + a.lo
     n = a.hi - a.lo + 1
     return [0] * len(at), n.tolist(), [prints[x:y].tobytes() for x, y in zip(at.tolist(), (at + n).tolist(), strict=True)]
@@ -66,7 +66,7 @@ class Compare:
         for row in rows:
             body, doc, begun = row[7], row[2], None
             for i in range(row[6]):
-                if seen.setdefault(body[8 * i : 8 * i + 8], doc) < doc:
+                if seen.setdefault(body[16 * i : 16 * i + 16], doc) < doc:
                     begun = i if begun is None else begun
                 elif begun is not None:
                     yield row, row[4] + begun, i - begun
@@ -77,8 +77,8 @@ class Compare:
     @staticmethod
     def single(row: tuple) -> Iterator[tuple]:
         for i in range(row[6]):
-            one = row[7][8 * i : 8 * i + 8]
-            yield int.from_bytes(one, "little", signed=True), _repeats.WINDOW, row[2], row[3], row[4] + i, 0, 1, one
+            one = row[7][16 * i : 16 * i + 16]
+            yield int.from_bytes(one[:8], "little", signed=True), _repeats.WINDOW, row[2], row[3], row[4] + i, 0, 1, one
 
 
 def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:

@@ -91,3 +91,36 @@ def test_intervals_of_common_prefixes():
     assert list(suffix_dedup.intervals([0, 3, 3])) == [(1, 4, 3, 0)]
     assert suffix_dedup.common(b"abcd", b"abxd") == 2
     assert suffix_dedup.common(b"abc", b"abcd") == 3
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one.upper()} {tail.upper()} x"), (4, f"{one} " * 60), (5, f"{other} " * 60), (6, f"{one} {other} {one}"), (7, f"{other} {one} {other}"), (8, f"{one[:40]} x"), (9, f"{other[:40]} x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(window_dedup.dedup_windows(frame), "doc_id", "n_words", "n_removed", F.sha2("kept", 256)) == brute.windows(rows)
+    near = rows_of(near_dedup.near_duplicates(frame, 3, 85), "doc_id", "n_shingles", "component_id", F.expr("doc_id = component_id"))
+    assert near == brute.near(rows)
+
+
+def test_one_id_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    frame = spark.createDataFrame([(5, a), (5, b), (7, a + " more"), (8, b), (9, "c d e f")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(frame, 3, 85).select("doc_id", "component_id").collect())
+    assert got == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+
+
+def test_large_buckets_of_several_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(40):  # a chain: each differs from the one before in a few words, far ends in many
+        rows.append((k, " ".join([*(f"new{i}" for i in range(2 * k)), *base[2 * k :]])))
+    found = rows_of(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85), "doc_id", "n_shingles", "component_id", F.expr("doc_id = component_id"))
+    assert found == brute.near(rows)
