@@ -31,9 +31,10 @@ from curvemill.llm._common import steps, utf8
 
 #: Records of one anchor that a task holds at once; what goes beyond is compared window by window.
 HOT = 20_000
+SALTS = 64
 DECIDED, GROUPED, WINDOW = 0, 1, 2
 RECORD = "key long, kind int, doc_id long, dkey long, start int, left int, n int, body binary"
-_RECORD = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("dkey", pa.int64()), ("start", pa.int32()), ("left", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
+RECORD_SCHEMA = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("dkey", pa.int64()), ("start", pa.int32()), ("left", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("dkeys", pa.binary()), ("pos", pa.binary())])
 _FLAGS = pa.schema([("dkey", pa.int64()), ("pos", pa.int32())])
 
@@ -76,11 +77,23 @@ def repeated_ranges(documents: DataFrame, anchors: Callable, records: Callable,
     sent = base.mapInArrow(_send(anchors, buckets), "bucket int, hashes binary, counts binary, dkeys binary, pos binary").repartition("bucket")
     flags = sent.mapInArrow(_flag, "dkey long, pos int").groupBy("dkey").agg(F.collect_list("pos").alias("pos"))
     rows = base.join(flags.hint("shuffle_hash"), "dkey").select("doc_id", "text", "dkey", "pos").mapInArrow(_windows(anchors, records, strictly_smaller_doc), RECORD)
-    for _ in range(2):  # the second time for windows of hot groups, if there are any
-        rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_compared(compare, strictly_smaller_doc), RECORD)
+    rows = compared(rows, compare, strictly_smaller_doc)
     return base, rows.groupBy("dkey").agg(F.collect_list(F.struct("doc_id", "start", "n")).alias("ranges"))
 
 
+def compared(rows: DataFrame, compare: Callable, strictly_smaller_doc: bool) -> DataFrame:
+    """Records to ranges that are covered (kind DECIDED).
+
+    Groups are compared first. Windows of hot groups, if there are any, are dealt by their digest and a salt, where all
+    but the first are settled; the firsts of the salts meet at last, so no task gets more than SALTS rows of one digest
+    and 1 / SALTS of its occurrences.
+    """
+    salt = F.pmod(F.xxhash64("dkey", F.lit(3)), F.lit(SALTS))
+    for at, last in ((["key"], False), (["key", salt], False), (["key"], True)):
+        rows = rows.repartition(*at).sortWithinPartitions("key", "doc_id", "start").mapInArrow(_compared(compare, strictly_smaller_doc, last), RECORD)
+    return rows
+
+
 def cut(base: DataFrame, ranges: DataFrame, function: Callable, schema: str) -> DataFrame:
     """function over batches of (doc_id, text, ranges) for all documents."""
     return base.join(ranges.hint("shuffle_hash"), "dkey", "left").select("doc_id", "text", "ranges").mapInArrow(function, schema)
@@ -168,18 +181,18 @@ def _windows(anchors: Callable, records: Callable, strictly: bool) -> Callable:
                         out.append((dkey, DECIDED, doc, dkey, start, 0, n, None))
                 else:
                     out.append((h, GROUPED, doc, dkey, start, left, n, body))
-            yield from _batches(out)
+            yield from record_batches(out)
 
     return run
 
 
-def _batches(rows: list[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+def record_batches(rows: list[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(rows), size):
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows[i : i + size], strict=True), _RECORD, strict=True)], schema=_RECORD)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows[i : i + size], strict=True), RECORD_SCHEMA, strict=True)], schema=RECORD_SCHEMA)
 
 
-def _compared(compare: Callable, strictly: bool) -> Callable:
-    """Compare records sorted by key: groups as a whole, windows as a stream that holds the digests of one key."""
+def _compared(compare: Callable, strictly: bool, last: bool) -> Callable:
+    """Compare records sorted by key: groups as a whole, windows as a stream that holds the digests of one key; unless it is the last time, the first windows go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -205,9 +218,12 @@ def _compared(compare: Callable, strictly: bool) -> Callable:
                     group.clear()
                     key, hot, seen = row[0], False, {}
                 if row[1] == WINDOW:
-                    first = seen.setdefault(row[7], (row[2], row[4]))
+                    first = seen.setdefault(row[7][:16], (row[2], row[4]))
                     if row[2] > first[0] or (not strictly and row[2] == first[0] and row[4] > first[1]):
-                        merged.setdefault(row[3], (row[2], []))[1].append((row[4], row[4] + 1))
+                        for _, start, n in compare.places(row, 0, 1):
+                            merged.setdefault(row[3], (row[2], []))[1].append((start, start + n))
+                    elif not last:
+                        out.append(row)
                 elif hot:
                     out.extend(compare.single(row))
                 else:
@@ -217,12 +233,12 @@ def _compared(compare: Callable, strictly: bool) -> Callable:
                             out.extend(compare.single(r))
                         group.clear()
                 if len(out) >= 10_000:
-                    yield from _batches(out)
+                    yield from record_batches(out)
                     out.clear()
             rest()
         close()
         rest()
-        yield from _batches(out)
+        yield from record_batches(out)
 
     return run
 

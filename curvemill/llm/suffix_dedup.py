@@ -108,6 +108,10 @@ class Compare:
                         if top >= least:
                             yield row, row[4] + row[5] - top, top - least + 1
 
+    @staticmethod
+    def places(row: tuple, at: int, n: int) -> Iterator[tuple[tuple, int, int]]:
+        yield row, row[4] + at, n
+
     @staticmethod
     def single(row: tuple) -> Iterator[tuple]:
         """The windows of a record of a hot group, each dealt by its own digest."""

@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,9 +51,48 @@ def test_windows_against_brute_force(docs, texts):
     assert rows_of(window_dedup.dedup_windows(docs), "doc_id", "n_words", "n_removed", F.sha2("kept", 256)) == brute.windows(texts)
 
 
+def window_rows(docs):
+    return rows_of(window_dedup.dedup_windows(docs), "doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+
+
 def test_windows_with_a_full_sketch(docs, texts, monkeypatch):
-    monkeypatch.setattr(window_dedup, "count_min", lambda d: (1 << 12, {k: __import__("zlib").compress(b"\xff" * (1 << 9)) for k in range(2)}))
-    assert rows_of(window_dedup.dedup_windows(docs), "doc_id", "n_words", "n_removed", F.sha2("kept", 256)) == brute.windows(texts)
+    monkeypatch.setattr(window_dedup, "likely", lambda sketch, prints, replies: np.ones(len(prints), bool))
+    assert window_rows(docs) == brute.windows(texts)
+
+
+def test_windows_of_many_chunks_and_blocks(docs, texts, monkeypatch):
+    monkeypatch.setattr(window_dedup, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(window_dedup, "BLOCK_CELLS", 1 << 14)
+    sketch = window_dedup.Sketch.of(300_000)
+    assert sketch.chunks > 50 and sketch.block_bits > 3
+    assert window_rows(docs) == brute.windows(texts)
+
+
+def test_sketch_estimates():
+    rng = np.random.default_rng(1)
+    sketch = window_dedup.Sketch.of(6 * 400_000)
+    chunks = [rng.integers(0, 1 << 64, 100_000, np.uint64) for _ in range(4)]
+    shared = chunks[0][:500]
+    chunks[3][:500] = shared
+    total = np.zeros((window_dedup.DEPTH, 1 << sketch.bits), np.int64)
+    for prints in chunks:
+        for row in range(window_dedup.DEPTH):
+            cells = np.unique(sketch.cells(prints, row))
+            sent = window_dedup.packed(cells)
+            assert (window_dedup.unpacked(*sent) == cells).all()
+            total[row, cells] += 1
+    for prints in chunks:
+        replies = {}
+        for row in range(window_dedup.DEPTH):
+            cells = np.unique(sketch.cells(prints, row))
+            block = sketch.blocks(cells)
+            for b in np.unique(block).tolist():
+                replies[row, b] = np.packbits(total[row, cells[block == b]] > 1).tobytes()
+        keep = window_dedup.likely(sketch, prints, replies)
+        assert keep[np.isin(prints, shared)].all()
+        assert keep[~np.isin(prints, shared)].mean() < 0.015
+    for cells in ([], [3], [0, 65535, 65536, 200_000], [1 << 22, 1 << 23]):
+        assert window_dedup.unpacked(*window_dedup.packed(np.array(cells, np.int64))).tolist() == cells
 
 
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
