@@ -6,22 +6,25 @@ Burrows-Wheeler transform of the runs in a wavelet tree (kept level by level), C
 All windows are searched backward at once, occurrences are located by walking to the next sampled position, and their
 ranges are merged into removal spans.
 
-The benchmark is a stated query set: it is broadcast in blocks of at most BLOCK_WORDS words. Null or empty texts and
-items have no words; an item of fewer than WINDOW words is one window; rows repeated in either table get the same
-result; extra columns are ignored.
+The benchmark is a stated query set: it is broadcast in blocks of at most BLOCK_WORDS words (or one item), one block at
+a time. With several blocks the texts are written with a number for each row, and the blocks' findings are merged by it,
+so that every row has its result whatever the benchmark's size. Null or empty texts and items have no words; an item of
+fewer than WINDOW words is one window; items without an id hit words but are not listed; rows repeated in either table
+get the same result, each its own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import spread, steps, utf8
+from curvemill.llm._common import spread, staged, steps, utf8
 
 WINDOW = 10
 #: Words of benchmark items that are searched at a time; words of runs and documents in a shard; distance of sampled suffixes.
@@ -116,7 +119,7 @@ class FmIndex:
         return out
 
 
-def item_windows(items: list[tuple[str, list[bytes]]]) -> tuple[dict[bytes, int], dict[int, tuple[np.ndarray, list[list[str]]]]]:
+def item_windows(items: list[tuple[str | None, list[bytes]]]) -> tuple[dict[bytes, int], dict[int, tuple[np.ndarray, list[list[str]]]]]:
     """Numbers of the items' words, and by length the distinct windows with the ids of their items."""
     vocabulary: dict[bytes, int] = {}
     windows: dict[int, dict[tuple, set]] = {}
@@ -124,7 +127,7 @@ def item_windows(items: list[tuple[str, list[bytes]]]) -> tuple[dict[bytes, int]
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
         size = min(WINDOW, len(ids))
         for i in range(len(ids) - size + 1 if ids else 0):
-            windows.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(item)
+            windows.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).update([item] if item is not None else [])
     return vocabulary, {n: (np.array(list(w), np.int64), [sorted(x) for x in w.values()]) for n, w in windows.items()}
 
 
@@ -198,9 +201,9 @@ def _scan(block) -> Callable:
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null").orderBy("item_id").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id").toLocalIterator():
         words = (row[1] or "").encode().translate(_FOLD).split()
         if block and size + len(words) > BLOCK_WORDS:
             yield block
@@ -212,15 +215,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
 
 def find_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each document its number of words, of words in benchmark windows, the items found (ids as sorted strings) and the removal spans (in words)."""
-    sc = documents.sparkSession.sparkContext
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [texts.mapInArrow(_scan(sc.broadcast(block)), SCHEMA) for block in _blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    # a large benchmark: the blocks' spans are merged by document (for that, doc_id has to be unique)
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    search = lambda rows, block: rows.mapInArrow(_scan(documents.sparkSession.sparkContext.broadcast(block)), SCHEMA)
+    blocks = _blocks(benchmark)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return search(texts, block)
+    numbered = staged(texts.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("name"), "text"), "numbered")
+    parts = [staged(search(numbered, b).where((F.size("spans") > 0) | F.lit(k == 0)), "found") for k, b in enumerate(chain([block, after], blocks))]
+    union = reduce(DataFrame.unionByName, parts)
     spans = F.sort_array(F.flatten(F.collect_list("spans")))
     merged = F.aggregate(
         spans,
@@ -228,4 +231,5 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda out, s: F.when((F.size(out) > 0) & (s["start"] <= F.element_at(out, -1)["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))),
     )
     one = union.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
-    return one.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"), "items", "spans")
+    named = one.join(numbered.select("doc_id", "name"), "doc_id")
+    return named.select(F.col("name").alias("doc_id"), "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"), "items", "spans")
