@@ -3,13 +3,14 @@
 A text's bytes, padded with spaces to a positive multiple of BLOCK, are 8-bit mono samples (byte - 128), a frame for
 each BLOCK of them. Every frame has the cheapest of the fixed predictors of order 0 to 4 and a quantised linear
 predictor of order 2, and one Rice partition of the residual; a frame of one value is constant, one that would not get
-smaller is verbatim. A seek table lists every frame, which makes any sample offset reachable without what comes before
-and lets the decoder take all frames side by side. It checks the header's CRC-8 and the frame's CRC-16, reads Rice codes
+smaller is verbatim. A seek table lists a frame in SEEK, which makes any sample offset reachable without what comes
+before, and application blocks list the sizes of all frames (two bytes each), which lets the decoder take many frames
+side by side, a slice of SLICE frames at a time whatever a text's length. It checks the header's CRC-8 and the frame's CRC-16, reads Rice codes
 (of any partition order) with a 64-bit window, undoes fixed and linear predictors of any order up to 32, and compares
 the samples' MD5 with the stream's.
 
 Null counts as empty; a payload is never empty. Equal texts give equal streams. Rows repeated give equal rows; extra
-columns are ignored. A damaged stream raises ValueError.
+columns are ignored. A damaged stream raises ValueError. A text takes about five times its bytes in memory.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from curvemill.llm._common import spread, steps, utf8
 #: Samples of a frame (block size code 1 of the format), sample rate and its code, bits of a coefficient of the linear predictor and of its shift.
 BLOCK, RATE, RATE_CODE, PRECISION, SHIFT = 192, 8000, 4, 12, 9
 _FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
-#: Payload bytes of a step.
-STEP = 768 * 1024
+#: Payload bytes of a step, frames that are worked on at once, frames between seek points, frames whose sizes an application block lists.
+STEP, SLICE, SEEK, LISTED = 768 * 1024, 4096, 64, 1 << 20
+#: Name of the application blocks.
+SIZES = b"SIZE"
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -60,14 +63,13 @@ def _crcs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: np.n
 
 
 def _utf8_number(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers as the format codes them: up to four bytes (left-aligned columns) and how many."""
-    cols, size = np.zeros((len(n), 4), np.int64), np.ones(len(n), np.int64)
-    size[n >= 0x80], size[n >= 0x800], size[n >= 0x10000] = 2, 3, 4
-    if (n >= 1 << 21).any():
-        raise ValueError("a text has more than 2^21 frames")
-    for k, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+    """Frame numbers as the format codes them: up to six bytes (left-aligned columns) and how many."""
+    cols, size = np.zeros((len(n), 6), np.int64), np.ones(len(n), np.int64)
+    for k, bits in enumerate((7, 11, 16, 21, 26)):
+        size[n >= 1 << bits] = k + 2
+    for k in range(1, 7):
         some = size == k
-        cols[some, 0] = lead | (n[some] >> (6 * (k - 1)))
+        cols[some, 0] = ((0xFF00 >> k) & 0xFF if k > 1 else 0) | (n[some] >> (6 * (k - 1)))
         for j in range(1, k):
             cols[some, j] = 0x80 | ((n[some] >> (6 * (k - 1 - j))) & 0x3F)
     return cols, size
@@ -114,9 +116,9 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
 
     cols, size = _utf8_number(number)
     head = [np.full(n, 0xFF), np.full(n, 0xF8), np.full(n, (1 << 4) | RATE_CODE), np.full(n, 1 << 1), *cols.T, np.zeros(n, np.int64)]
-    lens = [np.full(n, 8)] * 4 + [np.where(size > j, 8, 0) for j in range(4)] + [np.full(n, 8)]
-    grid = np.stack(head[:8], axis=1).astype(np.uint8)
-    head[8] = _crcs(grid.ravel(), np.arange(n) * 8, 4 + size, _CRC8, 8)
+    lens = [np.full(n, 8)] * 4 + [np.where(size > j, 8, 0) for j in range(6)] + [np.full(n, 8)]
+    grid = np.stack(head[:10], axis=1).astype(np.uint8)
+    head[10] = _crcs(grid.ravel(), np.arange(n) * 10, 4 + size, _CRC8, 8)
     head.append(np.where(constant, 0, np.where(verbatim, 2, np.where(kind == 5, 0x42, 16 + 2 * kind))))  # subframe header: type in bits 1 to 6
     lens.append(np.full(n, 8))
     warm = np.where(constant, 1, np.where(verbatim, BLOCK, order))
@@ -152,33 +154,39 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
     return out.astype(np.uint8), sizes
 
 
+def _block(kind: int, body: bytes, last: bool = False) -> bytes:
+    return bytes([kind | 128 * last]) + len(body).to_bytes(3, "big") + body
+
+
 def _headers(payload: bytes, sizes: np.ndarray) -> bytes:
-    """Stream marker, stream information and a seek table of all frames."""
+    """Stream marker, stream information, a seek table and the sizes of all frames."""
     info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
     info += ((RATE << 44) | (0 << 41) | (7 << 36) | len(payload)).to_bytes(8, "big")
     info += hashlib.md5((np.frombuffer(payload, np.uint8) - np.uint8(128)).tobytes()).digest()
-    points = np.zeros(len(sizes), [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
-    points["sample"], points["offset"], points["samples"] = np.arange(len(sizes)) * BLOCK, np.cumsum(sizes) - sizes, BLOCK
-    table = points.tobytes()
-    return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table
+    points = np.zeros(len(range(0, len(sizes), SEEK)), [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
+    points["sample"], points["offset"], points["samples"] = np.arange(len(points)) * SEEK * BLOCK, (np.cumsum(sizes) - sizes)[::SEEK], BLOCK
+    lists = [_block(2, SIZES + sizes[i : i + LISTED].astype(">u2").tobytes(), i + LISTED >= len(sizes)) for i in range(0, len(sizes), LISTED)]
+    return b"fLaC" + _block(0, info) + _block(3, points.tobytes()) + b"".join(lists)
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload (multiples of BLOCK bytes)."""
     count = np.array([len(p) // BLOCK for p in payloads])
-    x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32).reshape(-1, BLOCK) - np.int32(128)
-    data, sizes = encode_frames(x, spread(np.zeros(len(count), np.int64), count))
+    samples = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
+    number = spread(np.zeros(len(count), np.int64), count)
+    parts = [encode_frames(samples[i : i + SLICE].astype(np.int32) - np.int32(128), number[i : i + SLICE]) for i in range(0, len(samples), SLICE)]
+    data, sizes = b"".join(d.tobytes() for d, _ in parts), np.concatenate([n for _, n in parts])
     frame, at, out = np.cumsum(count) - count, np.concatenate([[0], np.cumsum(sizes)]), []
     for payload, a, n in zip(payloads, frame.tolist(), count.tolist(), strict=True):
-        out.append(_headers(payload, sizes[a : a + n]) + data[at[a] : at[a + n]].tobytes())
+        out.append(_headers(payload, sizes[a : a + n]) + data[at[a] : at[a + n]])
     return out
 
 
 def parse(stream: bytes) -> dict:
-    """Metadata of a stream: block size, bits, samples, md5, where frames begin, and the seek points (sample, offset, samples)."""
+    """Metadata of a stream: block size, bits, samples, md5, where frames begin, the sizes of the frames and the seek points (sample, offset, samples)."""
     if stream[:4] != b"fLaC":
         raise ValueError("no FLAC stream")
-    at, found = 4, {"points": np.zeros((0, 3), np.int64)}
+    at, sizes, found = 4, [np.zeros(0, np.int64)], {"points": np.zeros((0, 3), np.int64)}
     while True:
         kind, size = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
         body = stream[at + 4 : at + 4 + size]
@@ -188,9 +196,11 @@ def parse(stream: bytes) -> dict:
         elif kind & 127 == 3:
             points = np.frombuffer(body, [("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
             found["points"] = np.stack([points[c].astype(np.int64) for c in ("sample", "offset", "samples")], axis=1)
+        elif kind & 127 == 2 and body[:4] == SIZES:
+            sizes.append(np.frombuffer(body[4:], ">u2").astype(np.int64))
         at += 4 + size
         if kind & 128:
-            return found | {"frames": at}
+            return found | {"frames": at, "sizes": np.concatenate(sizes)}
 
 
 class _Bits:
@@ -315,19 +325,24 @@ def decode(streams: list[bytes]) -> list[bytes]:
     """The payload of each stream, checked against its MD5."""
     infos = [parse(s) for s in streams]
     base = np.cumsum([0] + [len(s) for s in streams])
-    starts, ends, number = [], [], []
+    ends = []
     for info, at, end in zip(infos, base[:-1].tolist(), base[1:].tolist(), strict=True):
         if (info["block"], info["bits"], info["channels"]) != (BLOCK, 8, 1):
             raise ValueError("streams with one channel of 8 bits and this block size are read")
-        begin = info["points"][:, 1] + info["frames"] + at
-        starts.append(begin)
-        ends.append(np.append(begin[1:], end))
-        number.append(info["points"][:, 0] // BLOCK)
-    data = np.frombuffer(b"".join(streams), np.uint8)
-    x = decode_frames(data, *(np.concatenate(v) for v in (starts, ends)), BLOCK, 8, np.concatenate(number))
-    pcm, out, row = x.astype(np.int8), [], 0
+        ends.append(at + info["frames"] + np.cumsum(info["sizes"]))
+        begin, points = ends[-1] - info["sizes"] - at - info["frames"], info["points"]
+        if ends[-1][-1] != end or (begin[points[:, 0] // BLOCK] != points[:, 1]).any():
+            raise ValueError("the sizes of the frames don't agree with the stream or its seek table")
+    sizes, ends = np.concatenate([i["sizes"] for i in infos]), np.concatenate(ends)
+    number = spread(np.zeros(len(infos), np.int64), np.array([len(i["sizes"]) for i in infos]))
+    data, pcm = np.frombuffer(b"".join(streams), np.uint8), np.zeros((len(sizes), BLOCK), np.int8)
+    for i in range(0, len(sizes), SLICE):
+        some = slice(i, i + SLICE)
+        first = ends[i] - sizes[i]
+        pcm[some] = decode_frames(data[first : ends[some][-1]], ends[some] - sizes[some] - first, ends[some] - first, BLOCK, 8, number[some])
+    out, row = [], 0
     for info in infos:
-        mine = pcm[row : row + len(info["points"])]
+        mine = pcm[row : row + len(info["sizes"])]
         row += len(mine)
         if hashlib.md5(mine.tobytes()).digest() != info["md5"] or mine.size != info["samples"]:
             raise ValueError("the samples' MD5 is wrong")

@@ -95,6 +95,18 @@ def test_decontamination_against_brute_force(spark, docs, texts, monkeypatch):
     assert decontam.find_benchmark(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_every_row_has_its_result_with_several_blocks(spark, monkeypatch):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, f"x {passage} y"), (1, f"x {passage} y"), (None, f"{passage} and q"), (None, "nothing of it"), (2, None), (3, "a b c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(7, passage), (8, "two three four five six seven eight nine ten eleven twelve"), (None, "a b c"), (9, "unseen words of an item that is long enough")], "item_id long, text string")
+    show = lambda out: sorted(((r.doc_id or 0, r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in out.collect()), key=str)
+    one = show(decontam.find_benchmark(frame, bench))
+    assert one == sorted([(1, 13, 11, ["7", "8"], [(1, 12)])] * 2 + [(0, 13, 11, ["7", "8"], [(0, 11)]), (0, 3, 0, [], []), (2, 0, 0, [], []), (3, 3, 3, [], [(0, 3)])], key=str)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 12)
+    assert show(decontam.find_benchmark(frame, bench)) == one
+
+
 def test_fm_index_locates_all():
     rng = np.random.default_rng(3)
     runs = [rng.integers(1, 4, rng.integers(1, 40)) for _ in range(30)]
@@ -137,6 +149,44 @@ def test_flac_round_trip(size):
         flac.decode([bytes(damaged)])
 
 
+def test_flac_of_many_frames(monkeypatch):
+    monkeypatch.setattr(flac, "SLICE", 7)
+    monkeypatch.setattr(flac, "LISTED", 10)
+    rng = np.random.default_rng(2)
+    payloads = [flac.payload_of(rng.integers(97, 123, n, dtype=np.uint8).tobytes()) for n in (192 * 200 + 1, 5, 192 * 33)]
+    streams = flac.encode(payloads)
+    assert flac.decode(streams) == payloads
+    info = flac.parse(streams[0])
+    assert len(info["sizes"]) == 201 and info["points"][:, 0].tolist() == [0, 64 * 192, 128 * 192, 192 * 192]
+    for number in (0, 127, 128, 2047, 2048, 65535, 65536, (1 << 21) - 1, 1 << 21, (1 << 26) - 1, 1 << 26, (1 << 31) - 1):
+        cols, size = flac._utf8_number(np.array([number]))
+        if number < 0x110000 and not 0xD800 <= number < 0xE000:
+            assert bytes(cols[0, : size[0]].astype(np.uint8)) == chr(number).encode()
+        data = cols[0, : size[0]].tolist()
+        lead = data[0] if size[0] == 1 else data[0] & ((1 << (7 - size[0])) - 1)
+        for byte in data[1:]:
+            lead = (lead << 6) | (byte & 0x3F)
+        assert lead == number
+
+
+def test_flac_query_against_plain_means(spark, docs, texts):
+    import hashlib
+    import zlib
+
+    stored = flac.store(docs)
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    got = {r.doc_id: r for r in flac.digests(stored).collect()}
+    assert got.keys() == {i for i, _ in texts}
+    for i, text in texts:
+        data = (text or "").encode()
+        payload = data + b" " * (-len(data) % 192 or (192 if not data else 0))
+        x = [b - 128 for b in payload]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        feature = f"mean={sum(x) / len(x):.4f};rms={math.sqrt(sum(v * v for v in x) / len(x)):.4f};turns={turns}"
+        want = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature)
+        assert tuple(got[i])[1:] == want
+
+
 def test_flac_linear_predictor_and_columns(spark):
     wave = (128 + 100 * np.sin(np.arange(192 * 4) / 9)).astype(np.uint8).tobytes()
     kinds, _, _ = flac._residuals(np.frombuffer(wave, np.uint8).astype(np.int32).reshape(-1, 192) - np.int32(128))
