@@ -49,6 +49,17 @@ def dropped(table: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of names that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without copying, and int64 offsets; null counts as empty."""
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "") if column.null_count else column

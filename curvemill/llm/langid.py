@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import STEP_BYTES, spread, steps, utf8
+from curvemill.llm._common import STEP_BYTES, fresh, spread, steps, utf8
 from curvemill.llm._features import byte_grams, gram_docs
 
 #: Bound of the labelled sample, length and hash bits of grams, penalty and rounds of the fit.
@@ -164,5 +164,6 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
             scores.append(np.where(letter, score, 0.0))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], names=["lang_pred", "score"])
 
-    names: list[Column | str] = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    return documents.withColumn("_guess", guess(F.col("text").cast("string"))).select(*names, "_guess.lang_pred", "_guess.score")
+    (name,) = fresh(documents, "guess")
+    kept: list[Column] = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("lang_pred", "score")]
+    return documents.withColumn(name, guess(F.col("text").cast("string"))).select(*kept, f"{name}.lang_pred", f"{name}.score")

@@ -139,7 +139,7 @@ def _partition_sketch(sketch: Sketch) -> Callable:
             for i, j in steps(offsets):
                 prints = Windows.of(data, offsets[i : j + 1], 1).prints()
                 for row in range(DEPTH):
-                    found[row].append(np.unique(sketch.cells(prints, row)))
+                    found[row].append(sketch.cells(prints, row))
         chunk, out = key[0].as_py(), []
         for row in range(DEPTH):
             cells = np.unique(np.concatenate(found[row]))

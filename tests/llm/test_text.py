@@ -70,6 +70,38 @@ def test_keys_without_digits(spark):
     assert all(x < math.log2(secret_scan.WINDOW) for _, x in secret_scan.CLASSES)
 
 
+def test_one_long_text_with_many_matches(spark):
+    import time
+
+    rng = random.Random(9)
+    parts, spans, at = [], [], 0
+    for k in range(60_000):
+        word = "é" * rng.randint(1, 3) if k % 2 else "plain words here"
+        secret = "".join(rng.choice("0123456789abcdef") for _ in range(40)) if k % 4 else f"token={'q' * 12}"
+        parts += [word, " ", secret, "\n"]
+        spans.append((at + len(word) + 1, at + len(word) + 1 + len(secret)))
+        at += len(word) + len(secret) + 2
+    text = "".join(parts)
+    began = time.perf_counter()
+    row = secret_scan.redact(secret_scan.find_secrets(spark.createDataFrame([(1, text, text)], "doc_id long, text string, whole string"))).select("text", F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("s")).first()
+    took = time.perf_counter() - began
+    assert [tuple(x) for x in row.s] == spans
+    assert row.text == "".join(f"{parts[i]} [SECRET]\n" for i in range(0, len(parts), 4))
+    assert took < 60, (took, len(text))
+
+
+def test_columns_that_clash(spark, docs):
+    names = {"_text": 1, "text_": 2, "_guess": 3, "guess": 4, "Score": 5, "_hex": 6, "hex": 7, "cand_at": 8, "LANG_PRED": 9, "Base": 10, "high": 11}
+    frame = docs.drop("score", "lang_pred", "base").withColumns({k: F.lit(v) for k, v in names.items()})
+    kept = [k for k in names if k not in ("Base", "Score", "LANG_PRED")]
+    row = secret_scan.find_secrets(frame).first()
+    assert all(row[k] == names[k] for k in (*kept, "Score", "LANG_PRED"))
+    got = langid.predict(frame, langid.fit(frame))
+    assert [c.lower() for c in got.columns].count("score") == 1
+    assert all(r[k] == names[k] for r in got.select("score", *kept).collect() for k in kept)
+    assert quality.score(frame, None).select("score").first()[0] == 0.5
+
+
 def test_long_rule_lines(spark):
     rows = [(1, "-" * 100_000), (2, "a_" * 50_000), (3, "=" * 5000 + " " + "-/" * 5000), (4, "password=abcdefghijkl")]
     got = {r.doc_id: len(r.spans) for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
