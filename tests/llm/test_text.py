@@ -160,6 +160,11 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_chats(frame.where("false"))).count() == 0
 
 
+def test_roles_are_read_back():
+    turns = [("a\nb", "text\nmore"), ("\\n", "x"), ("<|im_end|>\\", "\\"), ("", "")]
+    assert chat.read_back(chat.chatml(turns)) == turns
+
+
 def test_chat_templates_that_rewrite_history():
     turns = [("user", "a"), ("assistant", "b"), ("user", "c")]
     assert chat.render(turns, lambda t: f"{len(t)}" + chat.chatml(t))[1] is None
@@ -287,6 +292,34 @@ def test_language_of_held_out_texts(spark):
     assert right / n > 0.98
 
 
+def test_language_votes_against_brute_force(spark):
+    """Every classifier's margin by plain sums over the text's trigrams, then the family, then the votes of its pairs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rows = docs.limit(120).collect()
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    fold = lambda text: bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    for r in rows:
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        data = fold(r.text)
+        cells = [(int.from_bytes(data[i : i + 3], "big") * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - langid.BITS) for i in range(len(data) - 2)]
+        margins = [b + sum(float(w[c]) for c in cells) / max(1, len(cells)) for w, b in zip(model.weights, model.bias)]
+        family = max(range(len(model.families)), key=lambda k: margins[k])
+        at = len(model.families) + sum(len(p) for p in model.pairs[:family])
+        members = model.members[family]
+        votes, least = [0] * len(members), [1.0] * len(members)
+        for k, (a, b) in enumerate(model.pairs[family]):
+            p = 1 / (1 + math.exp(-2 * max(-20, min(20, margins[at + k]))))
+            votes[a if p > 0.5 else b] += 1
+            least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
+        best = max(range(len(members)), key=lambda k: votes[k] + least[k] / 2)
+        sure = 1 / (1 + math.exp(-2 * max(-20, min(20, margins[family])))) if len(model.families) > 1 else 1.0
+        assert got[r.doc_id].lang_pred == members[best]
+        assert abs(got[r.doc_id].score - sure * least[best]) < 1e-4
+
+
 def test_language_edges(spark, docs, empty):
     model = langid.fit(docs)
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
@@ -305,6 +338,26 @@ def test_quality_of_held_out_texts(spark):
     assert right / n > 0.97
 
 
+def test_quality_votes_against_brute_force(spark):
+    """The cosines of each document with all labelled vectors, one by one, and the weighted votes of the nearest."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(quality.sampled_rows(labels.select("doc_id", F.col("quality").alias("label")), docs))
+    assert len(model.labels) > 100
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        weights = quality.term_weights(data, np.array([0, len(data)]))[0]
+        latent = [sum(float(w * q) * float(d) for w, q, d in zip(weights, model.rarity, model.directions[:, k]) if w) for k in range(model.directions.shape[1])]
+        size = math.sqrt(sum(x * x for x in latent))
+        if size < 1e-9:
+            assert abs(got[r.doc_id] - model.labels.mean()) < 1e-6
+            continue
+        cosines = [max(0.0, sum(a * float(b) for a, b in zip(latent, v)) / size) for v in model.vectors]
+        near = sorted(range(len(cosines)), key=lambda k: -cosines[k])[: quality.NEIGHBOURS]
+        total = sum(cosines[k] ** 8 for k in near)
+        assert abs(got[r.doc_id] - sum(cosines[k] ** 8 * float(model.labels[k]) for k in near) / total) < 2e-3
+
+
 def test_quality_edges(docs, empty):
     model = quality.fit(quality.sampled_rows(docs.select("doc_id", F.expr("int(doc_id % 2)").alias("label")), docs))
     assert all(0 <= r.score <= 1 for r in quality.score(docs, model).collect())
