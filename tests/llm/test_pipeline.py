@@ -3,13 +3,14 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 from test_text import check_packed
 
 import corpus_pipeline
-from curvemill.llm import secret_scan
+from curvemill.llm import langid, secret_scan
 
 KEY = "password=abcdefghij0123456789"
 
@@ -69,3 +70,24 @@ def test_run_writes_and_reads_each_stage(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir[0])
     assert rows.select("sequence_id").distinct().count() > 0
     assert {1001} & {r.doc_id for r in rows.select("doc_id").collect()} == set()
+
+
+def test_language_stage_uses_the_prediction(spark, sf_dir, monkeypatch):
+    folder, _ = sf_dir
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.language_id(spark, docs, folder)
+    assert kept.where("lang is null").count() == 0 and docs.where("lang is null and text rlike '[a-z]'").count() > 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, folder).count() == kept.count()
+    model = langid.fit(docs)
+    french = {r.doc_id for r in langid.predict(docs, model).where("lang_pred = 'fr'").collect()}
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", frozenset({"fr"}))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, folder).collect()} == french
+
+
+def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text), (3, "x y"), (3, "x y"), (None, "q r"), (None, "q r"), (4, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()))
+    assert got == [(0, "q r"), (1, text), (3, "x y"), (4, "")]
