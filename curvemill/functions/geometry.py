@@ -43,22 +43,29 @@ def coloured(r: Column, g: Column, b: Column) -> Column:
 
 
 def hue(r: Column, g: Column, b: Column) -> Column:
-    """Degrees on the colour circle; the first of r, g, b that is the greatest decides the sector."""
-    red, green, blue = (c.cast("double") / 255.0 for c in (r, g, b))
-    top = F.greatest(red, green, blue)
-    delta = top - F.least(red, green, blue)
-    safe = F.when(delta == 0, 1.0).otherwise(delta)
-    rc, gc, bc = ((top - c) / safe for c in (red, green, blue))
-    six = F.when(top == red, F.pmod(bc - gc, F.lit(6.0))).when(top == green, 2.0 + rc - bc).otherwise(4.0 + gc - rc)
-    return F.pmod(six / 6.0, F.lit(1.0)) * 360.0
+    """Degrees on the colour circle, by the first of r, g, b that is the greatest and how far the other two lie below it.
+
+    The channels and their shades are bound as lambda variables, so that an expression around it doesn't grow with them.
+    """
+    level = F.array(*(c.cast("double") / 255.0 for c in (r, g, b)))
+    spread = lambda v: F.array_max(v) - F.array_min(v)
+    shades = lambda v: F.transform(v, lambda c: (F.array_max(v) - c) / F.when(spread(v) == 0, 1.0).otherwise(spread(v)))
+
+    def degrees(v: Column, shade: Column) -> Column:
+        top = (F.array_position(v, F.array_max(v)) - 1).cast("int")
+        part = (2.0 * top + F.get(shade, F.pmod(top + 2, F.lit(3)))) - F.get(shade, F.pmod(top + 1, F.lit(3)))
+        return F.pmod(part / 6.0, F.lit(1.0)) * 360.0
+
+    return F.get(F.transform(F.array(level), lambda v: F.get(F.transform(F.array(shades(v)), lambda shade: degrees(v, shade)), F.lit(0))), F.lit(0))
 
 
 def hue_name(degrees: Column) -> Column:
-    name = F.lit(None).cast("string")
-    for label, low, high in reversed(HUES):
-        inside = (degrees >= low) & (degrees < high) if low < high else (degrees >= low) | (degrees < high)
-        name = F.when(inside, label).otherwise(name)
-    return name
+    """The name of the range that degrees lie in; they are computed once."""
+
+    def inside(at: Column, low: int, high: int) -> Column:
+        return (at >= low) & (at < high) if low < high else (at >= low) | (at < high)
+
+    return F.get(F.transform(F.array(degrees), lambda at: F.coalesce(*(F.when(inside(at, low, high), label) for label, low, high in HUES))), F.lit(0))
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:

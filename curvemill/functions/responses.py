@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SERIES = "struct<series:array<struct<label:string,x:array<double>,y:array<double>>>>"
-#: Fixed value: a Markdown code fence around the whole text.
-FENCE = r"(?s)^```(?:json)?\s*\n?(.*?)\n?```$"
+#: The mark that opens and closes a Markdown code block, with the language that it may name.
+MARK, LANGUAGE = "```", "json"
 
 
 def prompt(x_low: Column, x_high: Column, x_scale: Column, y_low: Column, y_high: Column) -> Column:
@@ -22,7 +22,10 @@ def prompt(x_low: Column, x_high: Column, x_scale: Column, y_low: Column, y_high
 def without_fence(text: Column) -> Column:
     """What stands in a Markdown code fence, or the text as it is."""
     bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(bare.rlike(FENCE), F.regexp_extract(bare, FENCE, 1)).otherwise(text)
+    fenced = (F.length(bare) >= 2 * len(MARK)) & bare.startswith(MARK) & bare.endswith(MARK)
+    inner = F.substring(bare, F.lit(len(MARK) + 1), F.length(bare) - 2 * len(MARK))
+    named = F.when(inner.startswith(LANGUAGE), F.substring(inner, F.lit(len(LANGUAGE) + 1), F.length(inner))).otherwise(inner)
+    return F.when(fenced, F.trim(named)).otherwise(text)
 
 
 def parsed_series(response: Column) -> Column:

@@ -7,8 +7,11 @@ order of the predictions, is taken, so that results do not depend on a solver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,23 +81,55 @@ def solve_first(cost: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     return fixed
 
 
-def assign(costs: DataFrame) -> DataFrame:
-    """(figure_id, pred_curve_id, gt_curve_id, distance) of all pairs to those that are matched."""
+#: A solver gets a cost matrix (predictions by references) and gives each row its column, or -1.
+Solver = Callable[[np.ndarray], np.ndarray]
+
+
+def _matched(rows: pa.Table, solver: Solver) -> np.ndarray:
+    """Numbers of a figure's pair rows that the solver takes."""
+    names = [np.unique(rows[f"{side}_curve_id"].to_numpy(zero_copy_only=False), return_inverse=True) for side in ("pred", "gt")]
+    (pred, i), (gt, j) = names
+    cost, at = np.ones((len(pred), len(gt))), np.full((len(pred), len(gt)), -1)
+    cost[i, j], at[i, j] = rows["distance"].to_numpy(), np.arange(len(rows))
+    match = np.asarray(solver(cost))
+    some = np.flatnonzero(match >= 0)
+    return at[some, match[some]]
+
+
+def assign(costs: DataFrame, solver: Solver = solve_first) -> DataFrame:
+    """Those of all pairs (figure_id, pred_curve_id, gt_curve_id, distance, ...) that are matched, with all their columns."""
+    return costs.groupBy("figure_id").applyInArrow(lambda rows: rows.take(pa.array(_matched(rows, solver))), costs.schema)
+
+
+def matched_curves(costs: DataFrame, curves: DataFrame, solver: Solver = solve_first) -> DataFrame:
+    """Matched pairs with distance and coverage, predictions that got no reference (false positives) and references that got none (misses).
+
+    One grouped map over each figure's pairs (costs) and curves (figure_id, role, curve_id); a plugged-in solver decides.
+    """
+    pairs = costs.select("figure_id", "pred_curve_id", "gt_curve_id", "distance", "coverage")
+    side = lambda role: F.when(F.col("role") == role, F.col("curve_id")).alias(f"{role}_curve_id")
+    alone = curves.select("figure_id", side("pred"), side("gt"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("double").alias("coverage"))
+
+    def one(rows: pa.Table) -> pa.Table:
+        crossed = rows.filter(pc.and_(rows["pred_curve_id"].is_valid(), rows["gt_curve_id"].is_valid()))
+        parts = [crossed.take(pa.array(_matched(crossed, solver)))] if len(crossed) else []
+        taken = [set(parts[0][c].to_pylist()) if parts else set() for c in ("pred_curve_id", "gt_curve_id")]
+        for here, there, used in (("pred_curve_id", "gt_curve_id", taken[0]), ("gt_curve_id", "pred_curve_id", taken[1])):
+            lonely = rows.filter(rows[there].is_null())
+            parts.append(lonely.filter(pa.array([x not in used for x in lonely[here].to_pylist()], pa.bool_())))
+        return pa.concat_tables(parts)
+
+    both = pairs.unionByName(alone)
+    return with_marks(both.groupBy("figure_id").applyInArrow(one, both.schema))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        matrix = frame.pivot(index="pred_curve_id", columns="gt_curve_id", values="distance").sort_index().sort_index(axis=1)
-        match = solve_first(matrix.to_numpy())
-        some = match >= 0
-        return pd.DataFrame({"figure_id": frame["figure_id"].iloc[0], "pred_curve_id": matrix.index[some], "gt_curve_id": matrix.columns[match[some]]})
 
-    kinds = dict(costs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("figure_id", "pred_curve_id", "gt_curve_id"))
-    return costs.select("figure_id", "pred_curve_id", "gt_curve_id", "distance").groupBy("figure_id").applyInPandas(one, schema)
+def with_marks(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"is_miss": F.col("pred_curve_id").isNull(), "is_false_positive": F.col("gt_curve_id").isNull()})
 
 
 def completed(matched: DataFrame, curves: DataFrame) -> DataFrame:
-    """matched with the curves that no one got: predictions without a reference (false positives), references without one (misses)."""
+    """matched, from wherever, with the curves that no one got: predictions without a reference (false positives), references without one (misses)."""
     side = lambda role: curves.where(F.col("role") == role).select("figure_id", F.col("curve_id").alias(f"{role}_curve_id"))
     lonely = lambda role: side(role).join(matched, ["figure_id", f"{role}_curve_id"], "left_anti")
     rest = lonely("pred").unionByName(lonely("gt"), allowMissingColumns=True)
-    return matched.unionByName(rest, allowMissingColumns=True).withColumns({"is_miss": F.col("pred_curve_id").isNull(), "is_false_positive": F.col("gt_curve_id").isNull()})
+    return with_marks(matched.unionByName(rest, allowMissingColumns=True))

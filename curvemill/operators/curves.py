@@ -27,10 +27,12 @@ def curve_stats(points: DataFrame) -> DataFrame:
 
 
 def pairs(points: DataFrame) -> DataFrame:
-    """Every predicted with every reference curve of the same figure, with both extents."""
-    stats = curve_stats(points)
-    side = lambda role: stats.where(F.col("role") == role).select("figure_id", *(F.col(c).alias(f"{role}_{c}") for c in ("curve_id", "n_points", "x_min", "x_max", "y_min", "y_max")))
-    return side("pred").join(side("gt"), "figure_id")
+    """Every predicted with every reference curve of the same figure, with both extents: one scan, a row for each figure on the way."""
+    names = ("curve_id", "n_points", "x_min", "x_max", "y_min", "y_max")
+    side = lambda role: F.collect_list(F.when(F.col("role") == role, F.struct(*(F.col(c).alias(f"{role}_{c}") for c in names)))).alias(role)
+    figures = curve_stats(points).groupBy("figure_id").agg(side("pred"), side("gt"))
+    crossed = figures.select("figure_id", F.explode("pred").alias("p"), "gt").select("figure_id", "p", F.explode("gt").alias("g"))
+    return crossed.select("figure_id", "p.*", "g.*")
 
 
 def coverage(gt_low: Column, gt_high: Column, low: Column, high: Column) -> Column:
@@ -44,52 +46,54 @@ def with_coverage(found: DataFrame) -> DataFrame:
     return found.withColumn("coverage", coverage(F.col("gt_x_min"), F.col("gt_x_max"), F.col("pred_x_min"), F.col("pred_x_max")))
 
 
+KEYS = ("figure_id", "pred_curve_id", "gt_curve_id")
+
+
 def interpolated(points: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Every reference point of a pair with the predicted y at its x: linear between neighbours, the edge's value beyond.
 
     An as-of join as a union: predicted and reference points of a pair are sorted by x together, and the nearest
     predicted points before and after come from a running last and first. The last of equal x counts before, as in a
-    bracket search from the right. wanted limits the pairs (figure_id, pred_curve_id, gt_curve_id).
+    bracket search from the right. wanted limits the pairs (figure_id, pred_curve_id, gt_curve_id); its other columns
+    come along, so that nothing has to be joined to the samples again.
     """
-    at = pairs(points).select("figure_id", "pred_curve_id", "gt_curve_id") if wanted is None else wanted.select("figure_id", "pred_curve_id", "gt_curve_id")
-    side = lambda role: points.where(F.col("role") == role).select("figure_id", F.col("curve_id").alias(f"{role}_curve_id"), "ord", "x", "y")
-    pred = at.join(side("pred"), ["figure_id", "pred_curve_id"]).withColumn("is_gt", F.lit(0))
-    gt = at.join(side("gt"), ["figure_id", "gt_curve_id"]).withColumn("is_gt", F.lit(1))
-    both = pred.unionByName(gt).withColumn("point", F.when(F.col("is_gt") == 0, F.struct("x", "y")))
-    keys = ["figure_id", "pred_curve_id", "gt_curve_id"]
-    order = W.partitionBy(*keys).orderBy("x", "is_gt", "ord")
+    at = pairs(points).select(*KEYS) if wanted is None else wanted
+    more = [c for c in at.columns if c not in KEYS]
+    ends = F.array(*(F.struct(F.lit(role).alias("role"), F.col(f"{role}_curve_id").alias("curve_id")) for role in ("pred", "gt")))
+    sides = at.select(*KEYS, *more, F.explode(ends).alias("end")).select(*KEYS, *more, "end.*")
+    both = sides.join(points.select("figure_id", "role", "curve_id", "ord", "x", "y"), ["figure_id", "role", "curve_id"]).withColumn("is_gt", (F.col("role") == "gt").cast("int"))
+    both = both.withColumn("point", F.when(F.col("is_gt") == 0, F.struct("x", "y")))
+    order = W.partitionBy(*KEYS).orderBy("x", "is_gt", "ord")
     both = both.withColumn("before", F.last("point", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    back = W.partitionBy(*keys).orderBy(F.desc("x"), F.desc("is_gt"), F.desc("ord"))
+    back = W.partitionBy(*KEYS).orderBy(F.desc("x"), F.desc("is_gt"), F.desc("ord"))
     both = both.withColumn("after", F.last("point", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)))
     a, b = F.col("before"), F.col("after")
     slope = (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
     value = F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).when(a["x"] == F.col("x"), a["y"]).otherwise(slope * (F.col("x") - a["x"]) + a["y"])
-    return both.where("is_gt = 1").select(*keys, "ord", "x", F.col("y").alias("gt_y"), value.alias("pred_y"))
+    return both.where("is_gt = 1").select(*KEYS, *more, "ord", "x", F.col("y").alias("gt_y"), value.alias("pred_y"))
 
 
-def point_errors(samples: DataFrame, found: DataFrame) -> DataFrame:
-    """Mean over the reference's points of the distance in y, by the reference's y range; a flat one counts exact hits."""
-    keys = ["figure_id", "pred_curve_id", "gt_curve_id"]
-    joined = samples.join(found.select(*keys, (F.col("gt_y_max") - F.col("gt_y_min")).alias("y_range")), keys)
+def point_errors(samples: DataFrame, *also: str) -> DataFrame:
+    """Mean over the reference's points of the distance in y, by the reference's y_range (a column of samples); a flat one counts exact hits."""
     off = F.abs(F.col("pred_y") - F.col("gt_y"))
     error = F.when(F.col("y_range") <= FLAT, F.when(off <= FLAT, 0.0).otherwise(1.0)).otherwise(off / F.nullif(F.col("y_range"), F.lit(0.0)))
-    return joined.groupBy(*keys).agg(F.avg(error).alias("mean_error"))
+    return samples.groupBy(*KEYS, *also).agg(F.avg(error).alias("mean_error"))
 
 
 def chamfer(points: DataFrame, found: DataFrame) -> DataFrame:
-    """Mean of the nearest distances in both directions, x and y by the reference's ranges."""
-    keys = ["figure_id", "pred_curve_id", "gt_curve_id"]
-    scale = found.select(*keys, *(F.when(F.col(f"gt_{c}_max") == F.col(f"gt_{c}_min"), 1.0).otherwise(F.col(f"gt_{c}_max") - F.col(f"gt_{c}_min")).alias(f"{c}_range") for c in "xy"))
-    # the other curve's points are one array per curve, so that no list of point pairs is made
-    side = lambda role: points.where(F.col("role") == role).select("figure_id", F.col("curve_id").alias(f"{role}_curve_id"), "x", "y")
-    packed = lambda role: side(role).groupBy("figure_id", f"{role}_curve_id").agg(F.collect_list(F.struct("x", "y")).alias("others"))
+    """Mean of the nearest distances in both directions, x and y by the reference's ranges.
 
-    def one_way(role: str, other: str) -> DataFrame:
-        rows = scale.join(packed(other), ["figure_id", f"{other}_curve_id"]).join(side(role), ["figure_id", f"{role}_curve_id"])
-        distance = lambda p: F.sqrt(F.pow(p["x"] / F.col("x_range") - F.col("x") / F.col("x_range"), F.lit(2)) + F.pow(p["y"] / F.col("y_range") - F.col("y") / F.col("y_range"), F.lit(2)))
-        return rows.groupBy(*keys).agg(F.avg(F.array_min(F.transform("others", distance))).alias(role))
-
-    return one_way("pred", "gt").join(one_way("gt", "pred"), keys).select(*keys, ((F.col("pred") + F.col("gt")) / 2).alias("chamfer"))
+    A pair of curves is one row with both curves' points as arrays; its time is their product, its size their sum.
+    """
+    scale = found.select(*KEYS, *(F.when(F.col(f"gt_{c}_max") == F.col(f"gt_{c}_min"), 1.0).otherwise(F.col(f"gt_{c}_max") - F.col(f"gt_{c}_min")).alias(f"{c}_range") for c in "xy"))
+    packed = points.groupBy("figure_id", "role", "curve_id").agg(F.collect_list(F.struct("x", "y")).alias("points"))
+    side = lambda role: packed.where(F.col("role") == role).select("figure_id", F.col("curve_id").alias(f"{role}_curve_id"), F.col("points").alias(role))
+    rows = scale.join(side("pred"), ["figure_id", "pred_curve_id"]).join(side("gt"), ["figure_id", "gt_curve_id"])
+    scaled = lambda role: F.transform(role, lambda p: F.struct((p["x"] / F.col("x_range")).alias("x"), (p["y"] / F.col("y_range")).alias("y")))
+    rows = rows.select(*KEYS, scaled("pred").alias("pred"), scaled("gt").alias("gt"))
+    square = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])
+    one_way = lambda a, b: F.aggregate(F.transform(a, lambda p: F.sqrt(F.array_min(F.transform(b, lambda q: square(p, q))))), F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    return rows.select(*KEYS, ((one_way("pred", "gt") + one_way("gt", "pred")) / 2).alias("chamfer"))
 
 
 def in_log_space(points: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,9 +110,7 @@ def in_log_space(points: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataF
 
 def compared(points: DataFrame) -> DataFrame:
     """All pairs with coverage, mean error (1 where nothing is covered) and distance: the error, at most 1."""
-    keys = ["figure_id", "pred_curve_id", "gt_curve_id"]
-    found = with_coverage(pairs(points))
-    met = found.where("coverage > 0")
-    errors = point_errors(interpolated(points, met), met)
-    joined = found.join(errors, keys, "left").withColumn("mean_error", F.coalesce("mean_error", F.lit(1.0)))
-    return joined.select(*keys, "coverage", "mean_error", F.when(F.col("coverage") <= 0, 1.0).otherwise(F.least("mean_error", F.lit(1.0))).alias("distance"))
+    found = with_coverage(pairs(points)).select(*KEYS, "coverage", (F.col("gt_y_max") - F.col("gt_y_min")).alias("y_range"))
+    errors = point_errors(interpolated(points, found.where("coverage > 0")), "coverage")
+    apart = found.where("coverage <= 0").select(*KEYS, "coverage", F.lit(1.0).alias("mean_error"))
+    return errors.unionByName(apart).select(*KEYS, "coverage", "mean_error", F.least("mean_error", F.lit(1.0)).alias("distance"))

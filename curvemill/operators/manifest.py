@@ -52,6 +52,21 @@ def gated(papers: DataFrame) -> DataFrame:
     return papers.where(F.col("license_status") == REDISTRIBUTABLE)
 
 
+def downloadable(papers: DataFrame) -> DataFrame:
+    """Redistributable papers that name a PDF."""
+    return gated(papers).where("coalesce(pdf_url, '') <> ''")
+
+
+def without_pdf_url(papers: DataFrame) -> DataFrame:
+    """Papers whose pdf_url is null, empty or white space, which no one asks for."""
+    return papers.where(r"regexp_replace(coalesce(pdf_url, ''), '\\s', '') = ''")
+
+
+def total_size(rows: DataFrame, column: str) -> DataFrame:
+    """How many elements the lists of a column have together."""
+    return rows.agg(F.coalesce(F.sum(F.size(F.coalesce(column, F.array()))), F.lit(0)).alias("total"))
+
+
 def must_be_redistributable(papers: DataFrame) -> DataFrame:
     """Fails on any other paper."""
     return papers.where(F.assert_true(F.col("license_status") == REDISTRIBUTABLE, F.lit("a paper's license isn't redistributable")).isNull())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -45,6 +46,11 @@ def page_images(images: DataFrame, least_pixels: int = 22500) -> DataFrame:
     return large.unionByName(images.where("source = 'page_render'").join(large.select("doc", "page"), ["doc", "page"], "left_anti"))
 
 
+def with_ordinals(images: DataFrame) -> DataFrame:
+    """Images (doc, page, number) with their ordinal in the document, from 0."""
+    return images.withColumn("ordinal", F.row_number().over(W.partitionBy("doc").orderBy("page", "number")) - 1)
+
+
 def dataset_version(n_real: Column) -> Column:
     """The name of a data set by how many real figures it has."""
     return F.concat(F.lit("v0-eval-pilot-n"), n_real.cast("string"))

@@ -86,6 +86,17 @@ def cropped(pixels: DataFrame, panels: DataFrame) -> DataFrame:
     return joined.select("image_id", "label", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "lum")
 
 
+def outcomes(split: DataFrame) -> DataFrame:
+    """A row for each image of panels with error rows (image_id, label, error): number of panels, null for an image that couldn't be split."""
+    return split.groupBy("image_id").agg(F.when(F.count("error") == 0, F.count("label")).alias("n_panels"))
+
+
+def rates(found: DataFrame) -> DataFrame:
+    """One row over outcomes: images, failures, images of several panels and of one, and the share of the former in what was split."""
+    failed, multi = F.count_if(F.col("n_panels").isNull()), F.count_if(F.col("n_panels") > 1)
+    return found.agg(F.count("*").alias("n_images"), failed.alias("n_failed"), multi.alias("n_multi"), F.count_if(F.col("n_panels") <= 1).alias("n_single"), (multi / F.greatest(F.lit(1), F.count("*") - failed)).alias("multi_rate"))
+
+
 def histogram(panels: DataFrame) -> DataFrame:
     """How many images have how many panels."""
     return panels.groupBy("image_id").agg(F.count("*").alias("n_panels")).groupBy("n_panels").agg(F.count("*").alias("n_images"))

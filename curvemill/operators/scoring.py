@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.operators.assignment import assign, completed
-from curvemill.operators.curves import compared, curve_stats
+from curvemill.operators.assignment import Solver, matched_curves, solve_first
+from curvemill.operators.curves import compared
 
 
-def figure_scores(points: DataFrame, figures: DataFrame) -> DataFrame:
+def figure_scores(points: DataFrame, figures: DataFrame, solver: Solver = solve_first) -> DataFrame:
     """A row for each of figures (figure_id), with or without curves: match rate, mean distance and coverage of the matched, and their summary."""
-    pairs = compared(points)
-    matched = assign(pairs).join(pairs, ["figure_id", "pred_curve_id", "gt_curve_id"])
-    return scores_of(matched, curve_stats(points).select("figure_id", "role", "curve_id"), figures)
+    curves = points.select("figure_id", "role", "curve_id").distinct()
+    return scores_of(matched_curves(compared(points), curves, solver), figures)
 
 
-def scores_of(matched: DataFrame, curves: DataFrame, figures: DataFrame) -> DataFrame:
-    rows = completed(matched, curves)
+def scores_of(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """Scores from matched and unmatched curves."""
     by = rows.groupBy("figure_id").agg(
         F.count_if(F.expr("pred_curve_id is not null")).alias("n_pred"), F.count_if(F.expr("gt_curve_id is not null")).alias("n_gt"),
         F.count_if(F.expr("not is_miss and not is_false_positive")).alias("n_matched"), F.avg("distance").alias("distance_"), F.avg("coverage").alias("coverage_"),

@@ -51,6 +51,12 @@ def sample_n(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return rows.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
+def half_sample(rows: DataFrame, key: str, first: Column, seed: int, n: int) -> DataFrame:
+    """n // 2 rows of those that are first, or as many as there are, and n - n // 2 of the others."""
+    part = lambda which, size: sample_n(rows.where(which), key, seed, size)
+    return part(first, n // 2).unionByName(part(~first, n - n // 2))
+
+
 def stratified_sample(rows: DataFrame, key: str, stratum: str, seed: int, n: int) -> DataFrame:
     """At most n rows of each stratum."""
     order = W.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key)

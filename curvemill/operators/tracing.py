@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvemill.functions.geometry import coloured, hue, hue_name, to_data
@@ -18,9 +19,15 @@ def coloured_pixels(pixels: DataFrame) -> DataFrame:
 
 
 def column_medians(found: DataFrame) -> DataFrame:
-    """Exact median of y in each column of a series of enough pixels."""
-    large = found.groupBy("image_id", "series_label").agg(F.count("*").alias("n_pixels")).where(F.col("n_pixels") >= MIN_PIXELS)
-    return found.join(large, ["image_id", "series_label"]).groupBy("image_id", "series_label", "x").agg(F.median("y").alias("median_y"))
+    """A row for each column of a series: exact median of y, with the series' numbers of pixels and columns and the box of all the image's pixels.
+
+    The pixels are read once; what windows sort afterwards are columns.
+    """
+    columns = found.groupBy("image_id", "series_label", "x").agg(F.median("y").alias("median_y"), F.count("*").alias("n"), F.min("y").alias("least_y"), F.max("y").alias("most_y"))
+    image, series = W.partitionBy("image_id"), W.partitionBy("image_id", "series_label")
+    box = {"x0": F.min("x").over(image), "y0": F.min("least_y").over(image), "x1": F.max("x").over(image) + 1, "y1": F.max("most_y").over(image) + 1}
+    boxed = columns.withColumns({name: value.cast("double") for name, value in box.items()})
+    return boxed.withColumns({"n_pixels": F.sum("n").over(series), "n_columns": F.count("*").over(series)}).drop("n", "least_y", "most_y")
 
 
 def traced(pixels: DataFrame, axes: DataFrame) -> DataFrame:
@@ -28,11 +35,8 @@ def traced(pixels: DataFrame, axes: DataFrame) -> DataFrame:
 
     The box of all coloured pixels is taken for the plot area. A series in a single column isn't a curve.
     """
-    found = coloured_pixels(pixels)
-    box = found.groupBy("image_id").agg(F.min("x").cast("double").alias("x0"), F.min("y").cast("double").alias("y0"), (F.max("x") + 1).cast("double").alias("x1"), (F.max("y") + 1).cast("double").alias("y1"))
-    medians = column_medians(found)
-    wide = medians.groupBy("image_id", "series_label").agg(F.count("*").alias("n_columns")).where(F.col("n_columns") >= MIN_COLUMNS)
-    rows = medians.join(wide, ["image_id", "series_label"]).join(box, "image_id").join(axes, "image_id")
+    curves = column_medians(coloured_pixels(pixels)).where((F.col("n_pixels") >= MIN_PIXELS) & (F.col("n_columns") >= MIN_COLUMNS))
+    rows = curves.join(axes, "image_id")
     c = F.col
     x, y = to_data(c("x").cast("double"), c("median_y"), (c("x0"), c("y0"), c("x1"), c("y1")), (c("x_lo"), c("x_hi")), (c("y_lo"), c("y_hi")), c("x_scale"), c("y_scale"))
     return rows.select("image_id", "series_label", c("x").alias("px"), x.alias("x"), y.alias("y"))

@@ -143,6 +143,42 @@ def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", references.image_name(F.col("l_orderkey") % 120, source, F.col("l_linenumber")).alias("name"), references.image_path(bare, "/data", "raw").alias("path"))
 
 
+_PAPERS = """pp AS (SELECT doc_id, license_status, CASE doc_id % 4 WHEN 0 THEN 'http://x/' || doc_id WHEN 1 THEN '' WHEN 2 THEN chr(32) || chr(9) END AS pdf_url FROM ls)"""
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified documents as papers, some of them with the address of a PDF."""
+    url = F.expr("case doc_id % 4 when 0 then concat('http://x/', doc_id) when 1 then '' when 2 then concat(char(32), char(9)) end")
+    return license_classify(spark, sf_dir).withColumn("pdf_url", url)
+
+
+@query(f"WITH {views.LICENSED} SELECT doc_id FROM ls WHERE license_status = 'REDISTRIBUTABLE'")
+def redistributable_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.gated(license_classify(spark, sf_dir)).select("doc_id")
+
+
+@query(f"WITH {views.LICENSED}, {_PAPERS} SELECT doc_id, pdf_url FROM pp WHERE license_status = 'REDISTRIBUTABLE' AND pdf_url <> ''")
+def downloadable_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.downloadable(_papers(spark, sf_dir)).select("doc_id", "pdf_url")
+
+
+@query(f"WITH {views.LICENSED}, {_PAPERS} SELECT doc_id FROM pp WHERE trim(coalesce(pdf_url, ''), chr(32) || chr(9)) = ''")
+def papers_without_pdf_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.without_pdf_url(_papers(spark, sf_dir)).select("doc_id")
+
+
+@query(f"WITH {views.LICENSED} SELECT count(*) AS n FROM ls WHERE license_status = 'REDISTRIBUTABLE'")
+def gate_assertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.must_be_redistributable(manifest.gated(license_classify(spark, sf_dir))).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {views.LICENSED} SELECT l_orderkey, l_linenumber FROM lineitem JOIN ls ON doc_id = l_orderkey WHERE license_status = 'REDISTRIBUTABLE'")
+def manifest_inner_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = license_classify(spark, sf_dir).withColumn("paper_id", F.col("doc_id"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), "l_linenumber")
+    return manifest.gated(papers).join(lines, "paper_id").select(F.col("paper_id").alias("l_orderkey"), "l_linenumber")
+
+
 PAIRINGS = "case quality when 1 then 'verified' else 'rejected' end as status", "case when toxic = 1 then 'toxic' end as excluded_reason"
 
 # --- ingest and manifest -----------------------------------------------------------------------------------------
@@ -175,6 +211,62 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairings.page_images(images).select("doc", "page", "number", "source")
 
 
+@query("""SELECT l_orderkey AS doc, l_linenumber AS page, l_partkey AS number, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS ordinal FROM lineitem""")
+def image_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairings.with_ordinals(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc", "l_linenumber as page", "l_partkey as number"))
+
+
+_LINKS = """pg AS (SELECT doc_id AS paper_id, source AS image_id, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'z' END AS panel_label, CASE doc_id % 3 WHEN 0 THEN 'p' || doc_id || '.png' WHEN 1 THEN 'raw/p' || doc_id || '.png' END AS image_path FROM documents)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairings of documents with a panel, or none, and an image, bare or with its folder."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id as paper_id", "source as image_id", "case doc_id % 4 when 0 then 'a' when 1 then 'b' when 2 then 'z' end as panel_label", "case doc_id % 3 when 0 then concat('p', doc_id, '.png') when 1 then concat('raw/p', doc_id, '.png') end as image_path"
+    )
+
+
+@query(f"WITH {_LINKS} SELECT paper_id, image_path FROM pg WHERE image_path NOT LIKE '%/%'")
+def pairing_bare_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairings.bare_names(_links(spark, sf_dir)).select("paper_id", "image_path")
+
+
+@query(f"WITH {_LINKS} SELECT paper_id, coalesce(CASE quality WHEN 1 THEN lang END, 'cc-by') AS license_id FROM pg JOIN labels ON paper_id = labels.doc_id JOIN documents d ON d.doc_id = paper_id")
+def pairing_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").selectExpr("doc_id as paper_id", "case quality when 1 then lang else '' end as license_id")
+    return pairings.with_license(_links(spark, sf_dir), papers).select("paper_id", "license_id")
+
+
+@query(f"WITH {_LINKS}, bx AS (SELECT DISTINCT source AS image_id, unnest(['a', 'b']) AS label, length(source) AS x0 FROM documents) SELECT paper_id, bx.x0, CASE WHEN panel_label IS NOT NULL AND label IS NULL THEN 'KeyError: no panel ' || panel_label END AS error FROM pg LEFT JOIN bx ON bx.image_id = pg.image_id AND label = panel_label")
+def pairing_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = table(spark, sf_dir, "documents").select(F.col("source").alias("image_id")).distinct().select("image_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("label"), F.length("image_id").cast("long").alias("x0"))
+    return pairings.with_panel(_links(spark, sf_dir), boxes).select("paper_id", "x0", "error")
+
+
+@query(f"WITH {_LINKS} SELECT pg.paper_id, quality AS size FROM pg JOIN labels ON doc_id = paper_id WHERE image_path = 'p' || doc_id || '.png'")
+def pairing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "labels").selectExpr("doc_id as paper_id", "concat('p', doc_id, '.png') as name", "quality as size")
+    return pairings.with_images(_links(spark, sf_dir), names).select("paper_id", "size")
+
+
+@query("SELECT o_custkey AS paper_id, count(*) AS n_files FROM orders WHERE o_custkey % 5 > 0 GROUP BY 1")
+def papers_with_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = table(spark, sf_dir, "customer").selectExpr("c_custkey as paper_id", "c_custkey % 5 as n_images")
+    files = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("folder")).agg(F.collect_list("o_orderkey").alias("names"))
+    return pairings.papers_with_images(papers, files).select("paper_id", F.size("names").cast("long").alias("n_files"))
+
+
+@query(f"WITH {views.CURVE_ROWS} SELECT coalesce(sum(len(xs)), 0)::BIGINT AS total FROM pe")
+def total_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.total_size(manifest.parsed_curve_rows(views.curve_rows(spark, sf_dir)), "x_values")
+
+
+@query("""SELECT s_suppkey, 'Read every data series from the chart image. The plot area spans x from ' || s_suppkey || ' to ' || (s_suppkey + 5) || ' (' || CASE WHEN s_nationkey % 2 = 0 THEN 'log' ELSE 'linear' END || ' scale) and y from ' || s_nationkey || ' to 99.' || chr(10) || 'Answer with one JSON object only: {"series": [{"label": "<name>", "x": [<numbers>], "y": [<numbers>]}]}' AS prompt FROM supplier""")
+def llm_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = responses.prompt(F.col("s_suppkey"), F.col("s_suppkey") + 5, F.expr("if(s_nationkey % 2 = 0, 'log', 'linear')"), F.col("s_nationkey"), F.lit(99))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("prompt"))
+
+
 @query("SELECT 'v0-eval-pilot-n' || count(*) AS dataset_version FROM labels WHERE quality = 1 AND toxic = 0")
 def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate_verified(spark, sf_dir).agg(pairings.dataset_version(F.count("*")).alias("dataset_version"))
@@ -250,16 +342,23 @@ def cache_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.last_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id"], ["event_id"])
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 > 0 AND c_custkey % 3 = 0")
+_CACHES = """ol AS (SELECT o_custkey AS id, max(o_orderpriority) AS name FROM orders GROUP BY 1), nw AS (SELECT c_custkey AS id, c_name AS name FROM customer)"""
+
+
+def _caches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A cache of the customers that ordered something, and rows for all customers."""
+    old = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("name"))
+    return old, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+@query(f"WITH {_CACHES} SELECT * FROM ol UNION ALL SELECT * FROM nw WHERE id NOT IN (SELECT id FROM ol)")
 def cache_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return tables.insert_absent(rows.where("id % 2 = 0"), rows.where("id % 3 = 0").withColumn("name", F.lit("new")), ["id"])
+    return tables.insert_absent(*_caches(spark, sf_dir), ["id"])
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query(f"WITH {_CACHES} SELECT id, coalesce(nw.name, ol.name) AS name FROM ol FULL JOIN nw USING (id)")
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return tables.upsert(rows.where("id % 2 = 0"), rows.where("id % 3 = 0").withColumn("name", F.lit("new")), ["id"])
+    return tables.upsert(*_caches(spark, sf_dir), ["id"])
 
 
 @query("SELECT s_suppkey::VARCHAR AS figure_id, 'real' AS kind FROM supplier UNION ALL SELECT 'synthetic-' || n_nationkey, 'synthetic' FROM nation")
@@ -352,13 +451,12 @@ def pair_distance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_ASG} SELECT figure_id, round(sum(distance), 6) AS total FROM asg GROUP BY 1")
 def assign_total_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = curves.compared(views.points(spark, sf_dir))
-    matched = assignment.assign(pairs).join(pairs, ["figure_id", "pred_curve_id", "gt_curve_id"])
-    return matched.groupBy("figure_id").agg(F.round(F.sum("distance"), 6).alias("total"))
+    return assignment.assign(pairs).groupBy("figure_id").agg(F.round(F.sum("distance"), 6).alias("total"))
 
 
 @query(f"{_ASG} SELECT figure_id, pred_curve_id, gt_curve_id FROM asg")
 def assign_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assignment.assign(curves.compared(views.points(spark, sf_dir)))
+    return assignment.assign(curves.compared(views.points(spark, sf_dir))).select("figure_id", "pred_curve_id", "gt_curve_id")
 
 
 _FULL = f"""{_ASG}, al AS (SELECT figure_id, pred_curve_id, gt_curve_id, distance, coverage FROM asg
@@ -372,7 +470,7 @@ sc AS (SELECT *, (match_rate + (1 - mean_distance) + mean_coverage) / 3 AS summa
 @query(f"{_FULL} SELECT figure_id, pred_curve_id, gt_curve_id, pred_curve_id IS NULL AS is_miss, gt_curve_id IS NULL AS is_false_positive FROM al")
 def match_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = views.points(spark, sf_dir)
-    return assignment.completed(assignment.assign(curves.compared(pts)), curves.curve_stats(pts))
+    return assignment.matched_curves(curves.compared(pts), curves.curve_stats(pts)).drop("distance", "coverage")
 
 
 def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,6 +557,23 @@ def panel_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.histogram(panel_grid(spark, sf_dir))
 
 
+@query(f"WITH {views.GRID}, oc AS (SELECT image_id, CASE WHEN image_id::BIGINT % 13 > 0 THEN count(*) END AS n FROM grd GROUP BY image_id) SELECT count(*) AS n_images, count(*) FILTER (n IS NULL) AS n_failed, count(*) FILTER (n > 1) AS n_multi, count(*) FILTER (n = 1) AS n_single, round(count(*) FILTER (n > 1) / greatest(1, count(n)), 6) AS multi_rate FROM oc")
+def panel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(panels.rates(panels.outcomes(_split(spark, sf_dir))), "multi_rate")
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels of all images, with an error where an image of every thirteenth number was damaged."""
+    damaged = F.when(F.col("image_id").cast("long") % 13 == 0, "SplitError: damaged")
+    return panel_grid(spark, sf_dir).withColumn("error", damaged)
+
+
+@query(f"WITH {views.GRID}, oc AS (SELECT image_id, count(*) > 1 AS multi, sha256('3:' || image_id) AS h FROM grd GROUP BY image_id), rk AS (SELECT *, row_number() OVER (PARTITION BY multi ORDER BY h, image_id) AS n FROM oc) SELECT image_id, multi FROM rk WHERE n <= 15")
+def sample_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = panel_grid(spark, sf_dir).groupBy("image_id").agg((F.count("*") > 1).alias("multi"))
+    return tables.half_sample(counted, "image_id", F.col("multi"), 3, 30)
+
+
 @query(f"WITH {views.GRID} SELECT grd.image_id, label, count(*) AS n_pixels, sum((x - x0) * lum)::BIGINT AS mass FROM grd JOIN lu ON lu.image_id = grd.image_id AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL")
 def panel_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = views.luminances(spark, sf_dir)

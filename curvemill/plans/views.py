@@ -108,12 +108,12 @@ ls AS (SELECT *, CASE WHEN lower(trim(coalesce(license_id, ''))) IN ('cc-by','cc
 def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coloured images from parts: a pixel for each part, images of 200 parts."""
     return table(spark, sf_dir, "part").select(
-        F.expr("cast(p_partkey % 7 as string)").alias("image_id"), F.expr("cast((p_partkey * 13) % 40 as int)").alias("x"), F.expr("cast((p_partkey * 29 + p_size) % 50 as int)").alias("y"),
+        F.expr("cast(p_partkey div 200 as string)").alias("image_id"), F.expr("cast((p_partkey * 13) % 40 as int)").alias("x"), F.expr("cast((p_partkey * 29 + p_size) % 50 as int)").alias("y"),
         *(F.expr(f"cast((p_partkey * {a} + p_size * {b}) % 256 as int)").alias(c) for c, a, b in (("r", 37, 3), ("g", 101, 5), ("b", 59, 11))),
     ).distinct()
 
 
-COLOURS = """px AS (SELECT DISTINCT (p_partkey % 7)::VARCHAR AS image_id, ((p_partkey * 13) % 40)::INTEGER AS x, ((p_partkey * 29 + p_size) % 50)::INTEGER AS y,
+COLOURS = """px AS (SELECT DISTINCT (p_partkey // 200)::VARCHAR AS image_id, ((p_partkey * 13) % 40)::INTEGER AS x, ((p_partkey * 29 + p_size) % 50)::INTEGER AS y,
   ((p_partkey * 37 + p_size * 3) % 256)::INTEGER AS r, ((p_partkey * 101 + p_size * 5) % 256)::INTEGER AS g, ((p_partkey * 59 + p_size * 11) % 256)::INTEGER AS b FROM part),
 hx AS (SELECT *, greatest(r, g, b) / 255.0::DOUBLE AS mx, CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 1.0 ELSE greatest(r, g, b) / 255.0::DOUBLE - least(r, g, b) / 255.0::DOUBLE END AS d FROM px),
 hs AS (SELECT *, CASE WHEN r = greatest(r, g, b) THEN CASE WHEN (mx - b / 255.0::DOUBLE) / d < (mx - g / 255.0::DOUBLE) / d THEN (mx - b / 255.0::DOUBLE) / d - (mx - g / 255.0::DOUBLE) / d + 6 ELSE (mx - b / 255.0::DOUBLE) / d - (mx - g / 255.0::DOUBLE) / d END WHEN g = greatest(r, g, b) THEN 2 + (mx - r / 255.0::DOUBLE) / d - (mx - b / 255.0::DOUBLE) / d

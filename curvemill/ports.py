@@ -47,15 +47,37 @@ def register_model(spark: SparkSession, name: str, model: Model) -> None:
 def llm_points(tasks: DataFrame, complete: Callable[[str], str]) -> DataFrame:
     """Points from a language model: tasks (figure_id, x_lo, x_hi, x_scale, y_lo, y_hi) to prompts, the injected client's answers, and their usable series."""
 
-    @F.udf("string")
-    def answer(text: str) -> str:
-        return complete(text)
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"figure_id": frame["figure_id"], "response": [complete(text) for text in frame["prompt"]]})
 
-    asked = tasks.withColumn("response", answer(prompt(*(F.col(c) for c in ("x_lo", "x_hi", "x_scale", "y_lo", "y_hi")))))
-    series = asked.select("figure_id", F.posexplode(parsed_series(F.col("response"))).alias("n", "s"))
+    asked = tasks.select(F.col("figure_id").cast("string").alias("figure_id"), prompt(*(F.col(c) for c in ("x_lo", "x_hi", "x_scale", "y_lo", "y_hi"))).alias("prompt"))
+    answered = asked.mapInPandas(answer, "figure_id string, response string")
+    series = answered.select("figure_id", F.posexplode(parsed_series(F.col("response"))).alias("n", "s"))
     return series.select("figure_id", F.concat_ws(":", "n", "s.label").alias("curve_id"), F.posexplode(F.arrays_zip("s.x", "s.y")).alias("ord", "p")).select("figure_id", "curve_id", F.col("ord").cast("long").alias("ord"), "p.x", "p.y")
 
 
+#: A splitter gets an image's bytes and gives its panels as (label, x0, y0, x1, y1).
+Splitter = Callable[[bytes], list[tuple[str, int, int, int, int]]]
+
+
+def split_panels(images: DataFrame, splitter: Splitter) -> DataFrame:
+    """Panels of images (image_id, content) by a user's splitter; an image that it fails on has one row with the error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for image, content in zip(frame["image_id"], frame["content"], strict=True):
+                try:
+                    out += [(image, *panel, None) for panel in splitter(bytes(content))]
+                except Exception as e:  # whatever a splitter raises concerns its image alone
+                    out.append((image, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            names = ["image_id", "label", "x0", "y0", "x1", "y1", "error"]
+            yield pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[2:6], "Int32"))
+
+    return images.select(F.col("image_id").cast("string").alias("image_id"), "content").mapInPandas(run, "image_id string, label string, x0 int, y0 int, x1 int, y1 int, error string")
+
+
 def pair_metric(pairs: DataFrame, distance: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
     """pairs with a user's distance; one that says no more than this counts as full coverage and as its own chamfer distance."""
     kinds = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes)

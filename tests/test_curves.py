@@ -111,3 +111,13 @@ def test_completion_marks_both_sides(spark):
     rows = assignment.completed(assignment.assign(curves.compared(pts)), curves.curve_stats(pts)).collect()
     assert sorted((r.figure_id, r.pred_curve_id or "", r.gt_curve_id or "", r.is_miss, r.is_false_positive) for r in rows) == [("f", "a", "a", False, False), ("f", "b", "", False, True), ("g", "", "z", True, False)]
     assert curves.compared(pts.where(F.lit(False))).count() == 0
+
+
+def test_a_plugged_matcher_decides(spark):
+    pts = points(spark, {"f": {"pred": {"a": ((0, 1), (0, 1)), "b": ((0, 1), (5, 6))}, "gt": {"a": ((0, 1), (0, 1)), "c": ((0, 1), (5, 6))}}})
+    crossed = lambda cost: np.array([1, -1])
+    rows = assignment.matched_curves(curves.compared(pts), curves.curve_stats(pts), crossed).collect()
+    assert sorted((r.pred_curve_id or "", r.gt_curve_id or "", r.is_miss, r.is_false_positive) for r in rows) == [("", "a", True, False), ("a", "c", False, False), ("b", "", False, True)]
+    assert scoring.figure_scores(pts, pts.select("figure_id").distinct(), crossed).first().match_rate == 0.5
+    own = {(r.pred_curve_id, r.gt_curve_id): r.distance for r in assignment.matched_curves(curves.compared(pts), curves.curve_stats(pts)).collect()}
+    assert own == {("a", "a"): 0.0, ("b", "c"): 0.0}

@@ -187,3 +187,35 @@ def test_command_line(capsys):
     assert "commands: capabilities, version" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
+
+
+def test_plugged_splitters_and_rates(spark):
+    def split(content):
+        if content == b"bad":
+            raise ValueError("no image")
+        return [("a", 0, 0, 1, 1), ("b", 1, 0, 2, 1)][: len(content)]
+
+    images = spark.createDataFrame([("i", bytearray(b"x")), ("j", bytearray(b"xy")), ("k", bytearray(b"bad")), ("l", bytearray(b""))], "image_id string, content binary")
+    found = ports.split_panels(images, split)
+    assert sorted((r.image_id, r.label or "", r.error or "") for r in found.collect()) == [("i", "a", ""), ("j", "a", ""), ("j", "b", ""), ("k", "", "ValueError: no image")]
+    rates = panels.rates(panels.outcomes(found)).first()
+    assert (rates.n_images, rates.n_failed, rates.n_multi, rates.n_single, rates.multi_rate) == (3, 1, 1, 1, 0.5)
+    assert panels.rates(panels.outcomes(found.where("false"))).first().multi_rate == 0
+
+
+def test_half_samples(spark):
+    rows = spark.range(20).withColumn("multi", F.col("id") < 3)
+    got = tables.half_sample(rows, "id", F.col("multi"), 1, 11).collect()
+    assert (sum(r.multi for r in got), len(got)) == (3, 9)
+    assert len(tables.half_sample(rows.where("multi"), "id", F.col("multi"), 1, 4).collect()) == 2
+
+
+def test_papers_to_download(spark):
+    rows = [("a", "REDISTRIBUTABLE", "http://x"), ("b", "REDISTRIBUTABLE", ""), ("c", "EXCLUDED", "http://y"), ("d", "REDISTRIBUTABLE", None), ("e", "REDISTRIBUTABLE", " \n")]
+    papers = spark.createDataFrame(rows, "paper_id string, license_status string, pdf_url string")
+    ids = lambda df: [r.paper_id for r in df.orderBy("paper_id").collect()]
+    assert ids(manifest.downloadable(papers)) == ["a", "e"]
+    assert ids(manifest.without_pdf_url(papers)) == ["b", "d", "e"]
+    assert manifest.total_size(spark.createDataFrame([([1, 2],), (None,), ([],)], "names array<int>"), "names").first().total == 2
+    images = spark.createDataFrame([("d", 2, 1), ("d", 1, 5), ("e", 1, 1)], "doc string, page int, number int")
+    assert sorted((r.doc, r.page, r.ordinal) for r in pairings.with_ordinals(images).collect()) == [("d", 1, 0), ("d", 2, 1), ("e", 1, 0)]
