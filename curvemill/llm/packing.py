@@ -36,9 +36,9 @@ from curvemill.llm._common import spread, steps, utf8
 #: Context sizes, the longest first; tokens of a step; token that ends a document.
 TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
 #: Pieces of text whose ids a worker remembers at once, and tokens that it packs together.
-REMEMBERED, HELD_TOKENS = 600_000, 4_000_000
+REMEMBERED, HELD_TOKENS = 250_000, 4_000_000
 #: Bytes of text that are cut into pieces at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_id", pa.int64())])
 
@@ -60,8 +60,7 @@ class Tokens:
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
-        self.plain = Tokenizer.from_file(path)  # for what is normalised and lowered already
-        self.plain.normalizer = None
+        self.normalizer = self.tokenizer.normalizer
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
 
@@ -92,6 +91,11 @@ class Tokens:
         ends = (4 * np.cumsum(size[order])[stops + np.arange(len(stops))]).tolist()
         return [tokens[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def rest(self) -> None:
+        """Between tasks only the newer pieces are kept, and what Arrow holds unused is given back."""
+        self.old = {}
+        pa.default_memory_pool().release_unused()
+
     def _learn(self, wanted: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
@@ -115,7 +119,11 @@ class Tokens:
             self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1:]]
 
     def _learn_words(self, words: list[bytes]) -> None:
-        ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        self.tokenizer.normalizer = None  # they are normalised and lowered already
+        try:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        finally:
+            self.tokenizer.normalizer = self.normalizer
         stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(stops) != len(words):  # the tokenizer's notion of a letter isn't ours
             return self._learn_each(words)
@@ -253,6 +261,7 @@ def _packed(path: str) -> Callable:
         for size, window in packer.rest():
             close(size, window)
         yield from out()
+        tokens.rest()
 
     return run
 
