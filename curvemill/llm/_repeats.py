@@ -32,6 +32,8 @@ from curvemill.llm._common import steps, utf8
 #: Records of one anchor that a task holds at once; what goes beyond is compared window by window.
 HOT = 20_000
 SALTS = 64
+#: Bytes of text whose anchors a bucket counts.
+BUCKET_BYTES = 8 << 20
 DECIDED, GROUPED, WINDOW = 0, 1, 2
 RECORD = "key long, kind int, doc_id long, dkey long, start int, left int, n int, body binary"
 RECORD_SCHEMA = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("dkey", pa.int64()), ("start", pa.int32()), ("left", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
@@ -69,14 +71,14 @@ def repeated_ranges(documents: DataFrame, anchors: Callable, records: Callable,
     anchors(data, offsets) gives Anchors of a step; records(data, offsets, anchors) gives (left, n windows, body) of each;
     compare(rows) yields (row, start, n windows) of covered windows of a group sorted by doc_id and start.
     """
-    spark = documents.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(size) // BUCKET_BYTES + 1
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("dkey", F.xxhash64("doc_id", "text")).repartition("dkey")
 
-    sent = base.mapInArrow(_send(anchors, buckets), "bucket int, hashes binary, counts binary, dkeys binary, pos binary").repartition("bucket")
-    flags = sent.mapInArrow(_flag, "dkey long, pos int").groupBy("dkey").agg(F.collect_list("pos").alias("pos"))
-    rows = base.join(flags.hint("shuffle_hash"), "dkey").select("doc_id", "text", "dkey", "pos").mapInArrow(_windows(anchors, records, strictly_smaller_doc), RECORD)
+    sent = base.mapInArrow(_send(anchors, buckets), "bucket int, hashes binary, counts binary, dkeys binary, pos binary")
+    flags = sent.groupBy("bucket").applyInArrow(_flag, "dkey long, pos int").groupBy("dkey").agg(F.collect_list("pos").alias("pos"))
+    rows = base.join(flags, "dkey").select("doc_id", "text", "dkey", "pos").mapInArrow(_windows(anchors, records, strictly_smaller_doc), RECORD)
     rows = compared(rows, compare, strictly_smaller_doc)
     return base, rows.groupBy("dkey").agg(F.collect_list(F.struct("doc_id", "start", "n")).alias("ranges"))
 
@@ -96,7 +98,7 @@ def compared(rows: DataFrame, compare: Callable, strictly_smaller_doc: bool) ->
 
 def cut(base: DataFrame, ranges: DataFrame, function: Callable, schema: str) -> DataFrame:
     """function over batches of (doc_id, text, ranges) for all documents."""
-    return base.join(ranges.hint("shuffle_hash"), "dkey", "left").select("doc_id", "text", "ranges").mapInArrow(function, schema)
+    return base.join(ranges, "dkey", "left").select("doc_id", "text", "ranges").mapInArrow(function, schema)
 
 
 def _send(anchors: Callable, buckets: int) -> Callable:
@@ -131,8 +133,8 @@ def _send(anchors: Callable, buckets: int) -> Callable:
     return run
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of anchors that occur at least twice, by document. A task holds one record for each anchor and batch at most."""
+def _flag(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of anchors of a bucket that occur at least twice, by document. It holds one record for each anchor and batch at most, of BUCKET_BYTES of text on average."""
     got = [[b"".join(b[c].to_pylist()) for c in ("hashes", "counts", "dkeys", "pos")] for b in batches]
     if not got:
         return
