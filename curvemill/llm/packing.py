@@ -36,7 +36,7 @@ from curvemill.llm._common import spread, steps, utf8
 #: Context sizes, the longest first; tokens of a step; token that ends a document.
 TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
 #: Pieces of text whose ids a worker remembers at once, and tokens that it packs together.
-REMEMBERED, HELD_TOKENS = 250_000, 4_000_000
+REMEMBERED, HELD_TOKENS = 150_000, 4_000_000
 #: Bytes of text that are cut into pieces at a time.
 STEP_BYTES = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
