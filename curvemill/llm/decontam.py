@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import spread, staged, steps, utf8
+from curvemill.llm._common import rested, spread, staged, steps, utf8
 
 WINDOW = 10
 #: Words of benchmark items that are searched at a time; words of runs and documents in a shard; distance of sampled suffixes.
@@ -216,7 +216,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]
 def find_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each document its number of words, of words in benchmark windows, the items found (ids as sorted strings) and the removal spans (in words)."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    search = lambda rows, block: rows.mapInArrow(_scan(documents.sparkSession.sparkContext.broadcast(block)), SCHEMA)
+    search = lambda rows, block: rows.mapInArrow(rested(_scan(documents.sparkSession.sparkContext.broadcast(block))), SCHEMA)
     blocks = _blocks(benchmark)
     block, after = next(blocks), next(blocks, None)
     if after is None:

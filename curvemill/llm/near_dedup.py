@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import grams, mix, staged, steps, utf8, words_of
+from curvemill.llm._common import STEP_BYTES, grams, mix, rested, staged, steps, utf8, words_of
 from curvemill.llm.components import components
 
 SAMPLES, ROWS, BANDS, SKETCH_BITS, BLOCK = 128, 4, 24, 512, 512
-#: Members of a bucket that is small; places of the bitmap of wanted documents (16 MB; where it fills up, more sets than needed are sent).
-SMALL, PLACES = 32, 1 << 27
+#: Members of a bucket that is small; places of the bitmap of wanted documents for each of them and at most (16 MB; where it fills up, more sets than needed are sent).
+SMALL, PLACES_EACH, PLACES = 32, 64, 1 << 27
 _RANDOM = random.Random(20)
 _FACTORS = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(SAMPLES)], np.uint64)
 _FLIPS = np.array([_RANDOM.getrandbits(64) for _ in range(SAMPLES)], np.uint64)
@@ -83,7 +83,7 @@ def _signatures(words: int):
         for batch in batches:
             data, offsets = utf8(batch["text"])
             ids = batch["doc_id"]
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, STEP_BYTES // 4):
                 sets, h2 = shingle_sets(data, offsets[i : j + 1], words, streams=2)
                 n = np.array([len(s) for s in sets])
                 some = np.flatnonzero(n)
@@ -116,14 +116,12 @@ def _sets(words: int, bitmap):
     """Sets of the documents whose place the bitmap has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(PLACES // 8, np.uint8)
-        for bucket, bits in bitmap.value.items():
-            wanted[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+        wanted = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             place = batch["place"].to_numpy()
             batch = batch.filter(pa.array((wanted[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             data, offsets = utf8(batch["text"])
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, STEP_BYTES // 4):
                 sets, _ = shingle_sets(data, offsets[i : j + 1], words)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "h1", "shingles"])
 
@@ -183,21 +181,25 @@ def _link(percent: int):
     return run
 
 
-def _wanted(spark, ids: DataFrame):
-    """A broadcast bitmap of at most PLACES bits with the places of ids."""
-    bits = ids.select((_place("id") + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
-    return spark.sparkContext.broadcast({r.bucket: bytes(r.bits) for r in bits.collect()})
+def _wanted(spark, ids: DataFrame) -> tuple:
+    """A broadcast bitmap with the places of ids, and how many places it has: in proportion to ids, but at most PLACES."""
+    places = min(PLACES, 1 << max(15, (PLACES_EACH * ids.count() - 1).bit_length()))
+    bits = ids.select((_place("id", places) + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+    wanted = bytearray(places // 8)
+    for row in bits.collect():  # a row for 4096 bytes
+        wanted[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
+    return spark.sparkContext.broadcast(bytes(wanted)), places
 
 
-def _place(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(PLACES))
+def _place(column: str, places: int):
+    return F.pmod(F.xxhash64(column), F.lit(places))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links of Jaccard similarity >= percent / 100 reach)."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(texts.mapInArrow(_signatures(words), "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
+    signed = staged(texts.mapInArrow(rested(_signatures(words)), "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
     known = signed.where("doc_id is not null and n > 0")
     classes = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     leads = known.join(classes.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"])
@@ -223,8 +225,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     dealt = staged(open_.withColumns({"component": F.col("id"), "p": F.explode(first)}).select("band", "band_no", "members", "n_blocks", "own", "component", "id", "h1", "p.*"), "buckets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        bitmap = _wanted(spark, pairs)
-        sets = texts.where("doc_id is not null").withColumn("place", _place("doc_id")).mapInArrow(_sets(words, bitmap), "id long, h1 long, shingles binary")
+        bitmap, places = _wanted(spark, pairs)
+        sets = texts.where("doc_id is not null").withColumn("place", _place("doc_id", places)).mapInArrow(rested(_sets(words, bitmap)), "id long, h1 long, shingles binary")
         full = leads.join(sets.dropDuplicates(["id", "h1"]), ["id", "h1"])
         return pairs.join(full, ["id", "h1"]).groupBy("band", "i", "j").applyInArrow(_link(percent), "a long, b long")
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import spread, steps, utf8
+from curvemill.llm._common import rest, spread, steps, utf8
 
 #: Context sizes, the longest first; tokens of a step; token that ends a document.
 TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
@@ -91,10 +91,12 @@ class Tokens:
         ends = (4 * np.cumsum(size[order])[stops + np.arange(len(stops))]).tolist()
         return [tokens[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def rest(self) -> None:
-        """Between tasks only the newer pieces are kept, and what Arrow holds unused is given back."""
+    def rest(self, keep: bool) -> None:
+        """Between tasks only the newer pieces are kept, or nothing at all, and unused memory is given back."""
         self.old = {}
-        pa.default_memory_pool().release_unused()
+        if not keep:
+            self.known = {}
+            self.made.clear()
 
     def _learn(self, wanted: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
@@ -204,7 +206,7 @@ class Packer:
             yield size, window
 
 
-def _packed(path: str) -> Callable:
+def _packed(path: str, keep: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer = Tokens.shared(path), Packer()
         first = TaskContext.get().partitionId() << 32
@@ -261,11 +263,16 @@ def _packed(path: str) -> Callable:
         for size, window in packer.rest():
             close(size, window)
         yield from out()
-        tokens.rest()
+        tokens.rest(keep)
+        del tokens
+        rest()
 
     return run
 
 
-def pack(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """A row for each piece of a document: its place in the document, in its sequence, and the sequence's tier and step."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packed(tokenizer), SCHEMA)
+def pack(documents: DataFrame, tokenizer: str, keep: bool = True) -> DataFrame:
+    """A row for each piece of a document: its place in the document, in its sequence, and the sequence's tier and step.
+
+    keep: whether a worker keeps the tokenizer and what it remembers (some 100 MB) for its next task.
+    """
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packed(tokenizer, keep), SCHEMA)
