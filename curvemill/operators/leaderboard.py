@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curvemill.operators.tables import chunks
+
 PENDING = "pending_external_run"
 
 
 def ranked(results: DataFrame) -> DataFrame:
     """results (model_id, model_name, status, mean_summary_score, n_figures, dataset_version, run_at, note) with rank: scored before pending, best first, ties by model_id.
 
-    Pending rows have no score, figures, version or time. A model has a row, so the ranking is small.
+    Pending rows have no score, figures, version or time. Ranks come from ranges of the order, not from one task.
     """
     pending = F.col("status") == PENDING
-    order = W.orderBy(pending, F.col("mean_summary_score").desc_nulls_last(), "model_id")
     blank = {c: F.when(~pending, F.col(c)) for c in ("mean_summary_score", "n_figures", "dataset_version", "run_at")}
-    return results.withColumns(blank).withColumn("rank", F.row_number().over(order))
+    score = F.col("mean_summary_score")
+    order = F.struct(pending.alias("pending"), score.isNull().alias("none"), (-score).alias("worse"), "model_id")
+    placed = chunks(results.withColumns(blank).withColumn("_order", order), "_order", 1, "rank").drop("_order")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def latest(board: DataFrame) -> DataFrame:

@@ -28,17 +28,22 @@ def not_yet_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return todo.join(done.select(*keys), keys, "left_anti")
 
 
-def chunks(rows: DataFrame, key: str, size: int) -> DataFrame:
+def chunks(rows: DataFrame, key: str, size: int, name: str = "batch") -> DataFrame:
     """rows with batch, the number of the chunk of size rows in the key's order.
 
-    The rank is computed without one task that sees all rows: rows are sorted into ranges, and a range's rows are
-    numbered from the number of rows before it.
+    The rank is computed without one task that sees all rows: keys are sorted into ranges, and a range's keys are
+    numbered from the number of rows before it. Both uses of the ranges need the same two columns, so Spark makes them
+    once; made twice, from two samples, they could differ.
     """
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    counted = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    local = ranged.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1)
-    return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_at")) / size).cast("long")).drop("_part", "_at", "_before")
+    ranged = rows.groupBy(key).agg(F.count("*").alias("_n")).repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    counted = ranged.groupBy("_part").agg(F.sum("_n").alias("_all"))
+    ahead = lambda order: order.rowsBetween(W.unboundedPreceding, -1)
+    before = counted.select("_part", F.coalesce(F.sum("_all").over(ahead(W.orderBy("_part"))), F.lit(0)).alias("_before"))  # a row per partition
+    local = ranged.withColumn("_at", F.coalesce(F.sum("_n").over(ahead(W.partitionBy("_part").orderBy(key))), F.lit(0)))
+    placed = local.join(F.broadcast(before), "_part").select(F.col(key).alias("_key"), (F.col("_before") + F.col("_at")).alias("_first"))
+    tied = F.row_number().over(W.partitionBy("_key").orderBy("_first")) - 1
+    joined = rows.join(placed, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(name, F.floor((F.col("_first") + tied) / size).cast("long")).drop("_key", "_first")
 
 
 def hash_order(key: Column, seed: int) -> Column:

@@ -604,9 +604,9 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT (p_partkey % 50)::VARCHAR AS figure_id, '0:s' AS curve_id, count(*) AS n, sum(p_size)::DOUBLE AS total FROM part GROUP BY 1")
+@query("SELECT (p_partkey // 200)::VARCHAR AS figure_id, '0:s' AS curve_id, count(*) AS n, sum(p_size)::DOUBLE AS total FROM part GROUP BY 1")
 def model_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plugged-in model: its curve is the task's payload."""
-    tasks = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).cast("string").alias("figure_id")).agg(F.collect_list("p_size").alias("sizes"))
+    """A plugged-in model: its curve is the task's payload, the parts of 200 keys; more parts make more tasks."""
+    tasks = table(spark, sf_dir, "part").groupBy(F.expr("cast(p_partkey div 200 as string)").alias("figure_id")).agg(F.collect_list("p_size").alias("sizes"))
     found = ports.run_model(tasks, lambda task: [("s", list(range(len(task["sizes"]))), list(task["sizes"]))])
     return found.groupBy("figure_id", "curve_id").agg(F.count("*").alias("n"), F.sum("y").alias("total"))

@@ -81,6 +81,13 @@ def test_keyed_tables(spark):
     assert tables.chunks(spark.range(0), "id", 40).count() == 0
 
 
+def test_chunks_of_ties_and_nulls(spark):
+    rows = spark.range(5000).selectExpr("if(id % 7 > 0, id % 5, null) as k", "cast(id as string) as v")
+    got = tables.chunks(rows, "k", 1).orderBy("batch").collect()
+    assert [r.batch for r in got] == list(range(5000)) and len({r.v for r in got}) == 5000
+    assert [r.k for r in got] == sorted((r.k for r in got), key=lambda k: (k is not None, k or 0))
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "c.csv").write_text('SID,DOI,figure_id,x,y,extra\n1,10.1/A,5,"[1,2]","[3,""4""]",z\n')
     row = files.csv_table(spark, str(tmp_path / "c.csv"), "SID string, DOI string, figure_id string, x string, y string, extra string").first()
