@@ -85,4 +85,19 @@ ht AS (SELECT doc_id, count(DISTINCT p) AS h FROM (SELECT doc_id, unnest(range(i
 it AS (SELECT doc_id, count(*) AS k, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM oc) GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(h, 0) AS n_hit, coalesce(k, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(h, 0) > 0 AS contaminated FROM d LEFT JOIN ht USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-ORACLES = {"op2_secret_scan": SECRETS, "op3_near_dedup": NEAR, "op4_suffix_dedup": SUBSTRINGS, "op5_chat_format": CHATS, "op7_decontam": LEAKS, "op10_window_dedup": WINDOWS}
+AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS q, max((toxic = 1)::INT) AS x FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(q, 0) AS q, coalesce(x, 0) AS x, {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+  'E': EXISTS (SELECT 1 FROM d o WHERE o.t = w.t AND o.doc_id < w.doc_id)} AS f FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, unnest(['A', 'B', 'C', 'D', 'E']) AS x FROM (SELECT DISTINCT part FROM m)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) a, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) b, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) c, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) d, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+g AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: CASE k WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS bad, count(*) AS n, sum(q) AS q, sum(x) AS x FROM m GROUP BY ALL),
+s AS (SELECT g.*, filter_order, step, filter_order[step:step] AS k, list_bool_or([false] || list_transform(string_split(filter_order[1:step-1], ''), lambda y: list_contains(bad, y))) AS gone FROM g, o, (SELECT unnest(generate_series(1, 5)) AS step)),
+r AS (SELECT part, filter_order, step::INT AS step, k, sum(n) FILTER (NOT gone AND NOT list_contains(bad, k)) AS kept, sum(n) FILTER (NOT gone AND list_contains(bad, k)) AS removed, sum(n) FILTER (gone AND list_contains(bad, k)) AS redundant,
+  sum(n) FILTER (bad = [k]) AS unique_fails, sum(q) FILTER (NOT gone AND list_contains(bad, k)) AS good_lost, sum(x) FILTER (NOT gone AND list_contains(bad, k)) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, k), 0)::BIGINT AS shapley FROM r"""
+
+ORACLES = {"op2_secret_scan": SECRETS, "op3_near_dedup": NEAR, "op4_suffix_dedup": SUBSTRINGS, "op5_chat_format": CHATS, "op7_decontam": LEAKS, "op10_window_dedup": WINDOWS, "op12_filter_audit": AUDIT}

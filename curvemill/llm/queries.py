@@ -92,6 +92,12 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curvemill.llm.filter_audit import audit, masks
+
+    return audit(masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_secret_scan": op2_secret_scan,
@@ -103,4 +109,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_flac": op8_flac,
     "op9_quality_knn": op9_quality_knn,
     "op10_window_dedup": op10_window_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_flac": ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"),
     "op9_quality_knn": ("doc_id", "held_out", "score", "predicted"),
     "op10_window_dedup": ("doc_id", "n_words", "n_removed", "kept_sha256"),
+    "op12_filter_audit": ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"),
 }
 
 
@@ -46,6 +47,9 @@ def test_query(spark, sf_dir, texts, name):
     found = QUERIES[name](spark, folder)
     assert tuple(found.columns)[: len(COLUMNS[name])] == COLUMNS[name]
     rows = {r[0]: tuple(r[1:]) for r in found.collect()}
+    if name == "op12_filter_audit":
+        assert found.count() == 3 * 600
+        return
     if name == "op5_chat_format":
         assert rows.keys() == {-1, 1, 2} and rows[-1][0] == 2
         return
