@@ -114,10 +114,16 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+def bytes_in(some: bytes) -> np.ndarray:
+    """For each byte whether it is one of these."""
+    out = np.zeros(256, bool)
+    out[list(some)] = True
+    return out
+
+
+_IS_SPACE = bytes_in(SPACES)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 #: Words longer than this are hashed whole; a shorter one is the sum of a random number for each of its bytes at its place.
@@ -125,8 +131,8 @@ _LONG = 32
 _RANDOM = np.random.default_rng(20).integers(0, 1 << 64, (2, _LONG * 256), np.uint64)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, streams: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words (runs of bytes that aren't white space) of documents: hashes, starts, ends in data[offsets[0]:offsets[-1]], and the number of each document's first word.
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, streams: int = 1, spaces: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words (runs of bytes that aren't spaces, white space if not said) of documents: hashes, starts, ends in data[offsets[0]:offsets[-1]], and the number of each document's first word.
 
     streams says how many independent 64-bit hashes a word gets; with two, hashes has two rows.
     """
@@ -134,7 +140,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, streams: int =
     part = data[base : int(offsets[-1])]
     off = offsets - base
     shape = lambda h: h[0] if streams == 1 else h
-    word = ~_IS_SPACE[part]
+    word = ~spaces[part]
     first = word.copy()
     inner = np.ones(len(part) + 1, bool)
     inner[off] = False  # a document's first byte continues no word
@@ -145,7 +151,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool, streams: int =
     if not len(starts):
         return shape(np.zeros((streams, 0), U64)), starts, ends, np.zeros(len(off), np.int64)
     if lower:
-        part = _LOWER[part]
+        part = LOWER[part]
     lens = ends - starts
     at = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum())) - np.repeat(at, lens)

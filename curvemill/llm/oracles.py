@@ -85,6 +85,19 @@ ht AS (SELECT doc_id, count(DISTINCT p) AS h FROM (SELECT doc_id, unnest(range(i
 it AS (SELECT doc_id, count(*) AS k, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM oc) GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(h, 0) AS n_hit, coalesce(k, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(h, 0) > 0 AS contaminated FROM d LEFT JOIN ht USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
+PHRASES = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+g AS (SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS ph, count(*) AS f FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM p, (SELECT unnest(generate_series(1, 5)) AS k) WHERE len(ws) >= k) GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE k >= 2 AND f >= 100),
+u AS (SELECT *, unnest(generate_series(1, k - 1)) AS j, string_split(ph, ' ') AS w FROM c),
+s AS (SELECT u.lang, u.k, u.ph, u.f AS a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * u.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM u JOIN t USING (lang)
+  JOIN g x ON x.lang = u.lang AND x.k = j AND x.ph = array_to_string(w[1:j], ' ') JOIN g y ON y.lang = u.lang AND y.k = u.k - j AND y.ph = array_to_string(w[j+1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM b
+  WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = b.lang AND o.k > b.k AND 100 * o.f >= 100 * b.a AND contains(' ' || o.ph || ' ', ' ' || b.ph || ' ')))
+SELECT lang, rank, ph AS phrase, a, l, r, n, score FROM z WHERE rank <= 2000"""
+
 AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 l AS (SELECT doc_id, max((quality = 1)::INT) AS q, max((toxic = 1)::INT) AS x FROM labels GROUP BY 1),
@@ -100,4 +113,4 @@ r AS (SELECT part, filter_order, step::INT AS step, k, sum(n) FILTER (NOT gone A
 SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
   coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, k), 0)::BIGINT AS shapley FROM r"""
 
-ORACLES = {"op2_secret_scan": SECRETS, "op3_near_dedup": NEAR, "op4_suffix_dedup": SUBSTRINGS, "op5_chat_format": CHATS, "op7_decontam": LEAKS, "op10_window_dedup": WINDOWS, "op12_filter_audit": AUDIT}
+ORACLES = {"op2_secret_scan": SECRETS, "op3_near_dedup": NEAR, "op4_suffix_dedup": SUBSTRINGS, "op5_chat_format": CHATS, "op7_decontam": LEAKS, "op10_window_dedup": WINDOWS, "op11_setm": PHRASES, "op12_filter_audit": AUDIT}

@@ -92,6 +92,12 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curvemill.llm.setm import collocations, phrase_tables
+
+    return collocations(phrase_tables(_table(spark, sf_dir, "documents")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curvemill.llm.filter_audit import audit, masks
 
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_flac": op8_flac,
     "op9_quality_knn": op9_quality_knn,
     "op10_window_dedup": op10_window_dedup,
+    "op11_setm": op11_setm,
     "op12_filter_audit": op12_filter_audit,
     "op13_imatch": op13_imatch,
 }

@@ -90,3 +90,27 @@ def edited(rows):
     """Number of code points, and digest of the text with its last quarter replaced by the beginning of the next one."""
     rows = [(d, t or "") for d, t in sorted(rows, key=lambda r: r[0])]
     return {d: (len(t), sha(t[: len(t) - len(t) // 4] + u[: len(t) // 4])) for (d, t), (_, u) in zip(rows, rows[1:] + rows[:1])}
+
+
+def collocations(rows, least, longest=5, top=2000):
+    """rows (text, lang) to (lang, rank, phrase, a, l, r, n, score)."""
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\n-\r]", fold(text)):
+            words = re.findall("[^\x20\t]+", piece)
+            for k in range(1, longest + 1):
+                counts["und" if lang is None else lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = set()
+    for lang, f in counts.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        good = [p for p, c in f.items() if len(p) > 1 and c >= least]
+        inside = lambda p, q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+        found = []
+        for p in good:
+            if any(len(q) > len(p) and 100 * f[q] >= 100 * f[p] and inside(p, q) for q in good):
+                continue
+            score, k = min((1000 * f[p] * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -f[p], " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.add((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return out

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_flac": ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"),
     "op9_quality_knn": ("doc_id", "held_out", "score", "predicted"),
     "op10_window_dedup": ("doc_id", "n_words", "n_removed", "kept_sha256"),
+    "op11_setm": ("lang", "rank", "phrase", "a", "l", "r", "n", "score"),
     "op13_imatch": ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"),
     "op12_filter_audit": ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"),
 }
@@ -48,6 +49,10 @@ def test_query(spark, sf_dir, texts, name):
     found = QUERIES[name](spark, folder)
     assert tuple(found.columns)[: len(COLUMNS[name])] == COLUMNS[name]
     rows = {r[0]: tuple(r[1:]) for r in found.collect()}
+    if name == "op11_setm":
+        langs = dict(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect())
+        assert {tuple(r) for r in found.collect()} == brute.collocations([(t, langs[i]) for i, t in texts], 100)
+        return
     if name == "op12_filter_audit":
         assert found.count() == 3 * 600
         return
