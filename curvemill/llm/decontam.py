@@ -15,6 +15,7 @@ get the same result, each its own; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain, repeat
@@ -29,6 +30,8 @@ from curvemill.llm._common import rested, spread, staged, steps, utf8
 WINDOW = 10
 #: Words of benchmark items that are searched at a time; words of runs and documents in a shard; distance of sampled suffixes.
 BLOCK_WORDS, SHARD_WORDS, SHARD_DOCS, SAMPLE = 2_000_000, 1_000_000, 20_000, 8
+#: Documents in a shard whose rows wait for its verdict.
+CLEAN_DOCS = 4_000
 #: Bytes of words (digits, letters with A-Z as a-z, and all that isn't ASCII) as they are, all others as spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
@@ -156,7 +159,7 @@ def _shard(ids: list, n_words: list, text: list, places: list, docs: list, sigma
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(hits), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, _OUT.field("spans").type)], schema=_OUT)
 
 
-def _scan(block) -> Callable:
+def _scan(block, most_docs: int = SHARD_DOCS) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, windows = item_windows(block.value)
         get, least = vocabulary.get, min(windows, default=1)
@@ -192,7 +195,7 @@ def _scan(block) -> Callable:
                     held += len(text)
                 state[0].extend(names[i:j])
                 state[1].extend(count.tolist())
-                if held > SHARD_WORDS or len(state[0]) > SHARD_DOCS:
+                if held > SHARD_WORDS or len(state[0]) > most_docs:
                     yield _shard(*state, len(vocabulary) + 1, windows)
                     state, held = ([], [], [], [], []), 0
         if state[0]:
@@ -201,6 +204,44 @@ def _scan(block) -> Callable:
     return run
 
 
+def _clean(block) -> Callable:
+    """Rows whose text holds no window of the block, as they came; a row is judged where it is read, whatever its id."""
+    search = _scan(block, CLEAN_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def numbered() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch["text"]], names=["doc_id", "text"])
+
+        for found in search(numbered()):  # in the order of the rows
+            good = pa.array(found["n_hit"].to_numpy() == 0)
+            while len(good):
+                first = waiting.popleft()
+                n = min(len(good), first.num_rows)
+                if n < first.num_rows:
+                    waiting.appendleft(first.slice(n))
+                yield first.slice(0, n).filter(good.slice(0, n))
+                good = good.slice(n)
+
+    return run
+
+
+def without_benchmark(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents (text, ...) whose text holds no window of a benchmark item.
+
+    Nothing is joined: a row is searched and kept or dropped in one pass for each block of the benchmark, so rows
+    without a doc_id, with a doc_id that others have too, or repeated are each judged by their own text.
+    """
+    kinds = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in documents.dtypes)
+    for block in _blocks(benchmark):
+        documents = documents.mapInArrow(rested(_clean(documents.sparkSession.sparkContext.broadcast(block))), kinds)
+    return documents
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id").toLocalIterator():

@@ -10,7 +10,7 @@ import brute
 from test_text import check_packed
 
 import corpus_pipeline
-from curvemill.llm import langid, secret_scan
+from curvemill.llm import decontam, langid, secret_scan
 
 KEY = "password=abcdefghij0123456789"
 
@@ -91,3 +91,33 @@ def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()))
     assert got == [(0, "q r"), (1, text), (3, "x y"), (4, "")]
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 12])
+def test_decontamination_judges_each_row_by_its_text(spark, tmp_path, monkeypatch, block_words):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(decontam, "CLEAN_DOCS", 3)
+    passage, other = (" ".join(f"{w}{i}" for i in range(12)) for w in ("item", "two"))
+    spark.createDataFrame([(1, passage), (2, other), (None, "lone item"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"bad {passage}"), (1, "clean"), (None, f"{passage} bad"), (2, "clean too"), (None, "clean"), (1, f"bad {passage}"), (3, None), (3, ""), (5, f"x {other} y"), (6, "a lone item here"), *((i, f"text {i}") for i in range(10, 30))]
+    frame = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("n_hit", F.lit(1))
+    kept = corpus_pipeline.decontaminate(spark, frame.repartition(2), str(tmp_path))
+    assert tuple(kept.columns) == corpus_pipeline.COLUMNS
+    bad = lambda t: any(x in (t or "") for x in (passage, other, "lone item"))
+    key = lambda r: (str(r[0]), r[1] or "\0" if r[1] is None else r[1])
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(((i, t) for i, t in rows if not bad(t)), key=key)
+
+
+def test_stages_with_null_and_shared_ids(spark, tmp_path):
+    spark.createDataFrame([(1, "nothing of the kind is anywhere to be found")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"wort{i}" for i in range(30))
+    rows = [(None, f"eins {KEY} zwei"), (None, "drei vier"), (1, "eins zwei"), (1, f"{KEY} drei"), (2, long), (2, long), (None, None)]
+    frame = spark.createDataFrame([(i, t, None if i == 1 else "de", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda stage: sorted((r.text or "") for r in stage(spark, frame, str(tmp_path)).collect())
+    given = sorted(t or "" for _, t in rows)
+    assert texts(corpus_pipeline.language_id) == [t for t in given if t]
+    assert texts(corpus_pipeline.decontaminate) == given
+    assert texts(corpus_pipeline.secrets) == sorted(t.replace(KEY, "[SECRET]") for t in given)
+    assert texts(corpus_pipeline.near_duplicates) == sorted(set(given))
+    packed = corpus_pipeline.pack(spark, frame, str(tmp_path))
+    assert packed.where("start = 0").count() == len(rows)
