@@ -1,14 +1,14 @@
 """Collocations by SETM: relations of phrase occurrences, extended word by word.
 
 A text is lower-cased (A-Z) and cut into pieces at ``.,;:!?`` and line ends, these into words at blanks and tabs; all
-counts are per lang. The relation of length k says at which place which frequent phrase of k words begins. It is a
-table, sorted by place, in chunks of text: a row holds a chunk's places and phrases as arrays. Places count words, and
-one is left out between pieces, so that neighbours in a piece, and only they, have consecutive places.
+counts are per lang. The relation of length k says where which frequent phrase of k words begins. It is a table, in
+chunks of text: a row holds a chunk's phrases sorted by place, with a gap wherever the next phrase doesn't begin one
+word later in the same piece.
 
 For each length from 2 to LONGEST
 
-* every relation is merge-joined with itself by adjacent place: two phrases of k - 1 words that start at neighbouring
-  places make one of k words, and no other phrase can be frequent;
+* every relation is merge-joined with itself by piece and adjacent place: two phrases of k - 1 words that begin at
+  neighbouring places make one of k words, and no other phrase can be frequent;
 * the joined occurrences are counted by phrase, within the chunk first, then over all chunks;
 * phrases of at least LEAST occurrences stay: each chunk learns which of its own these are (a semi-join on the phrase,
   then on the chunk), and the kept occurrences are written as the next relation.
@@ -32,20 +32,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import LOWER, bytes_in, dropped, spread, staged, steps, utf8, words_of
+from curvemill.llm._common import LOWER, bytes_in, dropped, rested, spread, staged, steps, utf8, words_of
 
 #: Least occurrences of a phrase, its most words, how many of each lang are reported.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text whose occurrences are one row, rows of a batch to Spark, parts in which a lang is ranked first.
-CHUNK_BYTES, OUT_ROWS, RANK_PARTS = 16 << 20, 1 << 17, 64
+CHUNK_BYTES, OUT_ROWS, RANK_PARTS = 8 << 20, 1 << 17, 64
 #: What ends a piece, and what also ends a word.
 _ENDS_PIECE, _ENDS_WORD = bytes_in(b".,;:!?\n\x0b\x0c\r"), bytes_in(b".,;:!?\n\x0b\x0c\r \t")
-#: places and codes: little-endian 32-bit numbers; items: the 64-bit word ids of the chunk's phrases, one phrase after another; a code is the number of a phrase there.
-RELATION = "chunk long, places binary, codes binary, items binary"
+#: codes: numbers of phrases among the chunk's own, or a gap, as _packed makes them; items: the 64-bit word ids of these phrases, one phrase after another.
+RELATION = "chunk long, codes binary, items binary"
 
 
-def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Places and codes of a chunk's words, the distinct words, and how often each occurs."""
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers from -1 (a gap) up as 32 bits, first the low bytes of all, then the next ones: the high ones are alike and compress."""
+    return (codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(value: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(value.as_buffer(), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
+
+
+def _closed(codes: np.ndarray) -> np.ndarray:
+    """Codes with one gap where there are several."""
+    keep = codes >= 0
+    keep[1:] |= codes[:-1] >= 0
+    return codes[keep]
+
+
+def _words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes of a chunk's words with gaps between pieces, the distinct words, and how often each occurs."""
     data, offsets = utf8(text)
     hashes, starts, ends, breaks = [], [], [], []
     for i, j in steps(offsets):
@@ -57,14 +74,16 @@ def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray
         for kept, value in ((hashes, h), (starts, a + offsets[i]), (ends, b + offsets[i]), (breaks, new)):
             kept.append(value)
     if not hashes or not sum(map(len, hashes)):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), pa.array([], pa.string()), np.zeros(0, np.int64)
-    _, at, codes, counts = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
-    places = np.arange(len(codes)) + np.cumsum(np.concatenate(breaks))
+        return np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64)
+    _, at, found, counts = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+    breaks = np.concatenate(breaks)
+    codes = np.full(len(found) + int(breaks.sum()), -1)
+    codes[np.arange(len(found)) + np.cumsum(breaks)] = found
     begin = np.concatenate(starts)[at]
     length = np.concatenate(ends)[at] - begin
     into = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
     words = pa.StringArray.from_buffers(len(at), pa.py_buffer(into), pa.py_buffer(LOWER[data[spread(begin, length)]]))
-    return places.astype(np.int32), codes.astype(np.int32), words, counts
+    return codes, words, counts
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,11 +93,11 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def written(lang: str) -> pa.RecordBatch:
         nonlocal number
-        places, codes, words, counts = _words(pa.concat_arrays(held.pop(lang)))
+        codes, words, counts = _words(pa.concat_arrays(held.pop(lang)))
         size.pop(lang)
         number += 1
         lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([lang]), pa.array([places.tobytes()]), pa.array([codes.tobytes()]), *lists], names=["chunk", "lang", "places", "codes", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([lang]), pa.array([_packed(codes)]), *lists], names=["chunk", "lang", "codes", "words", "counts"])
 
     for batch in batches:
         langs = batch["lang"].to_numpy(zero_copy_only=False)
@@ -96,22 +115,15 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield written(lang)
 
 
-def _numbers(value: pa.Scalar, kind: type) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), kind)
-
-
-def _row(chunk: pa.Scalar, places: np.ndarray, codes: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
-    blobs = [pa.array([x.tobytes()], pa.binary()) for x in (places.astype(np.int32), codes.astype(np.int32), items.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), *blobs], names=["chunk", "places", "codes", "items"])
+def _row(chunk: pa.Scalar, codes: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([_packed(codes)], pa.binary()), pa.array([items.astype(np.int64).tobytes()], pa.binary())], names=["chunk", "codes", "items"])
 
 
-def _only(places: np.ndarray, codes: np.ndarray, wanted: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences whose code, of n, is one of wanted (sorted); codes become numbers in wanted."""
-    new = np.full(n, -1)
+def _only(codes: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
+    """Codes, of n, that are among wanted (sorted) as numbers in wanted; gaps for the others."""
+    new = np.full(n + 1, -1)  # the last is that of gaps
     new[wanted] = np.arange(len(wanted))
-    codes = new[codes] if n else codes
-    keep = np.flatnonzero(codes >= 0)
-    return places[keep], codes[keep]
+    return _closed(new[codes])
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,19 +134,20 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted, ids = (np.asarray(reply.field(name)) for name in ("code", "id"))
             order = np.argsort(wanted)
             wanted, ids = wanted[order], ids[order]
-            places, codes = _only(_numbers(batch["places"][k], np.int32), _numbers(batch["codes"][k], np.int32), wanted, batch["n"][k].as_py())
-            yield _row(batch["chunk"][k], places, codes, ids)
+            yield _row(batch["chunk"][k], _only(_unpacked(batch["codes"][k]), wanted, batch["n"][k].as_py()), ids)
 
 
-def _joined(batch: pa.RecordBatch, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's relation merge-joined with itself by adjacent place: places, codes, items and counts of phrases of so many words."""
-    places, codes = (_numbers(batch[c][k], np.int32) for c in ("places", "codes"))
-    items = _numbers(batch["items"][k], np.int64).reshape(-1, length - 1)
-    at = np.flatnonzero(places[1:] == places[:-1] + 1)
-    pair = codes[at].astype(np.int64) * max(1, len(items)) + codes[at + 1]
-    known, codes, counts = np.unique(pair, return_inverse=True, return_counts=True)
+def _joined(batch: pa.RecordBatch, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's relation merge-joined with itself by adjacent place: codes, items and counts of phrases of so many words."""
+    codes = _unpacked(batch["codes"][k])
+    items = np.frombuffer(batch["items"][k].as_buffer(), np.int64).reshape(-1, length - 1)
+    at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+    pair = codes[at] * max(1, len(items)) + codes[at + 1]
+    known, found, counts = np.unique(pair, return_inverse=True, return_counts=True)
     left, right = known // max(1, len(items)), known % max(1, len(items))
-    return places[at], codes, np.hstack([items[left], items[right, -1:]]), counts
+    joined = np.full(max(0, len(codes) - 1), -1)
+    joined[at] = found
+    return joined, np.hstack([items[left], items[right, -1:]]), counts
 
 
 def _counted(length: int):  # noqa: ANN202
@@ -144,7 +157,7 @@ def _counted(length: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                _, _, items, counts = _joined(batch, k, length)
+                _, items, counts = _joined(batch, k, length)
                 for i in range(0, len(counts), OUT_ROWS):
                     part = items[i : i + OUT_ROWS]
                     code = np.arange(i, i + len(part), dtype=np.int32)
@@ -158,10 +171,9 @@ def _next(length: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                places, codes, items, counts = _joined(batch, k, length)
+                codes, items, counts = _joined(batch, k, length)
                 wanted = np.sort(np.asarray(batch["reply"][k].values))
-                places, codes = _only(places, codes, wanted, len(counts))
-                yield _row(batch["chunk"][k], places, codes, items[wanted])
+                yield _row(batch["chunk"][k], _only(codes, wanted, len(counts)), items[wanted])
 
     return run
 
@@ -169,29 +181,31 @@ def _next(length: int):  # noqa: ANN202
 def frequent_words(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Tables of the words of at least so many occurrences (ids, phrase, last, lang, n, f, heads, tails), and the relation of their occurrences."""
     text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    chunks = staged(documents.select(text.alias("text"), lang.alias("lang")).mapInArrow(_chunked, "chunk long, lang string, places binary, codes binary, words array<string>, counts array<long>"), "words")
+    chunks = staged(documents.select(text.alias("text"), lang.alias("lang")).mapInArrow(rested(_chunked), "chunk long, lang string, codes binary, words array<string>, counts array<long>"), "words")
     counts = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
     total = chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
     words = staged(counts.where(F.col("f") >= least).select("lang", "word", "f", F.monotonically_increasing_id().alias("id")), "frequent-1")
     known = chunks.select("chunk", "lang", F.posexplode("words").alias("code", "word")).join(words, ["lang", "word"])
     replies = known.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("reply"))  # a chunk's own words at most
-    relation = staged(chunks.select("chunk", "places", "codes", F.size("words").alias("n")).join(replies, "chunk").mapInArrow(_first, RELATION), "occurrences-1")
+    relation = staged(chunks.select("chunk", "codes", F.size("words").alias("n")).join(replies, "chunk").mapInArrow(rested(_first), RELATION), "occurrences-1")
     one = F.array("f")
     table = words.join(total, "lang").select(F.array("id").alias("ids"), F.col("word").alias("phrase"), F.col("word").alias("last"), "lang", "n", "f", one.alias("heads"), one.alias("tails"))
-    return staged(table, "phrases-1"), relation
+    ready = staged(table, "phrases-1")
+    dropped(chunks)
+    return ready, relation
 
 
 def longer(relation: DataFrame, length: int, least: int) -> tuple[DataFrame, DataFrame | None]:
     """From the relation of phrases one word shorter: the frequent phrases of this length (ids, f), and their relation."""
     keys = [f"w{i}" for i in range(length)]
-    found = relation.mapInArrow(_counted(length), "chunk long, code int, n long, " + ", ".join(f"{k} long" for k in keys))
+    found = relation.mapInArrow(rested(_counted(length)), "chunk long, code int, n long, " + ", ".join(f"{k} long" for k in keys))
     counted = found.withColumn("f", F.sum("n").over(W.partitionBy(*keys))).where(F.col("f") >= least)
     kept = staged(counted.select("chunk", "code", F.array(*keys).alias("ids"), "f"), f"frequent-{length}")
-    phrases = kept.groupBy("ids").agg(F.max("f").alias("f"))
+    phrases = kept.groupBy("ids").agg(F.max("f").alias("f"))  # a phrase has as many rows as chunks
     if length == LONGEST:
         return phrases, None
     replies = kept.groupBy("chunk").agg(F.collect_list("code").alias("reply"))
-    return phrases, staged(relation.join(replies, "chunk").mapInArrow(_next(length), RELATION), f"occurrences-{length}")
+    return phrases, staged(relation.join(replies, "chunk").mapInArrow(rested(_next(length)), RELATION), f"occurrences-{length}")
 
 
 def phrase_tables(documents: DataFrame, least: int = LEAST) -> list[DataFrame]:
