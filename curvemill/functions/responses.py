@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SERIES = "struct<series:array<struct<label:string,x:array<double>,y:array<double>>>>"
 #: The mark that opens and closes a Markdown code block, with the language that it may name.
 MARK, LANGUAGE = "```", "json"
 
@@ -29,7 +28,13 @@ def without_fence(text: Column) -> Column:
 
 
 def parsed_series(response: Column) -> Column:
-    """The usable series of a response: equal, positive numbers of x and y, none of them null. No JSON gives none."""
-    found = F.from_json(without_fence(response), SERIES)["series"]
-    usable = F.filter(found, lambda s: (F.size(s["x"]) > 0) & (F.size(s["x"]) == F.size(s["y"])) & ~F.exists(s["x"], lambda v: v.isNull()) & ~F.exists(s["y"], lambda v: v.isNull()))
+    """The usable series of a response: equal, positive numbers of x and y, all of them numbers (quoted or not). No JSON gives none.
+
+    Each entry is read by itself, so that one that is no series takes no other with it; a missing label is empty.
+    """
+    entries = F.from_json(without_fence(response), "struct<series:array<string>>")["series"]
+    read = F.transform(entries, lambda e: F.from_json(e, "struct<label:string,x:array<string>,y:array<string>>"))
+    numbers = lambda values: F.transform(values, lambda v: v.try_cast("double"))
+    typed = F.transform(read, lambda s: F.struct(F.coalesce(s["label"], F.lit("")).alias("label"), numbers(s["x"]).alias("x"), numbers(s["y"]).alias("y")))
+    usable = F.filter(typed, lambda s: (F.size(s["x"]) > 0) & (F.size(s["x"]) == F.size(s["y"])) & ~F.exists(s["x"], lambda v: v.isNull()) & ~F.exists(s["y"], lambda v: v.isNull()))
     return F.coalesce(usable, F.expr("cast(array() as array<struct<label:string,x:array<double>,y:array<double>>>)"))

@@ -16,23 +16,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def solve(cost: np.ndarray) -> np.ndarray:
-    """For each row the column it is assigned, -1 for none: least total cost by shortest augmenting paths (rows and columns may differ in number)."""
-    rows, columns = cost.shape
-    if rows > columns:
-        turned = solve(cost.T)
-        out = np.full(rows, -1)
-        out[turned] = np.arange(columns)
-        return out
-    potential_r, potential_c = np.zeros(rows), np.zeros(columns)
-    owner = np.full(columns, -1)
-    for row in range(rows):
-        least, via = np.full(columns, np.inf), np.full(columns, -1)
-        done = np.zeros(columns, bool)
+#: How far above its bound a pair may be and still count as part of some optimum; rounding is far below.
+TIGHT = 1e-10
+
+
+def _with_prices(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row that owns each column of a square matrix in a least-cost matching, and prices of rows and columns: none of their sums is above a pair's cost, those of matched pairs equal it (shortest augmenting paths)."""
+    n = len(cost)
+    rows, columns = np.zeros(n), np.zeros(n)
+    owner = np.full(n, -1)
+    for row in range(n):
+        least, via = np.full(n, np.inf), np.full(n, -1)
+        done = np.zeros(n, bool)
         at, column, reach = row, -1, 0.0
         visited = []
         while True:
-            slack = reach + cost[at] - potential_r[at] - potential_c
+            slack = reach + cost[at] - rows[at] - columns
             better = ~done & (slack < least)
             least[better], via[better] = slack[better], at
             column = int(np.where(done, np.inf, least).argmin())
@@ -42,43 +41,71 @@ def solve(cost: np.ndarray) -> np.ndarray:
             if owner[column] < 0:
                 break
             at = owner[column]
-        potential_r[row] += reach
-        for c in visited[:-1]:
-            potential_r[owner[c]] += reach - least[c]
-            potential_c[c] -= reach - least[c]
+        rows[row] += reach
+        inner = np.array(visited[:-1], np.int64)
+        rows[owner[inner]] += reach - least[inner]
+        columns[inner] -= reach - least[inner]
         while column >= 0:  # turn the path around
             at = via[column]
             owner[column], column = at, int(np.flatnonzero(owner == at)[0]) if at != row else -1
-    out = np.full(rows, -1)
-    taken = owner >= 0
-    out[owner[taken]] = np.flatnonzero(taken)
+    return owner, rows, columns
+
+
+def _square(cost: np.ndarray) -> np.ndarray:
+    """cost with rows or columns of zeros, up to as many of both."""
+    n = max(cost.shape)
+    out = np.zeros((n, n))
+    out[: cost.shape[0], : cost.shape[1]] = cost
     return out
 
 
+def solve(cost: np.ndarray) -> np.ndarray:
+    """For each row the column it is assigned, -1 for none, at least total cost (rows and columns may differ in number)."""
+    owner, _, _ = _with_prices(_square(cost))
+    taken = np.empty(len(owner), np.int64)
+    taken[owner] = np.arange(len(owner))
+    return np.where(taken < cost.shape[1], taken, -1)[: cost.shape[0]]
+
+
 def total(cost: np.ndarray, match: np.ndarray) -> float:
     some = match >= 0
     return float(cost[np.flatnonzero(some), match[some]].sum())
 
 
-def solve_first(cost: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """Of the optima of solve, the least in lexicographic order of the rows' columns; a row without one comes last."""
-    rows, columns = cost.shape
-    best, fixed = total(cost, solve(cost)), np.full(rows, -1)
-    free_c, spare, spent = list(range(columns)), max(0, rows - columns), 0.0
-    for row in range(rows):
-        for choice in [*free_c, *([-1] if spare else [])]:
-            left = [c for c in free_c if c != choice]
-            rest = cost[np.ix_(range(row + 1, rows), left)]
-            now = spent + (cost[row, choice] if choice >= 0 else 0.0)
-            size = min(rest.shape)
-            # every column has to be used when rows are spare, every row when columns are
-            if size < min(rows - row - 1, len(left)) or (choice < 0 and len(left) > rows - row - 1):
-                continue
-            if now + (total(rest, solve(rest)) if size else 0.0) <= best + tolerance:
-                fixed[row], spent, free_c = choice, now, left
-                spare -= choice < 0
-                break
-    return fixed
+def solve_first(cost: np.ndarray) -> np.ndarray:
+    """Of the optima of solve, the least in lexicographic order of the rows' columns; a row without one comes last.
+
+    One solve: by the prices, the optima are the matchings within the pairs that cost no more than their prices. Row by
+    row, the least column is taken that an alternating path through such pairs of later rows can free; a search from the
+    row's present column backwards finds all columns for which there is one.
+    """
+    square = _square(cost)
+    n = len(square)
+    owner, rows, columns = _with_prices(square)
+    tight = square - rows[:, None] - columns[None, :] <= TIGHT
+    taken = np.empty(n, np.int64)
+    taken[owner] = np.arange(n)
+    tight[np.arange(n), taken] = True
+    for row in range(min(cost.shape[0], n)):
+        had = taken[row]
+        # to[r]: the column that r moves to when its own is wanted, on the way to the column that row gives up
+        to = np.full(n, -1)
+        open_rows = np.arange(n) > row
+        wave = np.array([had])
+        while len(wave):
+            reached = np.flatnonzero(open_rows & tight[:, wave].any(axis=1))
+            to[reached] = wave[tight[np.ix_(reached, wave)].argmax(axis=1)]
+            open_rows[reached] = False
+            wave = taken[reached]
+        free = tight[row] & (to[owner] >= 0)
+        free[had] = True
+        column = int(np.flatnonzero(free)[0])
+        while column != had:  # each owner on the way gives its column to the one before
+            giver = owner[column]
+            owner[column], taken[row] = row, column
+            row, column = giver, to[giver]
+        owner[had], taken[row] = row, had
+    return np.where(taken < cost.shape[1], taken, -1)[: cost.shape[0]]
 
 
 #: A solver gets a cost matrix (predictions by references) and gives each row its column, or -1.

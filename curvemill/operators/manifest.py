@@ -19,8 +19,11 @@ def classified(dois: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def parsed_curve_rows(rows: DataFrame) -> DataFrame:
-    """Curve rows with x and y as arrays from their JSON text, a label, and an error where they can't be used (not JSON, a null in them, unequal lengths)."""
-    numbers = lambda c: F.from_json(F.col(c), "array<double>")
+    """Curve rows with x and y as arrays from their JSON text, a label, and an error where they can't be used (not JSON, something in them that is no number, unequal lengths).
+
+    A number in quotes is one too.
+    """
+    numbers = lambda c: F.transform(F.from_json(F.col(c), "array<string>"), lambda v: v.try_cast("double"))
     out = rows.withColumns({"x_values": numbers("x"), "y_values": numbers("y"), "series_label": series_label(F.col("prop_y"), F.col("unit_y"))})
     broken = lambda c: F.col(c).isNull() | F.exists(c, lambda v: v.isNull())
     error = F.when(broken("x_values") | broken("y_values"), "malformed array").when(F.size("x_values") != F.size("y_values"), "lengths differ")
@@ -28,9 +31,15 @@ def parsed_curve_rows(rows: DataFrame) -> DataFrame:
 
 
 def without_spoilt_papers(parsed: DataFrame) -> DataFrame:
-    """One bad row takes the curves of its whole paper."""
-    bad = F.max(F.col("error").isNotNull()).over(W.partitionBy("sid"))
-    return parsed.withColumn("_bad", bad).where("not _bad").drop("_bad", "error")
+    """One bad row takes the curves of its whole paper; rows without sid are one paper. Only ids meet, not the curves."""
+    bad = parsed.where("error is not null").select(F.col("sid").alias("_bad")).distinct()
+    return parsed.join(bad, F.col("sid").eqNullSafe(F.col("_bad")), "left_anti").drop("error")
+
+
+def must_be_usable(parsed: DataFrame) -> DataFrame:
+    """Fails on a row with an error, and says which paper it is of."""
+    told = F.concat(F.lit("malformed curve row of paper "), F.coalesce(F.col("sid").cast("string"), F.lit("(none)")), F.lit(": "), "error")
+    return parsed.where(F.assert_true(F.col("error").isNull(), told).isNull()).drop("error")
 
 
 def figures(curve_rows: DataFrame, held_out_ratio: float = 0.2) -> DataFrame:
@@ -40,9 +49,13 @@ def figures(curve_rows: DataFrame, held_out_ratio: float = 0.2) -> DataFrame:
 
 
 def curves(curve_rows: DataFrame) -> DataFrame:
-    """A row for each curve; its number counts through the paper, from 0, in order of the figures' first rows and then of arrival."""
+    """A row for each curve; its number counts through the paper, from 0, in order of the figures' first rows and then of arrival.
+
+    Rows of equal ord are told apart by their other columns, so that the numbers don't depend on how they arrive.
+    """
     first = F.min("ord").over(W.partitionBy("paper_id", "figure_id"))
-    order = W.partitionBy("paper_id").orderBy("first_", "figure_id", "ord")
+    rest = [c for c in curve_rows.columns if c not in ("paper_id", "figure_id", "ord")]
+    order = W.partitionBy("paper_id").orderBy("first_", "figure_id", "ord", *rest)
     numbered = curve_rows.withColumn("first_", first).withColumn("number", F.row_number().over(order) - 1).drop("first_")
     return numbered.withColumn("curve_id", F.concat_ws("-", "paper_id", "figure_id", "number"))
 

@@ -167,9 +167,12 @@ def papers_without_pdf_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.without_pdf_url(_papers(spark, sf_dir)).select("doc_id")
 
 
-@query(f"WITH {views.LICENSED} SELECT count(*) AS n FROM ls WHERE license_status = 'REDISTRIBUTABLE'")
+@query(f"WITH {views.LICENSED} SELECT count(*) AS n FROM ls WHERE lower(trim(coalesce(license_id, ''))) LIKE 'cc-by%' AND lower(trim(license_id)) NOT LIKE '%-n_%'")
 def gate_assertion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.must_be_redistributable(manifest.gated(license_classify(spark, sf_dir))).agg(F.count("*").alias("n"))
+    """Papers that a pattern takes for free ones; the assertion looks at each one's status and would stop the job."""
+    name = F.lower(F.regexp_replace(F.coalesce("license_id", F.lit("")), r"^\s+|\s+$", ""))
+    papers = views.licensed(spark, sf_dir).withColumn("license_status", license_status(F.col("license_id"), F.col("is_oa"), F.col("other_id")))
+    return manifest.must_be_redistributable(papers.where(name.like("cc-by%") & ~name.like("%-n_%"))).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {views.LICENSED} SELECT l_orderkey, l_linenumber FROM lineitem JOIN ls ON doc_id = l_orderkey WHERE license_status = 'REDISTRIBUTABLE'")
@@ -599,6 +602,17 @@ def llm_parse_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "s.label", F.size("s.x").cast("long").alias("n_points"), F.round(F.aggregate("s.y", F.lit(0.0), lambda a, v: a + v), 6).alias("sum_y"))
 
 
+@query("""WITH c AS (SELECT *, turn % 4 AS k FROM conversations) SELECT conv_id, turn, 'good' AS label, 2 AS n_points, (length(text) + conv_id)::DOUBLE AS sum_y FROM c WHERE k < 3
+UNION ALL SELECT conv_id, turn, '', 1, 4.5 FROM c WHERE k = 1""")
+def llm_malformed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose list of series holds other things too; what is a series counts."""
+    good = """concat('{"label":"good","x":[1,2],"y":[', length(text), ',"', conv_id, '"]}')"""
+    others = """case turn % 4 when 0 then '7,null,"text",{}' when 1 then '{"x":[3],"y":["4.5"]},{"label":"z","x":[1],"y":["many"]}' when 2 then '{"label":"z","x":[1,2],"y":[1]},[1],{"y":[1]}' end"""
+    reply = F.expr(f"""case when turn % 4 = 3 then '{{"series":{{"label":"good","x":[1],"y":[1]}}}}' else concat('{{"series":[', {others}, ',', {good}, ']}}') end""")
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(responses.parsed_series(reply)).alias("s"))
+    return found.select("conv_id", "turn", "s.label", F.size("s.x").alias("n_points"), F.aggregate("s.y", F.lit(0.0), lambda a, v: a + v).alias("sum_y"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))

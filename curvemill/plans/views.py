@@ -52,7 +52,7 @@ asg AS (SELECT ix.* FROM ix JOIN best USING (figure_id) WHERE substr(path, (p +
 def curve_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curve rows with JSON arrays from line items, a row for each order, some of them broken."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("string").alias("q"), F.col("l_tax").cast("string").alias("t"), "l_returnflag")
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", c))), lambda s: s[c])
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "q", "t"))), lambda s: s[c])
     rows = lines.groupBy("l_orderkey").agg(ordered("q").alias("q"), ordered("t").alias("t"), F.min("l_returnflag").alias("flag"))
     key = F.col("l_orderkey") % 11
     text = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
@@ -62,8 +62,8 @@ def curve_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CURVE_ROWS = """cr AS (SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN 'not-json' ELSE '[' || string_agg(l_quantity::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']' END AS x,
-  CASE l_orderkey % 11 WHEN 1 THEN '[1.5' WHEN 2 THEN '[]' WHEN 3 THEN '[null]' ELSE '[' || string_agg(l_tax::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']' END AS y,
+CURVE_ROWS = """cr AS (SELECT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN 'not-json' ELSE '[' || string_agg(l_quantity::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::VARCHAR, l_tax::VARCHAR) || ']' END AS x,
+  CASE l_orderkey % 11 WHEN 1 THEN '[1.5' WHEN 2 THEN '[]' WHEN 3 THEN '[null]' ELSE '[' || string_agg(l_tax::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::VARCHAR, l_tax::VARCHAR) || ']' END AS y,
   'tax ' || min(l_returnflag) || CASE WHEN l_orderkey % 2 = 0 THEN ' (1/K)' ELSE '' END AS series_label FROM lineitem GROUP BY l_orderkey),
 pa AS (SELECT *, try(json_transform(x, '["DOUBLE"]')) AS xs, try(json_transform(y, '["DOUBLE"]')) AS ys FROM (SELECT l_orderkey, series_label, CASE WHEN json_valid(x) THEN x END AS x, CASE WHEN json_valid(y) THEN y END AS y FROM cr)),
 pe AS (SELECT l_orderkey, series_label, xs, ys, CASE WHEN xs IS NULL OR ys IS NULL OR len(list_filter(xs, lambda v: v IS NULL)) > 0 OR len(list_filter(ys, lambda v: v IS NULL)) > 0 THEN 'malformed array'
@@ -81,7 +81,7 @@ def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 MANIFEST_ROWS = """mr AS (SELECT o_custkey::VARCHAR AS paper_id, o_orderkey::VARCHAR AS figure_id, o_orderpriority || '-' || l_linenumber AS figure_name, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 2000 + l_suppkey AS ord, l_quantity::BIGINT AS n_points
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 mf AS (SELECT paper_id, figure_id, arg_min(figure_name, ord) AS figure_reference, min(ord) AS first_ord, count(*) AS n_curves FROM mr GROUP BY ALL),
-mc AS (SELECT mr.*, row_number() OVER (PARTITION BY paper_id ORDER BY first_ord, figure_id, ord) - 1 AS number FROM mr JOIN mf USING (paper_id, figure_id))"""
+mc AS (SELECT mr.*, row_number() OVER (PARTITION BY paper_id ORDER BY first_ord, figure_id, ord, figure_name, n_points) - 1 AS number FROM mr JOIN mf USING (paper_id, figure_id))"""
 
 #: License ids that documents get in turn.
 LICENSES = ("cc-by", " CC-BY ", "cc-by-4.0", "cc0", "Public-Domain", "cc-by-sa", "cc-by-nc", "cc-by-nd-4.0", "publisher-specific", "", None, "  ", "cc-by-3.0")
