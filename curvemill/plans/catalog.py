@@ -15,6 +15,7 @@ from curvemill.operators import assignment, curves, leaderboard, manifest, pairi
 from curvemill.plans import views
 from curvemill.plans.views import table
 from curvemill.sources.files import with_default_scales, works
+from curvemill.sources.order import with_read_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,6 +286,16 @@ def manifest_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.curves(views.manifest_rows(spark, sf_dir)).select("curve_id", "figure_id", "n_points")
 
 
+@query("""WITH li AS (SELECT l_orderkey, l_quantity, row_number() OVER () - 1 AS ord FROM lineitem), mr AS (SELECT o_custkey, o_orderkey, ord, l_quantity FROM li JOIN orders ON l_orderkey = o_orderkey),
+f AS (SELECT *, min(ord) OVER (PARTITION BY o_custkey, o_orderkey) AS first FROM mr) SELECT o_custkey || '-' || o_orderkey || '-' || (row_number() OVER (PARTITION BY o_custkey ORDER BY first, o_orderkey::VARCHAR, ord) - 1) AS curve_id, ord, l_quantity::BIGINT AS n_points FROM f""")
+def curves_in_read_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves numbered by where their rows stand in the file."""
+    lines = with_read_order(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("paper_id"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("paper_id", F.col("l_orderkey").cast("string").alias("figure_id"), "ord", F.col("l_quantity").cast("long").alias("n_points"))
+    return manifest.curves(rows).select("curve_id", "ord", "n_points")
+
+
 @query(f"WITH {views.MANIFEST_ROWS} SELECT c_custkey::VARCHAR AS paper_id, coalesce(f, 0) AS n_figures, coalesce(c, 0)::BIGINT AS n_curves FROM customer LEFT JOIN (SELECT paper_id, count(*) AS f, sum(n_curves) AS c FROM mf GROUP BY 1) ON paper_id = c_custkey::VARCHAR")
 def manifest_paper_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.manifest_rows(spark, sf_dir)

@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 
 from curvemill.functions.references import work_license
 from curvemill.sources import schemas
+from curvemill.sources.order import with_read_order
 
 
-def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A headed CSV, gzip or plain, with quoted line breaks; columns are found by the header's names."""
-    return spark.read.options(header=True, multiLine=True, escape='"', enforceSchema=False).schema(schema).csv(path)
+def csv_table(spark: SparkSession, path: str, schema: str, one_line: bool = False) -> DataFrame:
+    """A headed CSV, gzip or plain; columns are found by the header's names.
 
+    Values may hold line breaks in quotes, for which a file has to be read in one go. Where none does (one_line), plain
+    files are split among tasks; compressed ones never are.
+    """
+    return spark.read.options(header=True, multiLine=not one_line, escape='"', enforceSchema=False).schema(schema).csv(path)
 
-def curve_rows(spark: SparkSession, path: str) -> DataFrame:
-    return csv_table(spark, path, schemas.CURVE_ROWS)
+
+def curve_rows(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """Curve rows with ord, their number in the order of the files."""
+    return with_read_order(csv_table(spark, path, schemas.CURVE_ROWS, one_line))
+
+
+def paper_rows(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """Papers' rows with ord, their number in the order of the files."""
+    return with_read_order(csv_table(spark, path, schemas.PAPERS, one_line))
 
 
 def papers_by_doi(rows: DataFrame, order: str = "ord") -> DataFrame:
