@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -635,3 +636,46 @@ def model_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "part").groupBy(F.expr("cast(p_partkey div 200 as string)").alias("figure_id")).agg(F.collect_list("p_size").alias("sizes"))
     found = ports.run_model(tasks, lambda task: [("s", list(range(len(task["sizes"]))), list(task["sizes"]))])
     return found.groupBy("figure_id", "curve_id").agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A task for each user, whose payload is what a model should read from the image; and the true curves."""
+    pts = views.points(spark, sf_dir)
+    point = F.when(F.col("role") == "pred", F.struct("ord", "x", "y"))
+    by_curve = pts.groupBy("figure_id", "curve_id").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    series = F.struct(F.col("curve_id").alias("label"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    payload = F.array_sort(F.collect_list(F.when(F.size("p") > 0, series)))
+    return by_curve.groupBy("figure_id").agg(payload.alias("series")), pts.where("role = 'gt'").drop("role")
+
+
+def _reads(task: dict) -> list[tuple[str, list[float], list[float]]]:
+    if int(task["figure_id"]) % 7 == 0:
+        raise TimeoutError(f"figure {task['figure_id']}")
+    return [(s["label"], s["x"], s["y"]) for s in task["series"]]
+
+
+_EVALUATED = f"""{_FULL}, ev AS (SELECT sc.*, figure_id::BIGINT % 7 = 0 AS failed FROM sc WHERE figure_id IN (SELECT figure_id FROM pts))
+SELECT figure_id, CASE WHEN failed THEN 0.0 ELSE round(match_rate, 6) END AS match_rate, CASE WHEN failed THEN 0.0 ELSE round(summary_score, 6) END AS summary_score, CASE WHEN failed THEN 'TimeoutError: figure ' || figure_id END AS error FROM ev"""
+
+
+@query(_EVALUATED)
+def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that raises for every seventh figure, from tasks to scores."""
+    tasks, truth = _tasks(spark, sf_dir)
+    return rounded(ports.evaluate(tasks, truth, _reads).select("figure_id", "match_rate", "summary_score", "error"), "match_rate", "summary_score")
+
+
+def _answers(model: str, image: bytes | None, text: str) -> str:
+    said = json.loads(image)
+    if int(said["figure_id"]) % 7 == 0:
+        raise TimeoutError(f"figure {said['figure_id']}")
+    assert model == "reader" and text.startswith("Read every data series")
+    return "```json\n" + json.dumps({"series": [7, {"label": "broken"}, *said["series"]]}) + "\n```"
+
+
+@query(_EVALUATED)
+def evaluate_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client that sees the image, answers with broken entries too and fails for every seventh figure, from tasks to scores."""
+    tasks, truth = _tasks(spark, sf_dir)
+    asked = tasks.select("figure_id", F.to_json(F.struct("figure_id", "series")).cast("binary").alias("image"), *(F.lit(v).alias(c) for c, v in (("x_lo", 0), ("x_hi", 1), ("x_scale", "linear"), ("y_lo", 0), ("y_hi", 1))))
+    return rounded(ports.evaluate_llm(asked, truth, _answers, "reader").select("figure_id", "match_rate", "summary_score", "error"), "match_rate", "summary_score")
