@@ -13,8 +13,11 @@ For each length from 2 to LONGEST
 * phrases of at least LEAST occurrences stay: each chunk learns which of its own these are (a semi-join on the phrase,
   then on the chunk), and the kept occurrences are written as the next relation.
 
-A phrase is told by the ids of its words (a written table numbers the frequent words), so nothing rests on hashes beyond
-a chunk's own words. A group of the count has no more rows than there are chunks, however frequent the phrase.
+The first relation holds every word: words that are too rare vanish with the first count, and leaving them out before
+would take a join of its own, which saves the less the larger the corpus is.
+
+A phrase is told by the ids of its words (a written table numbers them), so nothing rests on hashes beyond a chunk's own
+words. A group of the count has no more rows than there are chunks, however frequent the phrase.
 
 Scores, cuts and the first TOP of each lang come from the tables of frequent phrases alone, in decimals.
 
@@ -127,14 +130,12 @@ def _only(codes: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The relation of single words: what is left of a chunk's words by its reply (code, id)."""
+    """The relation of single words: a chunk's codes with the ids of its words by its reply (code, id)."""
     for batch in batches:
         for k in range(batch.num_rows):
             reply = batch["reply"][k].values
-            wanted, ids = (np.asarray(reply.field(name)) for name in ("code", "id"))
-            order = np.argsort(wanted)
-            wanted, ids = wanted[order], ids[order]
-            yield _row(batch["chunk"][k], _only(_unpacked(batch["codes"][k]), wanted, batch["n"][k].as_py()), ids)
+            code, ids = (np.asarray(reply.field(name)) for name in ("code", "id"))
+            yield _row(batch["chunk"][k], _unpacked(batch["codes"][k]), ids[np.argsort(code)])
 
 
 def _joined(batch: pa.RecordBatch, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,20 +179,21 @@ def _next(length: int):  # noqa: ANN202
     return run
 
 
-def frequent_words(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Tables of the words of at least so many occurrences (ids, phrase, last, lang, n, f, heads, tails), and the relation of their occurrences."""
+def single_words(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """A table of the words of at least so many occurrences (ids, phrase, last, lang, n, f, heads, tails), and the relation of all words' occurrences."""
     text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     chunks = staged(documents.select(text.alias("text"), lang.alias("lang")).mapInArrow(rested(_chunked), "chunk long, lang string, codes binary, words array<string>, counts array<long>"), "words")
     counts = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
     total = chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
-    words = staged(counts.where(F.col("f") >= least).select("lang", "word", "f", F.monotonically_increasing_id().alias("id")), "frequent-1")
+    words = staged(counts.select("lang", "word", "f", F.monotonically_increasing_id().alias("id")), "numbered-words")
     known = chunks.select("chunk", "lang", F.posexplode("words").alias("code", "word")).join(words, ["lang", "word"])
-    replies = known.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("reply"))  # a chunk's own words at most
-    relation = staged(chunks.select("chunk", "codes", F.size("words").alias("n")).join(replies, "chunk").mapInArrow(rested(_first), RELATION), "occurrences-1")
+    replies = known.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("reply"))  # a chunk's own words
+    relation = staged(chunks.select("chunk", "codes").join(replies, "chunk").mapInArrow(rested(_first), RELATION), "occurrences-1")
     one = F.array("f")
-    table = words.join(total, "lang").select(F.array("id").alias("ids"), F.col("word").alias("phrase"), F.col("word").alias("last"), "lang", "n", "f", one.alias("heads"), one.alias("tails"))
+    table = words.where(F.col("f") >= least).join(total, "lang").select(F.array("id").alias("ids"), F.col("word").alias("phrase"), F.col("word").alias("last"), "lang", "n", "f", one.alias("heads"), one.alias("tails"))
     ready = staged(table, "phrases-1")
     dropped(chunks)
+    dropped(words)
     return ready, relation
 
 
@@ -210,7 +212,7 @@ def longer(relation: DataFrame, length: int, least: int) -> tuple[DataFrame, Dat
 
 def phrase_tables(documents: DataFrame, least: int = LEAST) -> list[DataFrame]:
     """For each length from 1 to LONGEST the phrases (ids, phrase, last word, lang, n, f) of at least so many occurrences, with the numbers of occurrences of their first (heads) and last (tails) 1, 2, ... words."""
-    table, relation = frequent_words(documents, least)
+    table, relation = single_words(documents, least)
     tables = [table]
     for length in range(2, LONGEST + 1):
         found, following = longer(relation, length, least)
