@@ -49,24 +49,52 @@ def with_coverage(found: DataFrame) -> DataFrame:
 KEYS = ("figure_id", "pred_curve_id", "gt_curve_id")
 
 
-def interpolated(points: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+#: Points of a pair of curves that are sorted together; a pair with more of them is cut into ranges of x.
+RANGE_POINTS = 100_000
+STATS = tuple(f"{role}_{c}" for role in ("pred", "gt") for c in ("n_points", "x_min", "x_max", "y_min", "y_max"))
+
+
+def interpolated(points: DataFrame, wanted: DataFrame | None = None, range_points: int = RANGE_POINTS) -> DataFrame:
     """Every reference point of a pair with the predicted y at its x: linear between neighbours, the edge's value beyond.
 
     An as-of join as a union: predicted and reference points of a pair are sorted by x together, and the nearest
     predicted points before and after come from a running last and first. The last of equal x counts before, as in a
-    bracket search from the right. wanted limits the pairs (figure_id, pred_curve_id, gt_curve_id); its other columns
-    come along, so that nothing has to be joined to the samples again.
+    bracket search from the right. wanted limits the pairs (rows as pairs gives them); its other columns come along, so
+    that nothing has to be joined to the samples again.
+
+    A pair of more than range_points points is cut into ranges of equal width in x, which are sorted on their own. A
+    range's summary is its first and its last predicted point; summaries, of which a pair has few, are combined from
+    either side, and what comes out is carried into each range: the last point before it and the first one after it.
     """
-    at = pairs(points).select(*KEYS) if wanted is None else wanted
-    more = [c for c in at.columns if c not in KEYS]
-    ends = F.array(*(F.struct(F.lit(role).alias("role"), F.col(f"{role}_curve_id").alias("curve_id")) for role in ("pred", "gt")))
-    sides = at.select(*KEYS, *more, F.explode(ends).alias("end")).select(*KEYS, *more, "end.*")
-    both = sides.join(points.select("figure_id", "role", "curve_id", "ord", "x", "y"), ["figure_id", "role", "curve_id"]).withColumn("is_gt", (F.col("role") == "gt").cast("int"))
-    both = both.withColumn("point", F.when(F.col("is_gt") == 0, F.struct("x", "y")))
-    order = W.partitionBy(*KEYS).orderBy("x", "is_gt", "ord")
+    at = pairs(points) if wanted is None else wanted
+    more = [c for c in at.columns if c not in (*KEYS, *STATS)]
+    low, high = F.least("pred_x_min", "gt_x_min"), F.greatest("pred_x_max", "gt_x_max")
+    many = F.ceil((F.col("pred_n_points") + F.col("gt_n_points")) / range_points)
+    cut = (high > low) & (high - low < float("inf")) & (many > 1)
+    at = at.select(*KEYS, *more, low.alias("low_"), (high - low).alias("span_"), F.when(cut, many).otherwise(1).cast("long").alias("ranges_"))
+    within = F.when(F.col("ranges_") > 1, F.least(F.col("ranges_") - 1, F.floor((F.col("x") - F.col("low_")) / F.nullif(F.col("span_"), F.lit(0.0)) * F.col("ranges_")))).otherwise(0)
+    dots = points.select("figure_id", "role", "curve_id", "ord", "x", "y")
+
+    def met(of: DataFrame) -> DataFrame:
+        ends = F.array(*(F.struct(F.lit(role).alias("role"), F.col(f"{role}_curve_id").alias("curve_id")) for role in ("pred", "gt")))
+        sides = of.withColumn("end", F.explode(ends)).select(*(c for c in of.columns), "end.*")
+        both = sides.join(dots, ["figure_id", "role", "curve_id"]).withColumn("is_gt", (F.col("role") == "gt").cast("int"))
+        return both.withColumns({"point": F.when(F.col("is_gt") == 0, F.struct("x", "y")), "range_": within})
+
+    both = met(at)
+    order = W.partitionBy(*KEYS, "range_").orderBy("x", "is_gt", "ord")
     both = both.withColumn("before", F.last("point", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    back = W.partitionBy(*KEYS).orderBy(F.desc("x"), F.desc("is_gt"), F.desc("ord"))
+    back = W.partitionBy(*KEYS, "range_").orderBy(F.desc("x"), F.desc("is_gt"), F.desc("ord"))
     both = both.withColumn("after", F.last("point", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)))
+
+    large = at.where("ranges_ > 1")
+    place = F.struct("x", "ord")
+    summaries = met(large).where("is_gt = 0").groupBy(*KEYS, "range_").agg(F.min_by("point", place).alias("first_"), F.max_by("point", place).alias("last_"))
+    every = large.select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("ranges_") - 1)).alias("range_")).join(summaries, [*KEYS, "range_"], "left")
+    line = W.partitionBy(*KEYS).orderBy("range_")
+    carried = every.select(*KEYS, "range_", F.last("last_", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("prior_"), F.first("first_", ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("next_"))
+    both = both.join(carried, [*KEYS, "range_"], "left").withColumns({"before": F.coalesce("before", "prior_"), "after": F.coalesce("after", "next_")})
+
     a, b = F.col("before"), F.col("after")
     slope = (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
     value = F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).when(a["x"] == F.col("x"), a["y"]).otherwise(slope * (F.col("x") - a["x"]) + a["y"])
@@ -110,7 +138,7 @@ def in_log_space(points: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataF
 
 def compared(points: DataFrame) -> DataFrame:
     """All pairs with coverage, mean error (1 where nothing is covered) and distance: the error, at most 1."""
-    found = with_coverage(pairs(points)).select(*KEYS, "coverage", (F.col("gt_y_max") - F.col("gt_y_min")).alias("y_range"))
+    found = with_coverage(pairs(points)).withColumn("y_range", F.col("gt_y_max") - F.col("gt_y_min"))
     errors = point_errors(interpolated(points, found.where("coverage > 0")), "coverage")
     apart = found.where("coverage <= 0").select(*KEYS, "coverage", F.lit(1.0).alias("mean_error"))
     return errors.unionByName(apart).select(*KEYS, "coverage", "mean_error", F.least("mean_error", F.lit(1.0)).alias("distance"))

@@ -51,23 +51,32 @@ def run_variation(cells: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.count("*").alias("n_runs"), (F.stddev_pop("height") / F.avg("height")).alias("cv"))
 
 
+def _line_counts(pixels: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """Content of each line of each cell, from a summed-area table: (image_id, y_index, x_index, the bands' ends, i, n_line, n_content).
+
+    Contents are summed along each line once; a band's share of a line is the sum at its right end less the one before
+    its left end. So pixels meet no cells: of a line only what stands at the ends of bands goes on.
+    """
+    along = W.partitionBy("image_id", "y").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    table = pixels.withColumn("sum", F.sum(F.col("content").cast("int")).over(along))
+    ends = cols.withColumn("end", F.explode(F.array(F.struct((F.col("x_hi") - 1).alias("x"), F.lit(1).alias("sign")), F.struct((F.col("x_lo") - 1).alias("x"), F.lit(-1).alias("sign")))))
+    shares = table.join(ends.select("image_id", "x_index", "x_lo", "x_hi", "end.*"), ["image_id", "x"]).groupBy("image_id", "y", "x_index", "x_lo", "x_hi").agg(F.sum(F.col("sum") * F.col("sign")).alias("n_content"))
+    inside = rows.withColumn("y", F.explode(F.sequence("y_lo", F.col("y_hi") - 1)))
+    return shares.join(inside, ["image_id", "y"]).withColumnRenamed("y", "i").withColumn("n_line", F.col("x_hi") - F.col("x_lo"))
+
+
 def panel_grid(pixels: DataFrame, **changes: float) -> DataFrame:
     """Panels of every image: label, row, col and box (x0, y0, x1, y1); the whole image where there is no grid.
 
     A cell of a row band and a column band counts if it has content and doesn't look like lines of text. With none
-    or too many of them the image is one panel. Labels are dense in reading order; row and col number the bands.
+    or too many of them the image is one panel. Labels are dense in reading order; row and col number the bands. Images
+    are complete: every x and y up to the largest has a pixel.
     """
     o = DEFAULTS | changes
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     rows, cols = (sized_bands(pixels, a, o).select("image_id", *(F.col(c).alias(f"{a}_{c}") for c in ("lo", "hi", "index", "n"))) for a in ("y", "x"))
-    cells = rows.join(cols, "image_id").where("x_n > 1 or y_n > 1")
-    # a pixel lies in at most one band of either axis: two range joins on bounded lists of the same image
-    lines = (
-        pixels.withColumn("content", F.col("lum") < o["background"])
-        .join(cells, "image_id").where("y >= y_lo and y < y_hi and x >= x_lo and x < x_hi")
-        .groupBy("image_id", "y_index", "x_index", "y_lo", "y_hi", "x_lo", "x_hi", F.col("y").alias("i"))
-        .agg(F.count("*").alias("n_line"), F.count_if(F.expr("content")).alias("n_content"))
-    )
+    grid_of = rows.select("image_id", "y_n").distinct().join(cols, "image_id").where("x_n > 1 or y_n > 1").drop("y_n", "x_n")
+    lines = _line_counts(pixels.select("image_id", "x", "y", (F.col("lum") < o["background"]).alias("content")), rows.drop("y_n"), grid_of)
     keys = ["image_id", "y_index", "x_index"]
     filled = lines.groupBy(*keys, "y_lo", "y_hi", "x_lo", "x_hi").agg((F.sum("n_content") / F.sum("n_line")).alias("share")).where(F.col("share") >= o["min_content"])
     texture = run_variation(lines.select(*keys, "i", ((F.col("n_line") - F.col("n_content")) / F.col("n_line") < o["gutter"]).alias("content")), keys)

@@ -62,6 +62,18 @@ def test_interpolation_like_numpy(spark):
     assert len(rows) == 120
 
 
+@pytest.mark.parametrize("range_points", [1, 2, 7, 40])
+def test_ranges_give_the_same_samples(spark, range_points):
+    rng = np.random.default_rng(6)
+    side = lambda n, top: (rng.integers(0, top, n), rng.random(n))
+    figures = {str(k): {"pred": {c: side(rng.integers(1, 30), top) for c in "ab"}, "gt": {c: side(rng.integers(1, 30), top) for c in "xy"}} for k, top in enumerate((1, 5, 40, 1000, 10**9))}
+    figures["gap"] = {"pred": {"a": ((0, 1, 10**6), (0, 1, 2))}, "gt": {"x": (range(0, 10**6, 30_000), range(34))}}
+    pts = points(spark, figures)
+    samples = lambda **k: sorted(map(tuple, curves.interpolated(pts, **k).select(*KEYS, "ord", "pred_y").collect()))
+    whole = samples()
+    assert samples(range_points=range_points) == whole and len(whole) > 200
+
+
 def test_chamfer(spark):
     found = curves.chamfer(pts := points(spark, {"a": pair(((0, 1), (0, 1)), ((0, 1), (0, 1))), "b": pair(((0, 1), (1, 2)), ((0, 1), (0, 1))), "c": pair(((5,), (5,)), ((5,), (6,)))}), curves.pairs(pts))
     assert {r.figure_id: round(r.chamfer, 9) for r in found.collect()} == {"a": 0.0, "b": 1.0, "c": 1.0}
