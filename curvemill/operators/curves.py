@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curvemill.operators import nearest
+
 #: Fixed value: a reference whose y values span no more than this is flat.
 FLAT = 1e-12
 
@@ -108,15 +110,32 @@ def point_errors(samples: DataFrame, *also: str) -> DataFrame:
     return samples.groupBy(*KEYS, *also).agg(F.avg(error).alias("mean_error"))
 
 
-def chamfer(points: DataFrame, found: DataFrame) -> DataFrame:
-    """Mean of the nearest distances in both directions, x and y by the reference's ranges.
+def chamfer(points: DataFrame, found: DataFrame, block: int = nearest.BLOCK) -> DataFrame:
+    """Mean of the nearest distances in both directions, x and y by the reference's ranges; found: pairs.
 
-    A pair of curves is one row with both curves' points as arrays; its time is their product, its size their sum.
+    Two curves of at most block points each are compared at once; longer ones by blocks, of which only those meet that
+    can hold a nearest point (see nearest).
     """
-    scale = found.select(*KEYS, *(F.when(F.col(f"gt_{c}_max") == F.col(f"gt_{c}_min"), 1.0).otherwise(F.col(f"gt_{c}_max") - F.col(f"gt_{c}_min")).alias(f"{c}_range") for c in "xy"))
-    packed = points.groupBy("figure_id", "role", "curve_id").agg(F.collect_list(F.struct("x", "y")).alias("points"))
+    units = [F.when(F.col(f"gt_{c}_max") == F.col(f"gt_{c}_min"), 1.0).otherwise(F.col(f"gt_{c}_max") - F.col(f"gt_{c}_min")).alias(f"{c}_range") for c in "xy"]
+    scale = found.select("*", *units)
+    short = (F.col("pred_n_points") <= block) & (F.col("gt_n_points") <= block)
+    return _chamfer_at_once(points, scale.where(short)).unionByName(_chamfer_by_blocks(points, scale.where(~short), block))
+
+
+def _chamfer_by_blocks(points: DataFrame, scale: DataFrame, block: int) -> DataFrame:
+    side = lambda role: scale.select("figure_id", F.lit(role).alias("role"), F.col(f"{role}_curve_id").alias("curve_id"), *(F.col(f"{role}_{c}").alias(c) for c in ("n_points", "x_min", "x_max")))
+    cut = nearest.blocks(points, side("pred").unionByName(side("gt")).distinct(), block)
+    there, back = (nearest.nearest_means(cut, scale, *roles) for roles in (("pred", "gt"), ("gt", "pred")))
+    return there.join(back.withColumnRenamed("mean", "back"), list(KEYS)).select(*KEYS, ((F.col("mean") + F.col("back")) / 2).alias("chamfer"))
+
+
+def _chamfer_at_once(points: DataFrame, scale: DataFrame) -> DataFrame:
+    # whole curves as arrays, without the points of long ones
+    ends = F.array(*(F.struct(F.lit(role).alias("role"), F.col(f"{role}_curve_id").alias("curve_id")) for role in ("pred", "gt")))
+    mine = scale.select("figure_id", F.explode(ends).alias("end")).select("figure_id", "end.*").distinct()
+    packed = points.join(mine, ["figure_id", "role", "curve_id"], "left_semi").groupBy("figure_id", "role", "curve_id").agg(F.collect_list(F.struct("x", "y")).alias("points"))
     side = lambda role: packed.where(F.col("role") == role).select("figure_id", F.col("curve_id").alias(f"{role}_curve_id"), F.col("points").alias(role))
-    rows = scale.join(side("pred"), ["figure_id", "pred_curve_id"]).join(side("gt"), ["figure_id", "gt_curve_id"])
+    rows = scale.select(*KEYS, "x_range", "y_range").join(side("pred"), ["figure_id", "pred_curve_id"]).join(side("gt"), ["figure_id", "gt_curve_id"])
     scaled = lambda role: F.transform(role, lambda p: F.struct((p["x"] / F.col("x_range")).alias("x"), (p["y"] / F.col("y_range")).alias("y")))
     rows = rows.select(*KEYS, scaled("pred").alias("pred"), scaled("gt").alias("gt"))
     square = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])

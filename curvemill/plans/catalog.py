@@ -436,15 +436,33 @@ def pair_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.compared(views.points(spark, sf_dir)), "coverage", "mean_error", "distance")
 
 
-@query(f"""{_PAIRS}, sc AS (SELECT figure_id, pred_curve_id, gt_curve_id, CASE WHEN g_hi = g_lo THEN 1 ELSE g_hi - g_lo END AS xr, CASE WHEN y_range = 0 THEN 1 ELSE y_range END AS yr FROM pr),
+_CHAMFER = """, sc AS (SELECT figure_id, pred_curve_id, gt_curve_id, CASE WHEN g_hi = g_lo THEN 1 ELSE g_hi - g_lo END AS xr, CASE WHEN y_range = 0 THEN 1 ELSE y_range END AS yr FROM pr),
 dd AS (SELECT sc.figure_id, pred_curve_id, gt_curve_id, p.ord AS po, g.ord AS go, sqrt(pow(p.x / xr - g.x / xr, 2) + pow(p.y / yr - g.y / yr, 2)) AS d FROM sc JOIN pts p ON p.figure_id = sc.figure_id AND p.curve_id = pred_curve_id AND p.role = 'pred' JOIN pts g ON g.figure_id = sc.figure_id AND g.curve_id = gt_curve_id AND g.role = 'gt'),
 a AS (SELECT figure_id, pred_curve_id, gt_curve_id, avg(m) AS v FROM (SELECT figure_id, pred_curve_id, gt_curve_id, po, min(d) AS m FROM dd GROUP BY ALL) GROUP BY ALL), b AS (SELECT figure_id, pred_curve_id, gt_curve_id, avg(m) AS w FROM (SELECT figure_id, pred_curve_id, gt_curve_id, go, min(d) AS m FROM dd GROUP BY ALL) GROUP BY ALL)
-SELECT figure_id, pred_curve_id, gt_curve_id, round((v + w) / 2, 6) AS chamfer FROM a JOIN b USING (figure_id, pred_curve_id, gt_curve_id)""")
+SELECT figure_id, pred_curve_id, gt_curve_id, round((v + w) / 2, 6) AS chamfer FROM a JOIN b USING (figure_id, pred_curve_id, gt_curve_id)"""
+
+
+@query(_PAIRS + _CHAMFER)
 def pair_chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = views.points(spark, sf_dir)
     return rounded(curves.chamfer(pts, curves.pairs(pts)), "chamfer")
 
 
+@query(_PAIRS.replace(views.POINTS, views.HOT_POINTS) + _CHAMFER)
+def pair_chamfer_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curve with a sixth of all events against another as long, in blocks."""
+    pts = views.hot_points(spark, sf_dir)
+    return rounded(curves.chamfer(pts, curves.pairs(pts)), "chamfer")
+
+
+@query(f"{_PAIRS.replace(views.POINTS, views.HOT_POINTS)}, {views.SAMPLES} SELECT figure_id, pred_curve_id, gt_curve_id, ord, round(pred_y, 6) AS pred_y FROM smp")
+def pair_interp_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same curves interpolated, in ranges of some 500 points."""
+    pts = views.hot_points(spark, sf_dir)
+    met = curves.with_coverage(curves.pairs(pts)).where("coverage > 0")
+    return rounded(curves.interpolated(pts, met, range_points=500).select("figure_id", "pred_curve_id", "gt_curve_id", "ord", "pred_y"), "pred_y")
+
+
 def _log_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The curves on a logarithmic x axis in figures of odd number, shifted so that some x aren't positive."""
     pts = views.points(spark, sf_dir).withColumn("x", F.col("x") - 20000)

@@ -20,6 +20,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS = """pts AS (SELECT CAST(user_id AS VARCHAR) AS figure_id, event_type AS curve_id, CASE WHEN event_id % 2 = 0 THEN 'gt' ELSE 'pred' END AS role,
   event_id AS ord, (epoch_us(ts) - 1704067200000000) / 1e6 AS x, value AS y FROM events)"""
+
+
+def hot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As points, but a third of all events are one figure's only curves."""
+    hot = F.col("ord") % 3 == 0
+    return points(spark, sf_dir).withColumns({c: F.when(hot, "hot").otherwise(F.col(c)) for c in ("figure_id", "curve_id")})
+
+
+HOT_POINTS = POINTS.replace("CAST(user_id AS VARCHAR) AS figure_id, event_type AS curve_id", "CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE user_id::VARCHAR END AS figure_id, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE event_type END AS curve_id")
 STATS = """st AS (SELECT figure_id, role, curve_id, count(*) AS n_points, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM pts GROUP BY ALL)"""
 PAIRS = """pr AS (SELECT p.figure_id, p.curve_id AS pred_curve_id, g.curve_id AS gt_curve_id, p.x_min AS p_lo, p.x_max AS p_hi, g.x_min AS g_lo, g.x_max AS g_hi, g.y_max - g.y_min AS y_range,
   CASE WHEN g.x_max = g.x_min THEN CASE WHEN g.x_min >= p.x_min AND g.x_min <= p.x_max THEN 1.0 ELSE 0.0 END

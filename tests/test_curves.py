@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curvemill.operators import assignment, curves, scoring
+from curvemill.operators import assignment, curves, nearest, scoring
 
 KEYS = ["figure_id", "pred_curve_id", "gt_curve_id"]
 
@@ -79,6 +79,41 @@ def test_chamfer(spark):
     assert {r.figure_id: round(r.chamfer, 9) for r in found.collect()} == {"a": 0.0, "b": 1.0, "c": 1.0}
 
 
+def nearest_by_hand(pred, gt):
+    (px, py), (gx, gy) = (np.array(c, float) for c in (pred, gt))
+    xr, yr = np.ptp(gx) or 1.0, np.ptp(gy) or 1.0
+    d = np.hypot((px[:, None] - gx[None, :]) / xr, (py[:, None] - gy[None, :]) / yr)
+    return (d.min(axis=1).mean() + d.min(axis=0).mean()) / 2
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_chamfer_by_blocks(spark, block):
+    rng = np.random.default_rng(9)
+    shapes = {
+        "wide": lambda n: (rng.random(n) * 1e6, rng.random(n)), "same_x": lambda n: (np.full(n, 3.0), rng.random(n)), "ties": lambda n: (rng.integers(0, 4, n), rng.integers(0, 3, n)), "clumped": lambda n: (np.concatenate([[1e9], rng.random(n - 1)]), rng.random(n)),
+        "line": lambda n: (np.arange(n), np.sin(np.arange(n) / 9)), "point": lambda n: (np.ones(1), np.ones(1)),
+    }
+    sizes = (150, 40) if block < 64 else (400, 30)
+    figures = {f"{a}-{b}-{n}": pair(shapes[a](n), shapes[b](sum(sizes) - n)) for a in shapes for b in shapes for n in sizes}
+    pts = points(spark, figures)
+    found = {r.figure_id: r.chamfer for r in curves.chamfer(pts, curves.pairs(pts), block).collect()}
+    assert found == {f: pytest.approx(nearest_by_hand(r["pred"]["p"], r["gt"]["g"]), rel=1e-9, abs=1e-12) for f, r in figures.items()}
+
+
+def test_long_curves_meet_few_blocks(spark):
+    n = 6400
+    x = np.arange(n)
+    pts = points(spark, {"f": pair((x, np.sin(x / 300)), (x + 0.25, np.sin(x / 300)))})
+    found = curves.pairs(pts)
+    units = found.select(*KEYS, F.lit(float(n)).alias("x_range"), F.lit(2.0).alias("y_range"))
+    stats = curves.curve_stats(pts)
+    cut = nearest.blocks(pts, stats, 64).cache()
+    assert cut.count() == 200 and cut.agg(F.max(F.size("points"))).first()[0] <= 128
+    mean = nearest.nearest_means(cut, units, "pred", "gt").first()["mean"]
+    assert mean == pytest.approx(nearest_by_hand((x / n, np.sin(x / 300) / 2), ((x + 0.25) / n, np.sin(x / 300) / 2)), rel=0.5)
+    assert nearest.meetings(cut, units, "pred", "gt").count() <= 100 * 6
+
+
 def test_log_scale_spoils_figures_with_other_x(spark):
     pts = points(spark, {"good": pair(((1, 100), (0, 2)), ((1, 10, 100), (0, 1, 2))), "bad": pair(((0, 100), (0, 2)), ((1, 10, 100), (0, 1, 2))), "linear": pair(((0, 1), (0, 1)), ((0, 1), (0, 1)))})
     scales = spark.createDataFrame([("good", "log"), ("bad", "log"), ("linear", "linear")], "figure_id string, x_scale string")
