@@ -38,8 +38,8 @@ def is_pdf(content: Column) -> Column:
 
 
 def image_name(page: Column, source: Column, index: Column) -> Column:
-    """p01_embedded_0.png and the like; a page's render is a jpg."""
-    return F.format_string("p%02d_%s_%d.%s", page.cast("int"), source, index.cast("int"), F.when(source == "page_render", "jpg").otherwise("png"))
+    """p01_embedded_0.jpg and the like; a page's render is a png."""
+    return F.format_string("p%02d_%s_%d.%s", page.cast("int"), source, index.cast("int"), F.when(source == "page_render", "png").otherwise("jpg"))
 
 
 def image_path(name: Column, root: str, default_dir: str) -> Column:

@@ -116,6 +116,11 @@ def summary(papers: DataFrame) -> DataFrame:
     )
 
 
+def status_counts(papers: DataFrame) -> DataFrame:
+    """How many papers have each pdf_status, those of earlier runs among them; papers that were never asked for have none."""
+    return papers.where("pdf_status is not null").groupBy("pdf_status").agg(F.count("*").alias("n"))
+
+
 def verified(pairings: DataFrame) -> DataFrame:
     """Pairings that may be scored: verified and not excluded."""
     return pairings.where("status = 'verified' and excluded_reason is null")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from curvemill.plans import views
 from curvemill.plans.views import table
 from curvemill.sources.files import with_default_scales, works
 from curvemill.sources.order import with_read_order
+from curvemill.sources.snapshots import Snapshots, run_in_batches
+from curvemill.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,7 +140,7 @@ def pdf_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", references.is_pdf(content).alias("is_pdf"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, printf('p%02d_%s_%d.%s', (l_orderkey % 120)::INTEGER, s, l_linenumber, CASE WHEN s = 'page_render' THEN 'jpg' ELSE 'png' END) AS name, '/data/' || CASE WHEN contains(l_returnflag || CASE WHEN l_linenumber = 1 THEN '/x' ELSE '' END, '/') THEN '' ELSE 'raw/' END || l_returnflag || CASE WHEN l_linenumber = 1 THEN '/x' ELSE '' END AS path
+@query("""SELECT l_orderkey, l_linenumber, printf('p%02d_%s_%d.%s', (l_orderkey % 120)::INTEGER, s, l_linenumber, CASE WHEN s = 'page_render' THEN 'png' ELSE 'jpg' END) AS name, '/data/' || CASE WHEN contains(l_returnflag || CASE WHEN l_linenumber = 1 THEN '/x' ELSE '' END, '/') THEN '' ELSE 'raw/' END || l_returnflag || CASE WHEN l_linenumber = 1 THEN '/x' ELSE '' END AS path
 FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'page_render' ELSE 'embedded' END AS s FROM lineitem)""")
 def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("l_linestatus") == "O", "page_render").otherwise("embedded")
@@ -325,7 +328,20 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderstatus AS pdf_status, count(*) AS n FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1")
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("pdf_status"))
-    return rows.where("pdf_status is not null").groupBy("pdf_status").agg(F.count("*").alias("n"))
+    return manifest.status_counts(rows)
+
+
+@query("""SELECT CASE WHEN o_custkey % 4 > 0 THEN o_orderstatus END AS pdf_status, count(DISTINCT o_custkey) AS n_papers, count(*) AS n FROM (SELECT o_custkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) GROUP BY 1""")
+def manifest_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest kept in batches: a run that did a third of the papers, then one that does the rest, and one with nothing to do."""
+    papers = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("paper_id")).agg(F.min_by("o_orderstatus", "o_orderkey").alias("status"))
+    kept = Snapshots(spark, f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}", "paper_id long, pdf_status string")
+    fetch = lambda rows: rows.select("paper_id", F.when(F.col("paper_id") % 4 > 0, F.col("status")).alias("pdf_status"))
+    kept.commit(1, fetch(papers.where("paper_id % 3 = 0")))
+    kept.commit(1, fetch(papers))  # the same batch again
+    rest = papers.count() // 2 + 1
+    run_in_batches(papers, "paper_id", rest, fetch, kept)
+    return run_in_batches(papers, "paper_id", rest, fetch, kept).groupBy("pdf_status").agg(F.count_distinct("paper_id").alias("n_papers"), F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -40,7 +40,7 @@ def test_pdf_signature(spark):
 
 
 def test_names(spark):
-    assert values(spark, references.image_name(F.col("p"), F.col("s"), F.col("n")), [(3, "embedded", 0), (12, "page_render", 1)], "p int, s string, n int") == ["p03_embedded_0.png", "p12_page_render_1.jpg"]
+    assert values(spark, references.image_name(F.col("p"), F.col("s"), F.col("n")), [(3, "embedded", 0), (12, "page_render", 1)], "p int, s string, n int") == ["p03_embedded_0.jpg", "p12_page_render_1.png"]
     assert values(spark, references.image_path(F.col("p"), "/r", "raw"), [("a.png",), ("x/a.png",)], "p string") == ["/r/raw/a.png", "/r/x/a.png"]
     assert values(spark, references.series_label(F.col("p"), F.col("u")), [("k", "W"), ("k", ""), (None, None)], "p string, u string") == ["k (W)", "k", ""]
     assert values(spark, references.bare_doi(F.col("d"), lower=True), [("https://doi.org/10.1/A",), ("10.1/b",), ("",), (None,)], "d string") == ["10.1/a", "10.1/b", None, None]
