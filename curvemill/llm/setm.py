@@ -16,8 +16,8 @@ For each length from 2 to LONGEST
 The first relation holds every word: words that are too rare vanish with the first count, and leaving them out before
 would take a join of its own, which saves the less the larger the corpus is.
 
-A phrase is told by the ids of its words (a written table numbers them), so nothing rests on hashes beyond a chunk's own
-words. A group of the count has no more rows than there are chunks, however frequent the phrase.
+A word is told by its number in a written table, a longer phrase by those of the two phrases that it joins, and then by
+a number of its own, so nothing rests on hashes beyond a chunk's own words. A group of the count has no more rows than there are chunks, however frequent the phrase.
 
 Scores, cuts and the first TOP of each lang come from the tables of frequent phrases alone, in decimals.
 
@@ -40,10 +40,10 @@ from curvemill.llm._common import LOWER, bytes_in, dropped, rested, spread, stag
 #: Least occurrences of a phrase, its most words, how many of each lang are reported.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text whose occurrences are one row, rows of a batch to Spark, parts in which a lang is ranked first.
-CHUNK_BYTES, OUT_ROWS, RANK_PARTS = 8 << 20, 1 << 17, 64
+CHUNK_BYTES, OUT_ROWS, RANK_PARTS = 12 << 20, 1 << 17, 64
 #: What ends a piece, and what also ends a word.
 _ENDS_PIECE, _ENDS_WORD = bytes_in(b".,;:!?\n\x0b\x0c\r"), bytes_in(b".,;:!?\n\x0b\x0c\r \t")
-#: codes: numbers of phrases among the chunk's own, or a gap, as _packed makes them; items: the 64-bit word ids of these phrases, one phrase after another.
+#: codes: numbers of phrases among the chunk's own, or a gap, as _packed makes them; items: the 64-bit ids of the chunk's phrases, ascending.
 RELATION = "chunk long, codes binary, items binary"
 
 
@@ -122,65 +122,54 @@ def _row(chunk: pa.Scalar, codes: np.ndarray, items: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([_packed(codes)], pa.binary()), pa.array([items.astype(np.int64).tobytes()], pa.binary())], names=["chunk", "codes", "items"])
 
 
-def _only(codes: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
-    """Codes, of n, that are among wanted (sorted) as numbers in wanted; gaps for the others."""
+def _only(codes: np.ndarray, n: int, reply: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, of n, that the reply (code, id) names, as numbers of their ids in order, and these ids; gaps for the others."""
+    code, ids = (np.asarray(reply.values.field(name)) for name in ("code", "id"))
+    order = np.argsort(ids)
     new = np.full(n + 1, -1)  # the last is that of gaps
-    new[wanted] = np.arange(len(wanted))
-    return _closed(new[codes])
+    new[code[order]] = np.arange(len(order))
+    return _closed(new[codes]), ids[order]
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The relation of single words: a chunk's codes with the ids of its words by its reply (code, id)."""
+    """The relation of single words: a chunk's codes with the ids of its words by its reply."""
     for batch in batches:
         for k in range(batch.num_rows):
-            reply = batch["reply"][k].values
-            code, ids = (np.asarray(reply.field(name)) for name in ("code", "id"))
-            yield _row(batch["chunk"][k], _unpacked(batch["codes"][k]), ids[np.argsort(code)])
+            yield _row(batch["chunk"][k], *_only(_unpacked(batch["codes"][k]), len(batch["reply"][k]), batch["reply"][k]))
 
 
-def _joined(batch: pa.RecordBatch, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's relation merge-joined with itself by adjacent place: codes, items and counts of phrases of so many words."""
-    codes = _unpacked(batch["codes"][k])
-    items = np.frombuffer(batch["items"][k].as_buffer(), np.int64).reshape(-1, length - 1)
+def _joined(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's relation merge-joined with itself by adjacent place: codes of the phrases of one word more, and of each its first words' id, its last words' id and count."""
+    codes, items = _unpacked(batch["codes"][k]), np.frombuffer(batch["items"][k].as_buffer(), np.int64)
     at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
     pair = codes[at] * max(1, len(items)) + codes[at + 1]
     known, found, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    left, right = known // max(1, len(items)), known % max(1, len(items))
     joined = np.full(max(0, len(codes) - 1), -1)
     joined[at] = found
-    return joined, np.hstack([items[left], items[right, -1:]]), counts
+    return joined, items[known // max(1, len(items))], items[known % max(1, len(items))], counts
 
 
-def _counted(length: int):  # noqa: ANN202
-    """A chunk's phrases of so many words: (chunk, code, n, the words' ids)."""
-    names = ["chunk", "code", "n", *(f"w{i}" for i in range(length))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                _, items, counts = _joined(batch, k, length)
-                for i in range(0, len(counts), OUT_ROWS):
-                    part = items[i : i + OUT_ROWS]
-                    code = np.arange(i, i + len(part), dtype=np.int32)
-                    columns = [np.full(len(part), batch["chunk"][k].as_py()), code, counts[i : i + OUT_ROWS], *(np.ascontiguousarray(part[:, c]) for c in range(length))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    return run
-
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of one word more: (chunk, code, n, head, tail)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            _, head, tail, counts = _joined(batch, k)
+            for i in range(0, len(counts), OUT_ROWS):
+                j = min(i + OUT_ROWS, len(counts))
+                columns = [np.full(j - i, batch["chunk"][k].as_py()), np.arange(i, j, dtype=np.int32), counts[i:j], head[i:j], tail[i:j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "code", "n", "head", "tail"])
 
-def _next(length: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                codes, items, counts = _joined(batch, k, length)
-                wanted = np.sort(np.asarray(batch["reply"][k].values))
-                yield _row(batch["chunk"][k], _only(codes, wanted, len(counts)), items[wanted])
 
-    return run
+def _next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The relation of the phrases of one word more that a chunk's reply names."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            codes, _, _, counts = _joined(batch, k)
+            yield _row(batch["chunk"][k], *_only(codes, len(counts), batch["reply"][k]))
 
 
 def single_words(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """A table of the words of at least so many occurrences (ids, phrase, last, lang, n, f, heads, tails), and the relation of all words' occurrences."""
+    """A table of the words of at least so many occurrences (id, phrase, last, lang, n, f, heads, tails), and the relation of all words' occurrences."""
     text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     chunks = staged(documents.select(text.alias("text"), lang.alias("lang")).mapInArrow(rested(_chunked), "chunk long, lang string, codes binary, words array<string>, counts array<long>"), "words")
     counts = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
@@ -190,7 +179,7 @@ def single_words(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame
     replies = known.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("reply"))  # a chunk's own words
     relation = staged(chunks.select("chunk", "codes").join(replies, "chunk").mapInArrow(rested(_first), RELATION), "occurrences-1")
     one = F.array("f")
-    table = words.where(F.col("f") >= least).join(total, "lang").select(F.array("id").alias("ids"), F.col("word").alias("phrase"), F.col("word").alias("last"), "lang", "n", "f", one.alias("heads"), one.alias("tails"))
+    table = words.where(F.col("f") >= least).join(total, "lang").select("id", F.col("word").alias("phrase"), F.col("word").alias("last"), "lang", "n", "f", one.alias("heads"), one.alias("tails"))
     ready = staged(table, "phrases-1")
     dropped(chunks)
     dropped(words)
@@ -198,32 +187,34 @@ def single_words(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame
 
 
 def longer(relation: DataFrame, length: int, least: int) -> tuple[DataFrame, DataFrame | None]:
-    """From the relation of phrases one word shorter: the frequent phrases of this length (ids, f), and their relation."""
-    keys = [f"w{i}" for i in range(length)]
-    found = relation.mapInArrow(rested(_counted(length)), "chunk long, code int, n long, " + ", ".join(f"{k} long" for k in keys))
-    counted = found.withColumn("f", F.sum("n").over(W.partitionBy(*keys))).where(F.col("f") >= least)
-    kept = staged(counted.select("chunk", "code", F.array(*keys).alias("ids"), "f"), f"frequent-{length}")
-    phrases = kept.groupBy("ids").agg(F.max("f").alias("f"))  # a phrase has as many rows as chunks
+    """From the relation of phrases one word shorter: the frequent phrases of this length (id, head, tail, f), and their relation."""
+    found = relation.mapInArrow(rested(_counted), "chunk long, code int, n long, head long, tail long")
+    counted = found.withColumn("f", F.sum("n").over(W.partitionBy("head", "tail"))).where(F.col("f") >= least)
+    kept = staged(counted.select("chunk", "code", "head", "tail", "f"), f"frequent-{length}")
+    phrases = staged(kept.groupBy("head", "tail").agg(F.max("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), f"numbered-{length}")
     if length == LONGEST:
+        dropped(kept)
         return phrases, None
-    replies = kept.groupBy("chunk").agg(F.collect_list("code").alias("reply"))
-    return phrases, staged(relation.join(replies, "chunk").mapInArrow(rested(_next(length)), RELATION), f"occurrences-{length}")
+    replies = kept.join(phrases.select("head", "tail", "id"), ["head", "tail"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("reply"))
+    following = staged(relation.join(replies, "chunk").mapInArrow(rested(_next), RELATION), f"occurrences-{length}")
+    dropped(kept)
+    return phrases, following
 
 
 def phrase_tables(documents: DataFrame, least: int = LEAST) -> list[DataFrame]:
-    """For each length from 1 to LONGEST the phrases (ids, phrase, last word, lang, n, f) of at least so many occurrences, with the numbers of occurrences of their first (heads) and last (tails) 1, 2, ... words."""
+    """For each length from 1 to LONGEST the phrases (id, phrase, last word, lang, n, f) of at least so many occurrences, with the ids of the phrases of one word less that they begin (head) and end with (tail), and the numbers of occurrences of their first (heads) and last (tails) 1, 2, ... words."""
     table, relation = single_words(documents, least)
     tables = [table]
     for length in range(2, LONGEST + 1):
         found, following = longer(relation, length, least)
         dropped(relation)
         relation = following
-        head = tables[-1].select(F.col("ids").alias("head"), F.col("phrase").alias("begin"), "lang", "n", "heads")
-        tail = tables[-1].select(F.col("ids").alias("tail"), "last", "tails")
-        cut = found.withColumns({"head": F.slice("ids", 1, length - 1), "tail": F.slice("ids", 2, length - 1)})
-        whole = cut.join(head, "head").join(tail, "tail")
+        begin = tables[-1].select(F.col("id").alias("head"), F.col("phrase").alias("begin"), "lang", "n", "heads")
+        end = tables[-1].select(F.col("id").alias("tail"), "last", "tails")
+        whole = found.join(begin, "head").join(end, "tail")
         f = F.array("f")
-        tables.append(staged(whole.select("ids", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "lang", "n", "f", F.concat("heads", f).alias("heads"), F.concat("tails", f).alias("tails")), f"phrases-{length}"))
+        tables.append(staged(whole.select("id", "head", "tail", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "lang", "n", "f", F.concat("heads", f).alias("heads"), F.concat("tails", f).alias("tails")), f"phrases-{length}"))
+        dropped(found)
     return tables
 
 
@@ -248,8 +239,8 @@ def collocations(tables: list[DataFrame], top: int = TOP) -> DataFrame:
     scored = []
     for length, table in enumerate(tables[1:], 2):
         if length < len(tables):
-            larger = tables[length].select(F.explode(F.array(F.slice("ids", 1, length), F.slice("ids", 2, length))).alias("ids"), F.col("f").alias("longest"))
-            table = table.join(larger.groupBy("ids").agg(F.max("longest").alias("longest")), "ids", "left").where("longest is null or longest < f")
+            larger = tables[length].select(F.explode(F.array("head", "tail")).alias("id"), F.col("f").alias("longest"))
+            table = table.join(larger.groupBy("id").agg(F.max("longest").alias("longest")), "id", "left").where("longest is null or longest < f")
         scored.append(table.withColumn("w", _weakest(length)).select("lang", "phrase", F.col("f").alias("a"), "w.l", "w.r", "n", "w.score"))
     every = scored[0]
     for more in scored[1:]:

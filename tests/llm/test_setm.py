@@ -20,7 +20,7 @@ def corpus(rng, n):
     return [(rng.choice([" ", "  ", "\t"]).join(some() + rng.choice(["", "", "", ",", ".\n", "!?", "\x0c", " "]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "en", "en", "de", None, "und"])) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("chunk", "top"), [(1, 2000), (700, 2000), (8 << 20, 2000), (700, 7)])
+@pytest.mark.parametrize(("chunk", "top"), [(1, 2000), (700, 2000), (12 << 20, 2000), (700, 7)])
 def test_against_plain_counting(spark, monkeypatch, chunk, top):
     monkeypatch.setattr(setm, "CHUNK_BYTES", chunk)
     rows = [*corpus(random.Random(5), 120), (None, "en"), ("", None), (" . , ", "fr"), ("One word", "it"), ("machine " * 3000, "en")]
@@ -38,6 +38,6 @@ def test_nothing_is_frequent(spark):
 
 def test_products_past_64_bits(spark):
     big = 3_000_000_000_000
-    row = [([1, 2], "a b", "b", "en", 5 * big, big, [big + 7, big], [big + 9, big])]
-    table = spark.createDataFrame(row, "ids array<long>, phrase string, last string, lang string, n long, f long, heads array<long>, tails array<long>")
+    row = [(1, "a b", "b", "en", 5 * big, big, [big + 7, big], [big + 9, big])]
+    table = spark.createDataFrame(row, "id long, phrase string, last string, lang string, n long, f long, heads array<long>, tails array<long>")
     assert setm.collocations([table.limit(0), table]).first()["score"] == 1000 * big * 5 * big // ((big + 7) * (big + 9))
