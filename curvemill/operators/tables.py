@@ -57,9 +57,16 @@ def sample_n(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 
 
 def half_sample(rows: DataFrame, key: str, first: Column, seed: int, n: int) -> DataFrame:
-    """n // 2 rows of those that are first, or as many as there are, and n - n // 2 of the others."""
-    part = lambda which, size: sample_n(rows.where(which), key, seed, size)
-    return part(first, n // 2).unionByName(part(~first, n - n // 2))
+    """n // 2 rows of those that are first, or as many as there are, and n - n // 2 of the others; rows are made once.
+
+    Each is ranked by its hash among its like. What can't be among the first n is left out before rows are brought
+    together, in parts of each kind.
+    """
+    most = n - n // 2
+    marked = rows.withColumns({"_first": F.coalesce(first, F.lit(False)), "_hash": hash_order(F.col(key), seed)}).withColumn("_part", F.pmod(F.crc32("_hash"), F.lit(64)))
+    ranked = lambda of, *by: of.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("_hash", key))).where(F.col("_n") <= most)
+    least = ranked(ranked(marked, "_first", "_part"), "_first")
+    return least.where(F.col("_n") <= F.when(F.col("_first"), n // 2).otherwise(most)).drop("_first", "_hash", "_part", "_n")
 
 
 def stratified_sample(rows: DataFrame, key: str, stratum: str, seed: int, n: int) -> DataFrame:

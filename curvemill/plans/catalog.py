@@ -16,6 +16,7 @@ from curvemill.functions.split import assign_split, unit_hash
 from curvemill.operators import assignment, curves, leaderboard, manifest, pairings, panels, scoring, tables, tracing
 from curvemill.plans import views
 from curvemill.plans.views import table
+from curvemill.sources import sinks
 from curvemill.sources.files import with_default_scales, works
 from curvemill.sources.order import with_read_order
 from curvemill.sources.snapshots import Snapshots, run_in_batches
@@ -623,6 +624,12 @@ def sample_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.half_sample(counted, "image_id", F.col("multi"), 3, 30)
 
 
+@query(f"WITH {views.GRID}, oc AS (SELECT image_id, count(*) AS n_panels, sha256('5:' || image_id) AS h FROM grd GROUP BY image_id) SELECT image_id, n_panels FROM oc QUALIFY row_number() OVER (PARTITION BY n_panels > 1 ORDER BY h, image_id) <= 10")
+def panel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a review sample of 20 images."""
+    return sinks.panel_sample(panel_grid(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("n_panels")), 5, 20)
+
+
 @query(f"WITH {views.GRID} SELECT grd.image_id, label, count(*) AS n_pixels, sum((x - x0) * lum)::BIGINT AS mass FROM grd JOIN lu ON lu.image_id = grd.image_id AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL")
 def panel_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = views.luminances(spark, sf_dir)

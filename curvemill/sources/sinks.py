@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curvemill.operators.panels import cropped
+from curvemill.operators.tables import half_sample
+from curvemill.sources import named_files
+
 
 def write_table(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     """parquet, or json with a document on each line."""
@@ -43,18 +46,29 @@ def panel_images(crops: DataFrame) -> DataFrame:
     return crops.groupBy("image_id", "label").applyInPandas(encode, "image_id string, label string, image binary")
 
 
-def write_files(rows: DataFrame, folder: str) -> None:
-    """rows (name, content) to files of a folder that all executors share; done again, a task writes the same files."""
+def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """rows (name, content) to files of a folder that driver and executors share, all or none of them; with overwrite other files there go."""
+    named_files.register(rows.sparkSession)
+    rows.select("name", "content").write.format("named_files").mode("overwrite" if overwrite else "append").option("path", folder).save()
+
 
-    def save(part: Iterator) -> None:
-        import os
+def panel_sample(counted: DataFrame, seed: int, n: int) -> DataFrame:
+    """Images to look at, of (image_id, n_panels): half of several panels, half of one."""
+    return half_sample(counted, "image_id", F.col("n_panels") > 1, seed, n)
 
-        os.makedirs(folder, exist_ok=True)
-        for row in part:
-            with open(f"{folder}/{row.name}", "wb") as f:
-                f.write(row.content)
 
-    rows.select("name", "content").foreachPartition(save)
+def panel_sample_files(images: DataFrame, panels: DataFrame, pixels: DataFrame, seed: int, n: int) -> DataFrame:
+    """What write_files needs for a review: of n images (image_id: a path, content) the originals, their panels as PNG, and a manifest."""
+    chosen = panel_sample(panels.groupBy("image_id").agg(F.count("*").alias("n_panels")), seed, n)
+    part = F.split("image_id", "/")
+    paper, file = F.coalesce(F.get(part, F.size(part) - 2), F.lit("")), F.element_at(part, -1)
+    stem = F.concat(paper, F.lit("__"), F.regexp_replace(file, r"\.[^.]*$", ""))
+    originals = images.join(chosen, "image_id").select(F.concat(F.lit("sample/"), stem, F.lit("__original"), F.regexp_extract(file, r"(\.[^.]*)?$", 0)).alias("name"), "content")
+    crops = panel_images(cropped(pixels.join(chosen.select("image_id"), "image_id", "left_semi"), panels))
+    cut = crops.select(F.concat(F.lit("sample/"), stem, F.lit("__panel_"), "label", F.lit(".png")).alias("name"), F.col("image").alias("content"))
+    entry = F.struct(paper.alias("paper_id"), F.col("image_id").alias("source"), "n_panels")
+    listed = chosen.agg(F.to_json(F.sort_array(F.collect_list(entry))).cast("binary").alias("content")).select(F.lit("sample_manifest.json").alias("name"), "content")  # n entries
+    return originals.unionByName(cut).unionByName(listed)
 
 
 def upload(folder: str, token: str | None = None) -> None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvemill.operators import manifest
-from curvemill.sources import remote
+from curvemill.sources import remote, sinks
 from curvemill.sources.snapshots import Snapshots, run_in_batches
 from curvemill.sources.works_source import WorksSource, source_with
 
@@ -150,3 +150,36 @@ def test_a_damaged_image_is_left_out(spark):
     rows = remote.extracted_images(spark.createDataFrame([("x", bytearray(b"fine")), ("y", bytearray(b"bad"))], "id string, content binary"), pages).collect()
     assert sorted((r.id, r.page or 0, bytes(r.image or b"")) for r in rows if r.id == "x") == [("x", 1, b"good"), ("x", 1, b"plain"), ("x", 2, b"page")]
     assert [r.error for r in rows if r.id == "y" and r.error] == ["ValueError: xref"]
+
+
+def names_in(folder):
+    return sorted(str(p.relative_to(folder)) for p in folder.rglob("*") if p.is_file())
+
+
+def test_named_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    rows = spark.createDataFrame([(f"d{i % 2}/f{i}.bin", bytearray(b"x" * i)) for i in range(9)], "name string, content binary").repartition(4)
+    sinks.write_files(rows, f"{tmp_path}/out")
+    want = sorted(f"d{i % 2}/f{i}.bin" for i in range(9))
+    assert names_in(tmp_path / "out") == want and (tmp_path / "out/d1/f7.bin").read_bytes() == b"x" * 7
+    failing = rows.withColumn("content", F.when(F.col("name") == "d1/f7.bin", F.raise_error(F.lit("no"))).otherwise(F.lit(b"new")))
+    for bad in (failing, rows.withColumn("name", F.lit("same")), rows.withColumn("name", F.lit("../out")), rows.withColumn("name", F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match=r"no|same name|no name"):
+            sinks.write_files(bad, f"{tmp_path}/out")
+        assert names_in(tmp_path / "out") == want and (tmp_path / "out/d0/f2.bin").read_bytes() == b"xx"
+        assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")] == []
+    sinks.write_files(rows.where("name = 'd0/f2.bin'").withColumn("content", F.lit(None).cast("binary")), f"file://{tmp_path}/out", overwrite=True)
+    assert names_in(tmp_path / "out") == ["d0/f2.bin"] and (tmp_path / "out/d0/f2.bin").read_bytes() == b""
+
+
+def test_a_review_sample(spark, tmp_path):
+    images = spark.createDataFrame([(f"/data/p{i}/fig.{i}.png", bytearray(b"png%d" % i)) for i in range(6)], "image_id string, content binary")
+    two = [(f"/data/p{i}/fig.{i}.png", "ab"[k], 4 * k, 0, 4 * k + 4, 3) for i in range(6) for k in range(2 if i < 2 else 1)]
+    panels = spark.createDataFrame(two, "image_id string, label string, x0 int, y0 int, x1 int, y1 int")
+    pixels = images.select("image_id").crossJoin(spark.range(8).selectExpr("cast(id as int) as x")).crossJoin(spark.range(3).selectExpr("cast(id as int) as y")).withColumn("lum", F.col("x") * 10)
+    sinks.write_files(sinks.panel_sample_files(images, panels, pixels, 1, 5), str(tmp_path))
+    listed = json.loads((tmp_path / "sample_manifest.json").read_text())
+    assert sorted(x["n_panels"] for x in listed) == [1, 1, 1, 2, 2] and {x["paper_id"] for x in listed if x["n_panels"] == 2} == {"p0", "p1"}
+    want = {"sample_manifest.json"} | {f"sample/{x['paper_id']}__fig.{x['paper_id'][1]}__{kind}.png" for x in listed for kind in ("original", "panel_a", *(["panel_b"] if x["n_panels"] == 2 else []))}
+    assert set(names_in(tmp_path)) == want
+    assert (tmp_path / "sample/p0__fig.0__original.png").read_bytes() == b"png0"
+    assert (tmp_path / "sample/p0__fig.0__panel_b.png").read_bytes() == sinks.png(4, 3, bytes([40, 50, 60, 70] * 3))
