@@ -19,12 +19,29 @@ def profile(pixels: DataFrame, axis: str, background: int = 245) -> DataFrame:
     return pixels.groupBy("image_id", F.col(axis).alias("i")).agg(F.avg((F.col("lum") >= background).cast("double")).alias("share"))
 
 
-def runs(rows: DataFrame, keys: list[str], at: str, flag: Column) -> DataFrame:
-    """Maximal runs of consecutive equal flags: keys, flag, lo, hi (end exclusive)."""
-    flagged = rows.withColumn("flag", flag)
-    ordered = W.partitionBy(*keys).orderBy(at)
-    island = F.row_number().over(ordered) - F.row_number().over(W.partitionBy(*keys, "flag").orderBy(at))
-    return flagged.withColumn("_island", island).groupBy(*keys, "flag", "_island").agg(F.min(at).alias("lo"), (F.max(at) + 1).alias("hi")).drop("_island")
+#: Rows that are looked at together for runs.
+SEGMENT = 4096
+
+
+def runs(rows: DataFrame, keys: list[str], at: str, flag: Column, segment: int = SEGMENT) -> DataFrame:
+    """Maximal runs of equal flags at consecutive numbers: keys, flag, lo, hi (end exclusive).
+
+    Runs are found in segments of rows, so that a long column of them is many groups. A segment's summary is its first
+    and last run (one and the same, if it has no other); only these can go on in the next segment, and only they are
+    put together in order. The runs between them are final.
+    """
+    part = F.floor(F.col(at) / segment).alias("_segment")
+    flagged = rows.withColumns({"flag": flag, "_segment": part})
+    ordered = W.partitionBy(*keys, "_segment").orderBy(at)
+    island = F.row_number().over(ordered) - F.row_number().over(W.partitionBy(*keys, "_segment", "flag").orderBy(at))
+    local = flagged.withColumn("_island", F.col(at) - F.row_number().over(ordered) + island).groupBy(*keys, "_segment", "flag", "_island").agg(F.min(at).alias("lo"), (F.max(at) + 1).alias("hi"))
+    outer = (F.col("lo") == F.col("_segment") * segment) | (F.col("hi") == (F.col("_segment") + 1) * segment)
+    line = W.partitionBy(*keys).orderBy("lo")
+    goes_on = F.lag(F.struct("flag", "hi")).over(line) == F.struct("flag", F.col("lo").alias("hi"))
+    edges = local.where(outer).withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(line))
+    merged = edges.groupBy(*keys, "flag", "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    columns = [*keys, "flag", "lo", "hi"]
+    return local.where(~outer).select(*columns).unionByName(merged.select(*columns))
 
 
 def bands(shares: DataFrame, gutter: float = 0.98, min_gutter: int = 3, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
