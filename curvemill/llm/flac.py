@@ -322,7 +322,14 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block:
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream, checked against its MD5."""
+    """The payload of each stream, checked against its MD5; a stream that is cut short or of another form is a ValueError."""
+    try:
+        return _payloads(streams)
+    except (IndexError, KeyError, TypeError, OverflowError) as e:
+        raise ValueError("a stream is cut short, or has no sizes of its frames") from e
+
+
+def _payloads(streams: list[bytes]) -> list[bytes]:
     infos = [parse(s) for s in streams]
     base = np.cumsum([0] + [len(s) for s in streams])
     ends = []

@@ -4,10 +4,12 @@ A text is its counts of hashed byte trigrams (of the whole text, case and punctu
 the word before them, as log(1 + 1000 * share) times the term's rarity; the largest RANK singular directions of the
 labelled sample turn that into a latent vector of unit length. The labelled vectors are broadcast; their number is
 bounded by TRAIN_PER_LABEL for each label, whatever the input. Every document's cosines with all of them are computed
-exactly in blocks; the NEIGHBOURS nearest vote with their similarity as weight.
+exactly in blocks; the NEIGHBOURS nearest vote, weighted by the eighth power of their similarity.
 
-Texts that are null or empty have no direction and get the labels' mean; with no labels at all the score is 0.5. Ties
-go to the first in the sample's order. Repeated rows get equal results; extra columns are kept, but score is replaced.
+Texts that are null or empty have no direction and get the labels' mean; with no labels at all the score is 0.5.
+Cosines are computed in double precision and rounded to six decimals, so that equal texts get equal scores wherever in a
+block they stand, and neighbours that are equally near are ties; these go to the first in the sample's order. Extra
+columns are kept, but score is replaced.
 """
 
 from __future__ import annotations
@@ -64,13 +66,15 @@ class Model:
         self.vectors = self._unit(weights)
 
     def _unit(self, weights: np.ndarray) -> np.ndarray:
-        latent = (weights * self.rarity) @ self.directions
+        latent = (weights * self.rarity).astype(np.float64) @ self.directions.astype(np.float64)
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
     def score(self, weights: np.ndarray) -> np.ndarray:
-        cosine = np.maximum(self._unit(weights) @ self.vectors.T, 0)
+        cosine = np.round(np.maximum(self._unit(weights) @ self.vectors.T, 0), 6)
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        n = len(self.labels)
+        place = np.rint(cosine * 1e6).astype(np.int64) * n + np.arange(n)[::-1]
+        near = np.sort(np.argpartition(-place, k - 1, axis=1)[:, :k], axis=1)
         weight = np.take_along_axis(cosine, near, axis=1) ** 8
         total = weight.sum(axis=1)
         voted = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)

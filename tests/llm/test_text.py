@@ -364,3 +364,24 @@ def test_quality_edges(docs, empty):
     assert quality.fit(quality.sampled_rows(empty.select("doc_id", F.lit(1).alias("label")), docs)) is None
     assert quality.score(empty, model).count() == 0
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
+
+
+def test_equal_texts_have_equal_scores(spark, docs):
+    model = quality.fit(quality.sampled_rows(docs.select("doc_id", F.expr("int(doc_id % 2)").alias("label")), docs))
+    some = spark.createDataFrame([(i, f"{'abcdefg'[i % 7]} common text {i % 7} " * (1 + i % 7)) for i in range(1500)], "doc_id long, text string")
+    for frame in (some.coalesce(1), some.repartition(40), some.orderBy("text")):
+        found = quality.score(frame, model).groupBy("text").agg(F.collect_set("score").alias("s")).collect()
+        assert len(found) == 7 and all(len(r.s) == 1 for r in found)
+    scores = [{r.text: r.score for r in quality.score(some.where(f"doc_id < {n}"), model).collect()} for n in (7, 900)]
+    assert scores[0] == scores[1]
+
+
+def test_no_flac_is_a_value_error():
+    (good,) = flac.encode([flac.payload_of(b"some text")])
+    assert flac.decode([good]) == [flac.payload_of(b"some text")]
+    head = good[:4] + bytes([good[4] | 128]) + good[5:42]  # stream information alone, without the frames' sizes
+    for bad in (b"", b"fLaC", good[:20], good[:60], good[:-3], b"RIFF" + good[4:], head, head + good[-40:], good[:-1] + bytes([good[-1] ^ 1])):
+        with pytest.raises(ValueError, match="."):
+            flac.decode([bad])
+        with pytest.raises(ValueError, match="."):
+            flac.decode([good, bad])
