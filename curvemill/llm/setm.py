@@ -10,14 +10,14 @@ For each length from 2 to LONGEST
 * every relation is merge-joined with itself by piece and adjacent place: two phrases of k - 1 words that begin at
   neighbouring places make one of k words, and no other phrase can be frequent;
 * the joined occurrences are counted by phrase, within the chunk first, then over all chunks;
-* phrases of at least LEAST occurrences stay: each chunk learns which of its own these are (a semi-join on the phrase,
-  then on the chunk), and the kept occurrences are written as the next relation.
+* phrases of at least LEAST occurrences stay: each chunk learns which of its own these are (by the phrase's total on
+  each of its rows, then a semi-join by chunk), and the kept occurrences are written as the next relation.
 
 The first relation holds every word: words that are too rare vanish with the first count, and leaving them out before
 would take a join of its own, which saves the less the larger the corpus is.
 
 A word is told by its number in a written table, a longer phrase by those of the two phrases that it joins, and then by
-a number of its own, so nothing rests on hashes beyond a chunk's own words. A group of the count has no more rows than there are chunks, however frequent the phrase.
+its place in the first chunk that has it, so nothing rests on hashes beyond a chunk's own words. A group of the count has no more rows than there are chunks, however frequent the phrase.
 
 Scores, cuts and the first TOP of each lang come from the tables of frequent phrases alone, in decimals.
 
@@ -41,6 +41,8 @@ from curvemill.llm._common import LOWER, bytes_in, dropped, rested, spread, stag
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text whose occurrences are one row, rows of a batch to Spark, parts in which a lang is ranked first.
 CHUNK_BYTES, OUT_ROWS, RANK_PARTS = 12 << 20, 1 << 17, 64
+#: A chunk's number is its task's (20 bits) and its own there (14 bits); with a code below 2 ** CODE_BITS it makes a phrase's id.
+CHUNK_BITS, CODE_BITS = 14, 29
 #: What ends a piece, and what also ends a word.
 _ENDS_PIECE, _ENDS_WORD = bytes_in(b".,;:!?\n\x0b\x0c\r"), bytes_in(b".,;:!?\n\x0b\x0c\r \t")
 #: codes: numbers of phrases among the chunk's own, or a gap, as _packed makes them; items: the 64-bit ids of the chunk's phrases, ascending.
@@ -92,15 +94,19 @@ def _words(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[pa.Array]] = {}
     size: dict[str, int] = {}
-    number = TaskContext.get().partitionId() << 32
+    task, number = TaskContext.get().partitionId(), 0
+    if task >> (63 - CHUNK_BITS - CODE_BITS):
+        raise ValueError("too many tasks for the numbers of chunks; read the texts in fewer partitions")
 
     def written(lang: str) -> pa.RecordBatch:
         nonlocal number
         codes, words, counts = _words(pa.concat_arrays(held.pop(lang)))
         size.pop(lang)
         number += 1
+        if number > 1 << CHUNK_BITS or len(words) >> CODE_BITS:
+            raise ValueError("too much text in a task for the numbers of chunks; read the texts in more partitions")
         lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([lang]), pa.array([_packed(codes)]), *lists], names=["chunk", "lang", "codes", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([task << CHUNK_BITS | number - 1], pa.int64()), pa.array([lang]), pa.array([_packed(codes)]), *lists], names=["chunk", "lang", "codes", "words", "counts"])
 
     for batch in batches:
         langs = batch["lang"].to_numpy(zero_copy_only=False)
@@ -187,18 +193,17 @@ def single_words(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame
 
 
 def longer(relation: DataFrame, length: int, least: int) -> tuple[DataFrame, DataFrame | None]:
-    """From the relation of phrases one word shorter: the frequent phrases of this length (id, head, tail, f), and their relation."""
+    """From the relation of phrases one word shorter: a written table of the frequent phrases of this length in each chunk that has them (chunk, code, id, head, tail, f), and their relation."""
     found = relation.mapInArrow(rested(_counted), "chunk long, code int, n long, head long, tail long")
-    counted = found.withColumn("f", F.sum("n").over(W.partitionBy("head", "tail"))).where(F.col("f") >= least)
-    kept = staged(counted.select("chunk", "code", "head", "tail", "f"), f"frequent-{length}")
-    phrases = staged(kept.groupBy("head", "tail").agg(F.max("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), f"numbered-{length}")
+    same = W.partitionBy("head", "tail")
+    # a phrase's id: where it stands in the first chunk that has it
+    place = F.shiftleft("chunk", CODE_BITS).bitwiseOR(F.col("code").cast("long"))
+    counted = found.withColumns({"f": F.sum("n").over(same), "id": F.min(place).over(same)}).where(F.col("f") >= least)
+    kept = staged(counted.select("chunk", "code", "id", "head", "tail", "f"), f"frequent-{length}")
     if length == LONGEST:
-        dropped(kept)
-        return phrases, None
-    replies = kept.join(phrases.select("head", "tail", "id"), ["head", "tail"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("reply"))
-    following = staged(relation.join(replies, "chunk").mapInArrow(rested(_next), RELATION), f"occurrences-{length}")
-    dropped(kept)
-    return phrases, following
+        return kept, None
+    replies = kept.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("reply"))
+    return kept, staged(relation.join(replies, "chunk").mapInArrow(rested(_next), RELATION), f"occurrences-{length}")
 
 
 def phrase_tables(documents: DataFrame, least: int = LEAST) -> list[DataFrame]:
@@ -206,15 +211,16 @@ def phrase_tables(documents: DataFrame, least: int = LEAST) -> list[DataFrame]:
     table, relation = single_words(documents, least)
     tables = [table]
     for length in range(2, LONGEST + 1):
-        found, following = longer(relation, length, least)
+        kept, following = longer(relation, length, least)
         dropped(relation)
         relation = following
         begin = tables[-1].select(F.col("id").alias("head"), F.col("phrase").alias("begin"), "lang", "n", "heads")
         end = tables[-1].select(F.col("id").alias("tail"), "last", "tails")
+        found = kept.groupBy("id").agg(*(F.first(c).alias(c) for c in ("head", "tail", "f")))  # alike in all chunks
         whole = found.join(begin, "head").join(end, "tail")
         f = F.array("f")
         tables.append(staged(whole.select("id", "head", "tail", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "lang", "n", "f", F.concat("heads", f).alias("heads"), F.concat("tails", f).alias("tails")), f"phrases-{length}"))
-        dropped(found)
+        dropped(kept)
     return tables
 
 
