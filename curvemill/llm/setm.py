@@ -40,7 +40,7 @@ from curvemill.llm._common import LOWER, bytes_in, dropped, rested, spread, stag
 #: Least occurrences of a phrase, its most words, how many of each lang are reported.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text whose occurrences are one row, rows of a batch to Spark, parts in which a lang is ranked first.
-CHUNK_BYTES, OUT_ROWS, RANK_PARTS = 12 << 20, 1 << 17, 64
+CHUNK_BYTES, OUT_ROWS, RANK_PARTS = 6 << 20, 1 << 17, 64
 #: A chunk's number is its task's (20 bits) and its own there (14 bits); with a code below 2 ** CODE_BITS it makes a phrase's id.
 CHUNK_BITS, CODE_BITS = 14, 29
 #: What ends a piece, and what also ends a word.
@@ -56,7 +56,7 @@ def _packed(codes: np.ndarray) -> bytes:
 
 def _unpacked(value: pa.Scalar) -> np.ndarray:
     planes = np.frombuffer(value.as_buffer(), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
+    return np.ascontiguousarray(planes.T).view("<i4").ravel() - np.int32(1)
 
 
 def _closed(codes: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def _only(codes: np.ndarray, n: int, reply: pa.Scalar) -> tuple[np.ndarray, np.n
     """Codes, of n, that the reply (code, id) names, as numbers of their ids in order, and these ids; gaps for the others."""
     code, ids = (np.asarray(reply.values.field(name)) for name in ("code", "id"))
     order = np.argsort(ids)
-    new = np.full(n + 1, -1)  # the last is that of gaps
+    new = np.full(n + 1, -1, np.int32)  # the last is that of gaps
     new[code[order]] = np.arange(len(order))
     return _closed(new[codes]), ids[order]
 
@@ -148,9 +148,11 @@ def _joined(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.n
     """A chunk's relation merge-joined with itself by adjacent place: codes of the phrases of one word more, and of each its first words' id, its last words' id and count."""
     codes, items = _unpacked(batch["codes"][k]), np.frombuffer(batch["items"][k].as_buffer(), np.int64)
     at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
-    pair = codes[at] * max(1, len(items)) + codes[at + 1]
+    pair = codes[at].astype(np.int64)
+    pair *= max(1, len(items))
+    pair += codes[at + 1]
     known, found, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    joined = np.full(max(0, len(codes) - 1), -1)
+    joined = np.full(max(0, len(codes) - 1), -1, np.int32)
     joined[at] = found
     return joined, items[known // max(1, len(items))], items[known % max(1, len(items))], counts
 

@@ -20,7 +20,7 @@ def corpus(rng, n):
     return [(rng.choice([" ", "  ", "\t"]).join(some() + rng.choice(["", "", "", ",", ".\n", "!?", "\x0c", " "]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "en", "en", "de", None, "und"])) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("chunk", "top"), [(1, 2000), (700, 2000), (12 << 20, 2000), (700, 7)])
+@pytest.mark.parametrize(("chunk", "top"), [(1, 2000), (700, 2000), (6 << 20, 2000), (700, 7)])
 def test_against_plain_counting(spark, monkeypatch, chunk, top):
     monkeypatch.setattr(setm, "CHUNK_BYTES", chunk)
     rows = [*corpus(random.Random(5), 120), (None, "en"), ("", None), (" . , ", "fr"), ("One word", "it"), ("machine " * 3000, "en")]
