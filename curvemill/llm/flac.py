@@ -7,7 +7,8 @@ smaller is verbatim. A seek table lists a frame in SEEK, which makes any sample
 before, and application blocks list the sizes of all frames (two bytes each), which lets the decoder take many frames
 side by side, a slice of SLICE frames at a time whatever a text's length. It checks the header's CRC-8 and the frame's CRC-16, reads Rice codes
 (of any partition order) with a 64-bit window, undoes fixed and linear predictors of any order up to 32, and compares
-the samples' MD5 with the stream's.
+the samples' MD5 with the stream's. What the query reports is read from PCM blocks, each of which starts at a seek
+point, and the end of each stream by a seek.
 
 Null counts as empty; a payload is never empty. Equal texts give equal streams. Rows repeated give equal rows; extra
 columns are ignored. A damaged stream raises ValueError. A text takes about five times its bytes in memory.
@@ -329,17 +330,56 @@ def decode(streams: list[bytes]) -> list[bytes]:
         raise ValueError("a stream is cut short, or has no sizes of its frames") from e
 
 
+def _info(stream: bytes) -> dict:
+    """parse() of a stream that decode() can read, with where its frames end."""
+    info = parse(stream)
+    if (info["block"], info["bits"], info["channels"]) != (BLOCK, 8, 1):
+        raise ValueError("streams with one channel of 8 bits and this block size are read")
+    ends, points = info["frames"] + np.cumsum(info["sizes"]), info["points"]
+    begin = ends - info["sizes"] - info["frames"]
+    if ends[-1] != len(stream) or (begin[points[:, 0] // BLOCK] != points[:, 1]).any():
+        raise ValueError("the sizes of the frames don't agree with the stream or its seek table")
+    return info | {"ends": ends}
+
+
+def read_at(streams: list[bytes], starts: list[int], count: int) -> list[bytes]:
+    """count samples (signed, a byte each) of every stream from its start on; only the frames that hold them are decoded.
+
+    The last seek point that isn't behind the start gives a frame's number and place; frames between it and the start
+    are stepped over by their sizes. A start that leaves fewer than count samples is a ValueError, as a damaged stream is.
+    """
+    try:
+        cut, begins, ends, numbers, kept, at = [], [], [], [], [], 0
+        for stream, start in zip(streams, starts, strict=True):
+            info = _info(stream)
+            if start < 0 or start + count > info["samples"]:
+                raise ValueError("samples beyond the stream's")
+            point = info["points"][np.searchsorted(info["points"][:, 0], start, side="right") - 1]
+            first, last = int(point[0]) // BLOCK, (start + count - 1) // BLOCK
+            size = info["sizes"][first : last + 1]
+            place = info["frames"] + int(point[1]) + np.cumsum(size) - size  # of the frames from the seek point on
+            skip = start // BLOCK - first
+            cut.append(stream[place[skip] : place[-1] + size[-1]])
+            begins.append(place[skip:] - place[skip] + at)
+            ends.append(begins[-1] + size[skip:])
+            numbers.append(np.arange(first + skip, last + 1))
+            kept.append((last + 1 - first - skip, start % BLOCK))
+            at += len(cut[-1])
+        found = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begins, ends, numbers)]
+        frames = decode_frames(np.frombuffer(b"".join(cut), np.uint8), found[0], found[1], BLOCK, 8, found[2]).astype(np.int8)
+    except (IndexError, KeyError, TypeError, OverflowError) as e:
+        raise ValueError("a stream is cut short, or has no sizes of its frames") from e
+    out, row = [], 0
+    for n, off in kept:
+        out.append(frames[row : row + n].tobytes()[off : off + count])
+        row += n
+    return out
+
+
 def _payloads(streams: list[bytes]) -> list[bytes]:
-    infos = [parse(s) for s in streams]
+    infos = [_info(s) for s in streams]
     base = np.cumsum([0] + [len(s) for s in streams])
-    ends = []
-    for info, at, end in zip(infos, base[:-1].tolist(), base[1:].tolist(), strict=True):
-        if (info["block"], info["bits"], info["channels"]) != (BLOCK, 8, 1):
-            raise ValueError("streams with one channel of 8 bits and this block size are read")
-        ends.append(at + info["frames"] + np.cumsum(info["sizes"]))
-        begin, points = ends[-1] - info["sizes"] - at - info["frames"], info["points"]
-        if ends[-1][-1] != end or (begin[points[:, 0] // BLOCK] != points[:, 1]).any():
-            raise ValueError("the sizes of the frames don't agree with the stream or its seek table")
+    ends = [info["ends"] + at for info, at in zip(infos, base[:-1].tolist(), strict=True)]
     sizes, ends = np.concatenate([i["sizes"] for i in infos]), np.concatenate(ends)
     number = spread(np.zeros(len(infos), np.int64), np.array([len(i["sizes"]) for i in infos]))
     data, pcm = np.frombuffer(b"".join(streams), np.uint8), np.zeros((len(sizes), BLOCK), np.int8)
@@ -374,36 +414,89 @@ def store(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        _, offsets = utf8(batch["media"])
-        for i, j in steps(offsets, STEP):
-            part = batch.slice(i, j - i)
-            yield part, decode(part["media"].to_pylist())
+#: Samples at a stream's end that are read by a seek.
+TAIL = 16
+_PCM = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sample_offset", pa.int64()), ("pcm", pa.binary()), ("n_samples", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("tail", pa.binary())])
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
 
+def pcm_blocks(stored: DataFrame, samples: int = SEEK * BLOCK) -> DataFrame:
+    """Blocks of decoded signed 8-bit PCM with the sample at which each starts, which by default is where a seek point is.
 
-def pcm_blocks(stored: DataFrame, samples: int = 256 * BLOCK) -> DataFrame:
-    """Blocks of decoded signed 8-bit PCM with the sample at which each starts."""
+    A document's blocks come one after another in a task, in order. Each tells the document's text bytes and samples,
+    its stream's size and digest, and the last TAIL samples as they are found by a seek, without what is before them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, payloads in _decoded(batches):
-            rows = [(doc, at, (np.frombuffer(p[at : at + samples], np.uint8) - np.uint8(128)).tobytes()) for doc, p in zip(part["doc_id"].to_pylist(), payloads, strict=True) for at in range(0, len(p), samples)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "sample_offset", "pcm"])
+        for batch in batches:
+            _, offsets = utf8(batch["media"])
+            for i, j in steps(offsets, STEP):
+                part, rows = batch.slice(i, j - i), []
+                media = part["media"].to_pylist()
+                payloads = decode(media)
+                tails = read_at(media, [len(p) - TAIL for p in payloads], TAIL)
+                for doc, n, m, p, tail in zip(part["doc_id"].to_pylist(), part["n_bytes"].to_pylist(), media, payloads, tails, strict=True):
+                    pcm, digest = (np.frombuffer(p, np.uint8) - np.uint8(128)).tobytes(), hashlib.sha256(m).hexdigest()
+                    rows += [(doc, n, at, pcm[at : at + samples], len(p), len(m), digest, tail) for at in range(0, len(p), samples)]
+                for a in range(0, len(rows), 2000):
+                    yield _batch(rows[a : a + 2000], _PCM)
+
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, sample_offset long, pcm binary, n_samples long, media_bytes long, media_sha256 string, tail binary")
+
+
+class _Samples:
+    """What is known of a document's samples after some of its blocks."""
+
+    def __init__(self):
+        self.n = self.sum = self.squares = self.turns = 0
+        self.below: bool | None = None
+        self.payload, self.last = hashlib.sha256(), b""
 
-    return stored.mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, np.int8).astype(np.int32)
+        below = x < 0
+        self.turns += int((below[1:] != below[:-1]).sum()) + (self.below is not None and self.below != bool(below[0]))
+        self.n, self.below = self.n + len(x), bool(below[-1])
+        self.sum, self.squares = self.sum + int(x.sum()), self.squares + int((x * x).sum())
+        self.payload.update(_unsigned(pcm))
+        self.last = (self.last + pcm[-TAIL:])[-TAIL:]
+
+    def feature(self) -> str:
+        return f"mean={self.sum / self.n:.4f};rms={np.sqrt(self.squares / self.n):.4f};turns={self.turns}"
+
+
+def _unsigned(pcm: bytes) -> bytes:
+    return (np.frombuffer(pcm, np.uint8) + np.uint8(128)).tobytes()
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What the stored streams hold when read back, and a feature of their samples: mean, root mean square, sign changes."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """What the stored streams hold when read back, and a feature of their samples: mean, root mean square, sign changes.
+
+    Everything is taken from the PCM blocks, which are read as they come, so that a text's length doesn't matter here;
+    the end's checksum is that of the samples which a seek finds. A block that is missing, or an end that isn't the
+    blocks', is a ValueError.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, payloads in _decoded(batches):
+        now = _Samples()
+        for batch in batches:
             rows = []
-            for doc, n, media, p in zip(*(part[c].to_pylist() for c in ("doc_id", "n_bytes", "media")), payloads, strict=True):
-                x = np.frombuffer(p, np.uint8).astype(np.int32) - 128
-                feature = f"mean={x.mean():.4f};rms={np.sqrt((x.astype(np.int64) ** 2).mean()):.4f};turns={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
-                rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.mapInArrow(run, schema)
+            for doc, n, at, pcm, samples, size, digest, tail in zip(*(batch[c].to_pylist() for c in _PCM.names), strict=True):
+                if at != now.n:
+                    raise ValueError("blocks of samples out of order")
+                now.add(pcm)
+                if now.n == samples:
+                    if tail != now.last:
+                        raise ValueError("a seek to the end finds other samples")
+                    rows.append((doc, n, samples, now.payload.hexdigest(), zlib.crc32(_unsigned(tail)), size, digest, now.feature()))
+                    now = _Samples()
+            if rows:
+                yield _batch(rows, _DIGEST)
+        if now.n:
+            raise ValueError("the last blocks of samples are missing")
+
+    return pcm_blocks(stored).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -376,6 +376,37 @@ def test_equal_texts_have_equal_scores(spark, docs):
     assert scores[0] == scores[1]
 
 
+def test_flac_seek():
+    rng = np.random.default_rng(8)
+    payloads = [flac.payload_of(rng.integers(97, 123, n, dtype=np.uint8).tobytes()) for n in (192 * 200 + 1, 5, 192 * 64, 192 * 65)]
+    streams = flac.encode(payloads)
+    signed = [(np.frombuffer(p, np.uint8) - np.uint8(128)).tobytes() for p in payloads]
+    for count in (1, 16, 192):
+        for _ in range(20):
+            starts = [int(rng.integers(0, len(p) - count + 1)) for p in payloads]
+            assert flac.read_at(streams, starts, count) == [p[a : a + count] for p, a in zip(signed, starts, strict=True)]
+    assert flac.read_at(streams[:1], [100], 192 * 130) == [signed[0][100 : 100 + 192 * 130]] and flac.read_at([], [], 16) == []
+    broken = bytearray(streams[0])
+    broken[flac.parse(streams[0])["frames"] + 5] ^= 1  # in the first frame, which a seek to the end doesn't read
+    assert flac.read_at([bytes(broken)], [len(payloads[0]) - 16], 16) == [signed[0][-16:]]
+    for stream, start in ((bytes(broken), 0), (streams[1], 180), (streams[1], -1), (streams[1][:30], 0)):
+        with pytest.raises(ValueError, match="."):
+            flac.read_at([stream], [start], 16)
+
+
+def test_flac_digests_of_blocks(spark):
+    rng = np.random.default_rng(9)
+    text = "".join(map(chr, rng.integers(32, 127, 40_000)))
+    frame = spark.createDataFrame([(1, text), (None, None), (1, text), (2, "short")], "doc_id long, text string")
+    stored = flac.store(frame.coalesce(1))
+    got = sorted(map(tuple, flac.digests(stored).collect()), key=lambda r: (r[1], r[0]))
+    assert [r[1:3] for r in got] == [(0, 192), (5, 192), (40_000, 40_128), (40_000, 40_128)] and got[2] == got[3]
+    x = np.frombuffer(text.encode() + b" " * 128, np.uint8).astype(int) - 128
+    assert got[2][7] == f"mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};turns={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+    blocks = flac.pcm_blocks(stored).where("doc_id = 1").collect()
+    assert [b.sample_offset for b in blocks] == [0, 12288, 24576, 36864] * 2
+
+
 def test_no_flac_is_a_value_error():
     (good,) = flac.encode([flac.payload_of(b"some text")])
     assert flac.decode([good]) == [flac.payload_of(b"some text")]
