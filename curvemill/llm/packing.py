@@ -6,8 +6,11 @@ largest documents of the shorter tiers that fit; when none fits, one is cut, so
 The shorter tiers' leftovers are then packed among themselves in windows of their own size. What a batch cannot fill
 waits for the next one; the end of a task is cut into windows of powers of two, so no sequence needs padding.
 
-Sequences of one tier are grouped into steps of equal tokens (STEP_TOKENS), so that steps are balanced whatever tier
-they come from. Numbers of sequences and steps are a task's own, made unique by its partition.
+Sequences are grouped into steps of equal tokens over all tasks: they stand in one line by size, the longest first,
+then by task, and each STEP_TOKENS of the line are a step. All sizes are powers of two that divide it, so every step but
+the last has exactly that many tokens, and only where one size ends and the next begins does a step hold two of them. A
+sequence's place comes from its number within its task and size and the prefix sums of the tasks' counts, for which the
+packed pieces are written to the shared folder once. Numbers of sequences are a task's own, made unique by its partition.
 
 Tokens come from a tokenizer file; white space ends tokens there, so the ids of a text are those of its pieces between
 white space, and pieces that come again are looked up. Null or empty texts have the end token only. Rows repeated are
@@ -29,9 +32,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curvemill.llm._common import rest, spread, steps, utf8
+from curvemill.llm._common import rest, spread, staged, steps, utf8
 
 #: Context sizes, the longest first; tokens of a step; token that ends a document.
 TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
@@ -39,8 +43,8 @@ TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
 REMEMBERED, HELD_TOKENS = 150_000, 4_000_000
 #: Bytes of text that are cut into pieces at a time.
 STEP_BYTES = 2 << 20
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
-_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_id", pa.int64())])
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, size int, ordinal long"
+_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("size", pa.int32()), ("ordinal", pa.int64())])
 
 
 class Tokens:
@@ -213,20 +217,16 @@ def _packed(path: str, keep: bool) -> Callable:
         names: list = []
         ids: dict[int, bytes] = {}
         left: dict[int, int] = {}  # tokens of each document that aren't in a window yet
-        numbers, of_tier, step_of, held, rows = 0, dict.fromkeys(TIERS, 0), {}, 0, []
+        numbers, of_size, held, rows = 0, {}, 0, []
 
         def close(size: int, window: list[Piece]) -> None:
             nonlocal numbers
-            tier = max(TIERS[-1], size)
-            # a step gathers sequences of its tier until it has STEP_TOKENS
-            if tier not in step_of or of_tier[tier] + size > STEP_TOKENS:
-                step_of[tier], of_tier[tier] = first + len(steps_made), 0
-                steps_made.append(tier)
-            of_tier[tier] += size
+            tier, ordinal = max(TIERS[-1], size), of_size.get(size, 0)
+            of_size[size] = ordinal + 1
             offset = 0
             for doc, start, length in window:
                 data = ids[doc]
-                rows.append((names[doc], start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, first + numbers, offset, tier, step_of[tier]))
+                rows.append((names[doc], start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, first + numbers, offset, tier, size, ordinal))
                 offset += length
                 left[doc] -= length
                 if not left[doc]:
@@ -238,7 +238,6 @@ def _packed(path: str, keep: bool) -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 20_000], strict=True), _OUT, strict=True)], schema=_OUT)
             rows.clear()
 
-        steps_made: list[int] = []
         for batch in batches:
             data, offsets = utf8(batch["text"])
             docs = batch["doc_id"].to_pylist()
@@ -270,9 +269,26 @@ def _packed(path: str, keep: bool) -> Callable:
     return run
 
 
+def stepped(pieces: DataFrame) -> DataFrame:
+    """Pieces with step_id in place of size and ordinal; pieces are read twice.
+
+    What is put in order is a row for each task and size (at most twelve sizes), with a window for each size.
+    """
+    task = F.shiftright("sequence_id", 32).alias("task")
+    counts = pieces.groupBy(task, "size").agg(((F.max("ordinal") + 1) * F.col("size")).alias("tokens"))
+    sizes = counts.groupBy(F.col("size").alias("of_size")).agg(F.sum("tokens").alias("all"))
+    longer = sizes.withColumn("longer", F.coalesce(F.sum("all").over(W.orderBy(F.desc("of_size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("all")
+    before = F.coalesce(F.sum("tokens").over(W.partitionBy("size").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = counts.withColumn("before", before).join(longer, F.col("size") == F.col("of_size")).select("task", "size", (F.col("longer") + F.col("before")).alias("begin"))
+    placed = pieces.withColumn("task", task).join(begins, ["task", "size"])
+    step = F.floor((F.col("begin") + F.col("ordinal") * F.col("size")) / STEP_TOKENS).cast("long")
+    return placed.withColumn("step_id", step).select(*(c for c in pieces.columns if c not in ("size", "ordinal")), "step_id")
+
+
 def pack(documents: DataFrame, tokenizer: str, keep: bool = True) -> DataFrame:
-    """A row for each piece of a document: its place in the document, in its sequence, and the sequence's tier and step.
+    """A row for each piece of a document: its place in the document, in its sequence, and the sequence's tier and step. Packs now; the result reads what was written.
 
     keep: whether a worker keeps the tokenizer and what it remembers (some 100 MB) for its next task.
     """
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_packed(tokenizer, keep), SCHEMA)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stepped(staged(texts.mapInArrow(_packed(tokenizer, keep), SCHEMA), "packed"))

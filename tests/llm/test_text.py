@@ -272,6 +272,27 @@ def test_packing_keeps_every_token(docs, texts):
     assert packing.pack(docs.where("false"), path).count() == 0
 
 
+def test_packing_steps_are_balanced(docs, spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "STEP_TOKENS", 4096)
+    rows = packing.pack(docs.repartition(5), path).collect()
+    sizes, step_of, tokens, held = {}, {}, {}, {}
+    for r in rows:
+        assert step_of.setdefault(r.sequence_id, r.step_id) == r.step_id
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    for sequence, step in step_of.items():
+        tokens[step] = tokens.get(step, 0) + sizes[sequence]
+        held.setdefault(step, set()).add(sizes[sequence])
+    assert len({s >> 32 for s in sizes}) == 5 and sorted(tokens) == list(range(len(tokens)))
+    assert {tokens[k] for k in range(len(tokens) - 1)} == {4096} and 0 < tokens[len(tokens) - 1] <= 4096
+    for step in range(1, len(tokens)):
+        assert min(held[step - 1]) >= max(held[step])
+    few = spark.createDataFrame([(1, None), (None, ""), (2, "a b"), (2, "a b")], "doc_id long, text string")
+    assert {r.step_id for r in packing.pack(few, path).collect()} == {0}
+
+
 def test_tokens_of_odd_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
