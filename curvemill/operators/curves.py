@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvemill.operators import nearest
+from curvemill.staging import settled
 
 #: Fixed value: a reference whose y values span no more than this is flat.
 FLAT = 1e-12
@@ -117,9 +118,10 @@ def chamfer(points: DataFrame, found: DataFrame, block: int = nearest.BLOCK) ->
     can hold a nearest point (see nearest).
     """
     units = [F.when(F.col(f"gt_{c}_max") == F.col(f"gt_{c}_min"), 1.0).otherwise(F.col(f"gt_{c}_max") - F.col(f"gt_{c}_min")).alias(f"{c}_range") for c in "xy"]
-    scale = found.select("*", *units)
+    scale = settled(found.select("*", *units))
     short = (F.col("pred_n_points") <= block) & (F.col("gt_n_points") <= block)
-    return _chamfer_at_once(points, scale.where(short)).unionByName(_chamfer_by_blocks(points, scale.where(~short), block))
+    at_once = _chamfer_at_once(points, scale.where(short))
+    return at_once if scale.where(~short).isEmpty() else at_once.unionByName(_chamfer_by_blocks(points, scale.where(~short), block))
 
 
 def _chamfer_by_blocks(points: DataFrame, scale: DataFrame, block: int) -> DataFrame:
