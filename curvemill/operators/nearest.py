@@ -1,10 +1,11 @@
 """Nearest points of one curve to another's, by blocks of points and bounds on their distances.
 
-A curve is cut into blocks of about BLOCK points that lie side by side in x, and blocks into groups, about as many as a
-group has blocks. For a block of the one curve every group of the other has a least and a greatest possible distance,
-from their boxes; a group whose least is above another's greatest can't hold a nearest point of any of the block's
-points. The same decides among the blocks of the groups that are left, and only then points meet. A curve of any length
-is rows of bounded size, so that it takes as many tasks as it needs.
+A curve is cut into columns of equal width in x. A column is cut once more in x where that makes its parts less tall, as
+along a line, else (scattered points) into levels of equal height of its own extent in y; so a block of about BLOCK
+points is small both ways. Blocks side by side are groups, about as many as a group has blocks. For a block of the one curve every group of the other has a least
+and a greatest possible distance, from their boxes; a group whose least is above another's greatest can't hold a nearest
+point of any of the block's points. The same decides among the blocks of the groups that are left, and only then points
+meet. A curve of any length is rows of bounded size, so that it takes as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Points of a block; one where many have the same x may have twice as many, what is more is dealt into several.
+#: Points of a block; one where many lie together may have twice as many, what is more is dealt into several.
 BLOCK = 64
 CURVE = ("figure_id", "role", "curve_id")
 _BOX = ("x0", "x1", "y0", "y1")
@@ -25,10 +26,25 @@ def _boxes(rows: DataFrame, *keys: str) -> DataFrame:
 
 def blocks(points: DataFrame, curves: DataFrame, size: int = BLOCK) -> DataFrame:
     """Blocks of the points of curves (figure_id, role, curve_id, n_points, x_min, x_max): cell, part and group numbers, box and sorted points."""
-    span = F.col("x_max") - F.col("x_min")
-    n = F.ceil(F.col("n_points") / size)
-    cell = F.when((span > 0) & (span < float("inf")), F.least(n - 1, F.floor((F.col("x") - F.col("x_min")) / F.nullif(span, F.lit(0.0)) * n))).otherwise(0).cast("long")
-    placed = points.join(curves.select(*CURVE, "n_points", "x_min", "x_max"), list(CURVE)).select(*CURVE, "ord", "x", "y", cell.alias("cell"), F.floor(cell / F.ceil(F.sqrt(n))).cast("long").alias("group"))
+    wide = F.ceil(F.sqrt(F.ceil(F.col("n_points") / size)))  # columns, and parts of each
+
+    def cut(c: str, low: str, span: Column, n: Column) -> Column:
+        return F.when((span > 0) & (span < float("inf")), F.least(n - 1, F.floor((F.col(c) - F.col(low)) / F.nullif(span, F.lit(0.0)) * n))).otherwise(0).cast("long")
+
+    mine = curves.select(*CURVE, "x_min", (F.col("x_max") - F.col("x_min")).alias("x_span"), wide.alias("wide"))
+    thin = cut("x", "x_min", F.col("x_span"), F.col("wide") * F.col("wide"))
+    columns = points.join(mine, list(CURVE)).select(*CURVE, "ord", "x", "y", "wide", thin.alias("thin"), F.floor(thin / F.col("wide")).alias("column"))
+    parts = columns.groupBy(*CURVE, "column", "thin").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    tall = (F.avg(F.col("high") - F.col("low")) > (F.max("high") - F.min("low")) / 2).alias("tall")
+    extents = parts.groupBy(*CURVE, "column").agg(F.min("low").alias("y_min"), (F.max("high") - F.min("low")).alias("y_span"), tall)
+    level = cut("y", "y_min", F.col("y_span"), F.col("wide"))
+    levels = columns.join(extents, [*CURVE, "column"]).withColumn("level", level)
+    near = F.ceil(F.sqrt("wide"))
+    tile = F.floor(F.col("column") / near) * F.col("wide") + F.floor(F.col("level") / near)
+    # cells and groups of columns cut in x have negative numbers
+    cell = F.when(F.col("tall"), F.col("column") * F.col("wide") + F.col("level")).otherwise(-1 - F.col("thin")).alias("cell")
+    group = F.when(F.col("tall"), tile).otherwise(-1 - F.col("column")).cast("long").alias("group")
+    placed = levels.select(*CURVE, "ord", "x", "y", cell, group)
     # dealt by cell, not by curve, so that a long curve is many tasks' from here on
     dealt = placed.repartition(*CURVE, "cell")
     full = placed.groupBy(*CURVE, "cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * size).select(*(F.col(c).alias(f"{c}_") for c in (*CURVE, "cell")), F.ceil(F.col("n") / size).alias("parts"))

@@ -114,6 +114,15 @@ def test_long_curves_meet_few_blocks(spark):
     assert nearest.meetings(cut, units, "pred", "gt").count() <= 100 * 6
 
 
+def test_blocks_of_scattered_points_meet_few(spark):
+    rng = np.random.default_rng(3)
+    dots = [("f", role, "c", i, float(x), float(y)) for role in ("pred", "gt") for i, (x, y) in enumerate(rng.random((6400, 2)))]
+    pts = spark.createDataFrame(dots, "figure_id string, role string, curve_id string, ord int, x double, y double").cache()
+    cut = nearest.blocks(pts, curves.curve_stats(pts), 64).cache()
+    units = spark.createDataFrame([("f", "c", "c", 1.0, 1.0)], "figure_id string, pred_curve_id string, gt_curve_id string, x_range double, y_range double")
+    assert nearest.meetings(cut, units, "pred", "gt").count() <= 25 * cut.where("role = 'pred'").count()
+
+
 def test_log_scale_spoils_figures_with_other_x(spark):
     pts = points(spark, {"good": pair(((1, 100), (0, 2)), ((1, 10, 100), (0, 1, 2))), "bad": pair(((0, 100), (0, 2)), ((1, 10, 100), (0, 1, 2))), "linear": pair(((0, 1), (0, 1)), ((0, 1), (0, 1)))})
     scales = spark.createDataFrame([("good", "log"), ("bad", "log"), ("linear", "linear")], "figure_id string, x_scale string")
