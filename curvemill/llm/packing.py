@@ -285,10 +285,20 @@ def stepped(pieces: DataFrame) -> DataFrame:
     return placed.withColumn("step_id", step).select(*(c for c in pieces.columns if c not in ("size", "ordinal")), "step_id")
 
 
-def pack(documents: DataFrame, tokenizer: str, keep: bool = True) -> DataFrame:
-    """A row for each piece of a document: its place in the document, in its sequence, and the sequence's tier and step. Packs now; the result reads what was written.
+def stepped_by_task(pieces: DataFrame) -> DataFrame:
+    """Pieces with a step_id that groups a task's sequences of one size, without another pass: a task's last step of each size is short."""
+    index = F.floor(F.col("ordinal") * F.col("size") / STEP_TOKENS)
+    step = F.shiftleft(F.shiftright("sequence_id", 32), 32) + F.log2("size").cast("long") * (1 << 24) + index
+    return pieces.withColumn("step_id", step.cast("long")).drop("size", "ordinal")
+
+
+def pack(documents: DataFrame, tokenizer: str, keep: bool = True, balanced: bool = True) -> DataFrame:
+    """A row for each piece of a document: its place in the document, in its sequence, and the sequence's tier and step.
+
+    balanced: steps over all tasks; packs now, and the result reads what was written. Otherwise steps are a task's own.
 
     keep: whether a worker keeps the tokenizer and what it remembers (some 100 MB) for its next task.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stepped(staged(texts.mapInArrow(_packed(tokenizer, keep), SCHEMA), "packed"))
+    pieces = texts.mapInArrow(_packed(tokenizer, keep), SCHEMA)
+    return stepped(staged(pieces, "packed")) if balanced else stepped_by_task(pieces)

@@ -291,6 +291,11 @@ def test_packing_steps_are_balanced(docs, spark, monkeypatch):
         assert min(held[step - 1]) >= max(held[step])
     few = spark.createDataFrame([(1, None), (None, ""), (2, "a b"), (2, "a b")], "doc_id long, text string")
     assert {r.step_id for r in packing.pack(few, path).collect()} == {0}
+    step_of, tokens = {}, {}
+    for r in packing.pack(docs.repartition(5), path, balanced=False).collect():
+        assert step_of.setdefault(r.sequence_id, r.step_id) == r.step_id and r.step_id >> 32 == r.sequence_id >> 32
+        tokens[r.step_id] = tokens.get(r.step_id, 0) + r.length
+    assert max(tokens.values()) == 4096
 
 
 def test_tokens_of_odd_texts():
