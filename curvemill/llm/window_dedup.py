@@ -12,6 +12,8 @@
    for the earliest document that it has it from, in runs of windows that share an anchor (see ``_repeats``; equal
    windows have equal anchors), as fingerprints of 128 bits from two independent hashes of every word.
 
+A worker lives on from stage to stage, so after each chunk and block it gives the memory of its arrays back.
+
 Nulls and empty texts have no words; documents under 50 words stay whole, as those without doc_id do; rows repeated get
 equal results and meet in one chunk; extra columns are ignored.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvemill.llm import _repeats
-from curvemill.llm._common import grams, spread, steps, utf8, window_min, words_of
+from curvemill.llm._common import grams, rest, spread, steps, utf8, window_min, words_of
 
 #: Words of a window, and of the gram that anchors it.
 WINDOW, GRAM = 50, 8
@@ -132,29 +134,35 @@ def unpacked(wide: bool, data: bytes) -> np.ndarray:
 
 
 def _partition_sketch(sketch: Sketch) -> Callable:
-    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [[np.zeros(0, np.int64)] for _ in range(DEPTH)]
+    def messages(chunk: int, parts: Iterator[pa.RecordBatch]) -> list[tuple]:
+        found, out = [np.zeros(0, np.uint64)], []
         for part in parts:
             data, offsets = utf8(_known(part)["text"])
-            for i, j in steps(offsets):
-                prints = Windows.of(data, offsets[i : j + 1], 1).prints()
-                for row in range(DEPTH):
-                    found[row].append(sketch.cells(prints, row))
-        chunk, out = key[0].as_py(), []
+            found += [Windows.of(data, offsets[i : j + 1], 1).prints() for i, j in steps(offsets)]
+        prints = np.concatenate(found)
+        del found
         for row in range(DEPTH):
-            cells = np.unique(np.concatenate(found[row]))
+            cells = np.unique(sketch.cells(prints, row))
             block = sketch.blocks(cells)
             for a, b in _equal(block):
                 out.append((int(block[a]), chunk, row, *packed(sketch.within(cells[a:b]))))
-        for i in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[i : i + 10_000], strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
+        return out
+
+    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sent(messages(key[0].as_py(), parts), _MESSAGE)
+        rest()
 
     return run
 
 
+def _sent(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), schema, strict=True)], schema=schema)
+
+
 def _merge(sketch: Sketch) -> Callable:
-    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, messages = key[0].as_py(), []
+    def replies(block: int, parts: Iterator[pa.RecordBatch]) -> list[tuple]:
+        messages = []
         total = np.zeros((DEPTH, 1 << (sketch.bits - sketch.block_bits)), np.uint8)
         for part in parts:
             for message in zip(*(part[c].to_pylist() for c in ("chunk", "row", "wide", "cells")), strict=True):
@@ -166,8 +174,11 @@ def _merge(sketch: Sketch) -> Callable:
             twice = total[row, unpacked(wide, data)] > 1
             if twice.any():
                 out.append((chunk, row, block, np.packbits(twice).tobytes()))
-        for i in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out[i : i + 10_000], strict=True), _REPLY, strict=True)], schema=_REPLY)
+        return out
+
+    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sent(replies(key[0].as_py(), parts), _REPLY)
+        rest()
 
     return run
 
@@ -187,7 +198,7 @@ def likely(sketch: Sketch, prints: np.ndarray, replies: dict[tuple[int, int], by
 
 
 def _candidates(sketch: Sketch) -> Callable:
-    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def records(texts: pa.Table, replies: pa.Table) -> pa.Table:
         known = _known(texts)
         data, offsets = utf8(_column(known, "text"))
         ids, dkeys = _column(known, "doc_id").to_numpy(), _column(known, "dkey").to_numpy()
@@ -203,6 +214,11 @@ def _candidates(sketch: Sketch) -> Callable:
         rows = _records(ids, dkeys, *(np.concatenate(x) for x in zip(*found, strict=True))) if found else []
         return pa.Table.from_batches(list(_repeats.record_batches(rows)), schema=_repeats.RECORD_SCHEMA)
 
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        found = records(texts, replies)
+        rest()
+        return found
+
     return run
 
 
@@ -273,6 +289,12 @@ class Compare:
 
 
 def _cut(texts: pa.Table, ranges: pa.Table) -> pa.Table:
+    out = _kept(texts, ranges)
+    rest()
+    return out
+
+
+def _kept(texts: pa.Table, ranges: pa.Table) -> pa.Table:
     data, offsets = utf8(_column(texts, "text"))
     ids, dkeys = texts["doc_id"].to_pylist(), texts["dkey"].to_pylist()
     spans: dict[tuple, list] = {}

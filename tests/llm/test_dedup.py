@@ -2,6 +2,8 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,20 @@ def test_windows_of_many_chunks_and_blocks(docs, texts, monkeypatch):
     assert window_rows(docs) == brute.windows(texts)
 
 
+def test_window_workers_give_memory_back(monkeypatch):
+    """A worker that keeps a chunk's arrays holds them through all later stages."""
+    given, sketch, dealt = [], window_dedup.Sketch.of(100_000), [" ".join(f"w{i % 60}" for i in range(k, k + 90)) for k in range(3)]
+    monkeypatch.setattr(window_dedup, "rest", lambda: given.append(1), raising=False)
+    texts = pa.table({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": dealt, "dkey": pa.array([1, 2, 3], pa.int64())})
+    sent = list(window_dedup._partition_sketch(sketch)((pa.scalar(0),), iter(texts.to_batches())))
+    told = list(window_dedup._merge(sketch)((pa.scalar(0),), iter(sent)))
+    rows = window_dedup._candidates(sketch)(texts, pa.Table.from_batches(told, schema=window_dedup._REPLY))
+    assert rows.num_rows and len(given) == 3
+    decided = rows.filter(pc.equal(rows["kind"], _repeats.DECIDED))
+    kept = window_dedup._cut(texts, decided)
+    assert kept["n_removed"].to_pylist() == [0, 89, 89] and len(given) == 4
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     sketch = window_dedup.Sketch.of(6 * 400_000)
