@@ -64,11 +64,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences; a row for each piece."""
+    """Packs what is left into sequences, grouped into steps of equal tokens over all tasks; a row for each piece."""
     _bounded(spark)
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=False, balanced=False)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -41,8 +41,8 @@ from curvemill.llm._common import rest, spread, staged, steps, utf8
 TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
 #: Pieces of text whose ids a worker remembers at once, and tokens that it packs together.
 REMEMBERED, HELD_TOKENS = 150_000, 4_000_000
-#: Bytes of text that are cut into pieces at a time.
-STEP_BYTES = 2 << 20
+#: Bytes of text that are cut into pieces at a time, and new pieces that the tokenizer gets at a time; small, as a worker's peak is made there.
+STEP_BYTES, LEARNED = 1 << 19, 4_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, size int, ordinal long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("size", pa.int32()), ("ordinal", pa.int64())])
 
@@ -118,8 +118,8 @@ class Tokens:
             else:
                 others.add(piece)
         new = [x for x in words if x not in self.known]
-        for i in range(0, len(new), 20_000):
-            self._learn_words(new[i : i + 20_000])
+        for i in range(0, len(new), LEARNED):
+            self._learn_words(new[i : i + LEARNED])
         self._learn_each([x for x in others if x not in self.known])
         for piece in ended:
             self.known[piece] = self.known[piece[:-1]] + self.known[piece[-1:]]
@@ -137,8 +137,8 @@ class Tokens:
         self.known.update(zip(words, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
 
     def _learn_each(self, pieces: list[bytes]) -> None:
-        for i in range(0, len(pieces), 20_000):
-            some = pieces[i : i + 20_000]
+        for i in range(0, len(pieces), LEARNED):
+            some = pieces[i : i + LEARNED]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
                 self.known[piece] = np.array(found.ids, "<u4").tobytes()
 

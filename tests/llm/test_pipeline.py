@@ -121,3 +121,15 @@ def test_stages_with_null_and_shared_ids(spark, tmp_path):
     assert texts(corpus_pipeline.near_duplicates) == sorted(set(given))
     packed = corpus_pipeline.pack(spark, frame, str(tmp_path))
     assert packed.where("start = 0").count() == len(rows)
+
+
+def test_packed_steps_are_equal_over_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.packing, "STEP_TOKENS", 4096)
+    frame = spark.createDataFrame([(i, " ".join(f"wort{j}" for j in range(i % 700)), "de", "s", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    tokens, tasks = {}, set()
+    for r in corpus_pipeline.pack(spark, frame.repartition(5), str(tmp_path)).collect():
+        tokens[r.step_id] = tokens.get(r.step_id, 0) + r.length
+        tasks.add(r.sequence_id >> 32)
+    last = len(tokens) - 1
+    assert last > 0 and len(tasks) == 5 and sorted(tokens) == list(range(last + 1))
+    assert {tokens[k] for k in range(last)} == {4096} and 0 < tokens[last] <= 4096
