@@ -41,8 +41,10 @@ from curvemill.llm._common import rest, spread, staged, steps, utf8
 TIERS, STEP_TOKENS, END = (2048, 1024, 512, 256), 131072, 1
 #: Pieces of text whose ids a worker remembers at once, and tokens that it packs together.
 REMEMBERED, HELD_TOKENS = 150_000, 4_000_000
-#: Bytes of text that are cut into pieces at a time, and new pieces that the tokenizer gets at a time; small, as a worker's peak is made there.
-STEP_BYTES, LEARNED = 1 << 19, 4_000
+#: Bytes of text that are cut into pieces at a time, and new pieces that the tokenizer gets at a time.
+STEP_BYTES, LEARNED = 2 << 20, 4_000
+#: A worker that keeps nothing for its next task is short of memory: so many times fewer bytes and pieces at once, for more time.
+SPARING = 5
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, size int, ordinal long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("size", pa.int32()), ("ordinal", pa.int64())])
 
@@ -50,7 +52,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.i
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    Remembers pieces in two generations of at most REMEMBERED each; a worker keeps them from task to task. ASCII is
+    Remembers pieces in two generations of about as many as said (REMEMBERED) each; a worker keeps them from task to task. ASCII is
     lowered first, as the tokenizer does it anyway (but where a text may hold a special token, which is told by case),
     and a mark of punctuation after letters or an ASCII digit ends a piece of its own. New pieces of letters only are
     one word to the tokenizer, whose last token says so; they are encoded side by side in one text and cut there.
@@ -58,20 +60,20 @@ class Tokens:
 
     made: ClassVar[dict[str, Tokens]] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.remembered, self.known, self.old = Tokenizer.from_file(path), remembered, {}, {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         self.normalizer = self.tokenizer.normalizer
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
 
     @classmethod
-    def shared(cls, path: str) -> Tokens:
+    def shared(cls, path: str, remembered: int = REMEMBERED) -> Tokens:
         if path not in cls.made:
-            cls.made[path] = cls(path)
+            cls.made[path] = cls(path, remembered)
         return cls.made[path]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
@@ -103,7 +105,7 @@ class Tokens:
             self.made.clear()
 
     def _learn(self, wanted: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.old = {}, self.known
         ended, words, others = [], set(), set()
         for piece in wanted:
@@ -212,7 +214,8 @@ class Packer:
 
 def _packed(path: str, keep: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = Tokens.shared(path), Packer()
+        less = 1 if keep else SPARING
+        tokens, packer = Tokens.shared(path, REMEMBERED // less), Packer()
         first = TaskContext.get().partitionId() << 32
         names: list = []
         ids: dict[int, bytes] = {}
@@ -241,7 +244,7 @@ def _packed(path: str, keep: bool) -> Callable:
         for batch in batches:
             data, offsets = utf8(batch["text"])
             docs = batch["doc_id"].to_pylist()
-            for i, j in steps(offsets, STEP_BYTES):
+            for i, j in steps(offsets, STEP_BYTES // less):
                 texts = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
                 for name, found in zip(docs[i:j], tokens.of(texts), strict=True):
                     doc, n = len(names), len(found) // 4
