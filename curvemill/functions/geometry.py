@@ -54,7 +54,8 @@ def hue(r: Column, g: Column, b: Column) -> Column:
     def degrees(v: Column, shade: Column) -> Column:
         top = (F.array_position(v, F.array_max(v)) - 1).cast("int")
         part = (2.0 * top + F.get(shade, F.pmod(top + 2, F.lit(3)))) - F.get(shade, F.pmod(top + 1, F.lit(3)))
-        return F.pmod(part / 6.0, F.lit(1.0)) * 360.0
+        # around the circle before it is cut to a turn: a sixth of a negative part rounds to another side of 340
+        return F.pmod(F.pmod(part, F.lit(6.0)) / 6.0, F.lit(1.0)) * 360.0
 
     return F.get(F.transform(F.array(level), lambda v: F.get(F.transform(F.array(shades(v)), lambda shade: degrees(v, shade)), F.lit(0))), F.lit(0))
 

@@ -68,6 +68,19 @@ def test_hues(spark):
     assert values(spark, geometry.coloured(*rgb), [(200, 200, 200), (255, 0, 0), (250, 240, 245), (10, 50, 10), (10, 51, 10)], "r int, g int, b int") == [False, True, False, False, True]
 
 
+def test_hues_at_the_edge_of_red(spark):
+    """Shades of exactly 340 degrees are rounded as the reference and the SQL do: around the circle first."""
+    rows = [(155, 113, 127), (233, 155, 181), (60, 0, 20), (255, 0, 85), (255, 0, 0), (255, 0, 1)]
+    found = values(spark, geometry.hue_name(geometry.hue(*(F.col(c) for c in "rgb"))), rows, "r int, g int, b int")
+
+    def want(r, g, b):
+        most, least = max(r, g, b) / 255, min(r, g, b) / 255
+        degrees = ((most - b / 255) / (most - least) - (most - g / 255) / (most - least)) % 6 / 6 % 1 * 360
+        return "red" if degrees >= 340 or degrees < 20 else "purple"
+
+    assert found[:2] == ["purple", "purple"] and found == [want(*row) for row in rows]
+
+
 def test_responses(spark):
     good = '{"series": [{"label": "a", "x": [1, 2], "y": [3, 4]}, {"label": "b", "x": [1], "y": [1, 2]}, {"label": "c", "x": [], "y": []}]}'
     rows = [(good,), (f"```json\n{good}\n```",), (f" ```\n{good}```\n",), ("nothing",), ('{"other": 1}',), (None,)]
