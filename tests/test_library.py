@@ -51,6 +51,15 @@ def test_tracing_a_diagonal(spark):
     assert known.count() == 44
 
 
+def test_tracing_counts_shades_at_the_edge_of_red(spark):
+    """A series of 15 pixels, one of which is of exactly 340 degrees, which is rounded to purple."""
+    shades = [(160, 0, 255)] * 14 + [(155, 113, 127)]
+    pixels = spark.createDataFrame([("i", n % 3, n, *rgb) for n, rgb in enumerate(shades)], "image_id string, x int, y int, r int, g int, b int")
+    axes = spark.createDataFrame([("i", 0.0, 3.0, 0.0, 15.0, "linear", "linear")], "image_id string, x_lo double, x_hi double, y_lo double, y_hi double, x_scale string, y_scale string")
+    found = sorted((r.series_label, r.px, round(r.x, 6), round(r.y, 6)) for r in tracing.traced(pixels, axes).collect())
+    assert found == [("purple", 0, 0.0, 9.0), ("purple", 1, 1.0, 8.0), ("purple", 2, 2.0, 7.0)]
+
+
 def test_manifest(spark):
     papers = spark.createDataFrame([("p1", "REDISTRIBUTABLE"), ("p2", "EXCLUDED"), ("p3", "REDISTRIBUTABLE")], "paper_id string, license_status string")
     rows = spark.createDataFrame([("p1", "f2", "2(a)", 1), ("p1", "f1", "1", 2), ("p1", "f2", "late", 3), ("p2", "f9", "9", 4)], "paper_id string, figure_id string, figure_name string, ord long")
