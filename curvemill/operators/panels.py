@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curvemill.staging import settled
+
 #: Tunables of the grid and their defaults.
 DEFAULTS = {"background": 245, "gutter": 0.98, "min_gutter": 3, "min_content": 0.02, "max_panels": 26, "min_size": 0.05, "min_runs": 4, "max_cv": 0.3}
 
@@ -53,12 +55,12 @@ def bands(shares: DataFrame, gutter: float = 0.98, min_gutter: int = 3, keys: tu
     return grouped.where("not gap").groupBy(*keys, "_band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_band")
 
 
-def sized_bands(pixels: DataFrame, axis: str, options: dict) -> DataFrame:
-    """Bands along an axis that are wide enough, with their index, and how many there are."""
-    found = bands(profile(pixels, axis, options["background"]), options["gutter"], options["min_gutter"])
-    length = pixels.groupBy("image_id").agg((F.max(axis) + 1).alias("length"))
-    kept = found.join(length, "image_id").where(F.col("hi") - F.col("lo") >= options["min_size"] * F.col("length"))
-    one = W.partitionBy("image_id")
+def sized_bands(profiles: DataFrame, lengths: DataFrame, options: dict) -> DataFrame:
+    """Bands of profiles (image_id, axis, i, share) that are wide enough for their axis (image_id, axis, length), with their index, and how many there are."""
+    keys = ["image_id", "axis"]
+    found = bands(profiles, options["gutter"], options["min_gutter"], tuple(keys))
+    kept = found.join(lengths, keys).where(F.col("hi") - F.col("lo") >= options["min_size"] * F.col("length"))
+    one = W.partitionBy(*keys)
     return kept.withColumn("index", F.row_number().over(one.orderBy("lo")) - 1).withColumn("n", F.count("*").over(one)).drop("length")
 
 
@@ -88,12 +90,17 @@ def panel_grid(pixels: DataFrame, **changes: float) -> DataFrame:
     A cell of a row band and a column band counts if it has content and doesn't look like lines of text. With none
     or too many of them the image is one panel. Labels are dense in reading order; row and col number the bands. Images
     are complete: every x and y up to the largest has a pixel.
+
+    Profiles, bands and lines of cells are each used in several places, so they are computed once and kept; in one plan
+    all that they come from would be repeated at each of these places.
     """
     o = DEFAULTS | changes
-    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    rows, cols = (sized_bands(pixels, a, o).select("image_id", *(F.col(c).alias(f"{a}_{c}") for c in ("lo", "hi", "index", "n"))) for a in ("y", "x"))
+    profiles = settled(profile(pixels, "y", o["background"]).withColumn("axis", F.lit("y")).unionByName(profile(pixels, "x", o["background"]).withColumn("axis", F.lit("x"))))
+    lengths = profiles.groupBy("image_id", "axis").agg((F.max("i") + 1).alias("length"))
+    banded = settled(sized_bands(profiles, lengths, o))
+    rows, cols = (banded.where(F.col("axis") == a).select("image_id", *(F.col(c).alias(f"{a}_{c}") for c in ("lo", "hi", "index", "n"))) for a in ("y", "x"))
     grid_of = rows.select("image_id", "y_n").distinct().join(cols, "image_id").where("x_n > 1 or y_n > 1").drop("y_n", "x_n")
-    lines = _line_counts(pixels.select("image_id", "x", "y", (F.col("lum") < o["background"]).alias("content")), rows.drop("y_n"), grid_of)
+    lines = settled(_line_counts(pixels.select("image_id", "x", "y", (F.col("lum") < o["background"]).alias("content")), rows.drop("y_n"), grid_of))
     keys = ["image_id", "y_index", "x_index"]
     filled = lines.groupBy(*keys, "y_lo", "y_hi", "x_lo", "x_hi").agg((F.sum("n_content") / F.sum("n_line")).alias("share")).where(F.col("share") >= o["min_content"])
     texture = run_variation(lines.select(*keys, "i", ((F.col("n_line") - F.col("n_content")) / F.col("n_line") < o["gutter"]).alias("content")), keys)
@@ -101,9 +108,10 @@ def panel_grid(pixels: DataFrame, **changes: float) -> DataFrame:
     one = W.partitionBy("image_id")
     panels = panels.withColumn("n_panels", F.count("*").over(one)).where(F.col("n_panels") <= o["max_panels"])
     labelled = panels.withColumn("label", F.chr(96 + F.row_number().over(one.orderBy("y_index", "x_index"))))
-    grid = labelled.select("image_id", "label", F.col("y_index").alias("row"), F.col("x_index").alias("col"), F.col("x_lo").alias("x0"), F.col("y_lo").alias("y0"), F.col("x_hi").alias("x1"), F.col("y_hi").alias("y1"))
-    whole = size.join(grid.select("image_id").distinct(), "image_id", "left_anti").select("image_id", F.lit("a").alias("label"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("w").alias("x1"), F.col("h").alias("y1"))
-    return grid.unionByName(whole)
+    size = lengths.groupBy("image_id").agg(*(F.max(F.when(F.col("axis") == a, F.col("length"))).alias(c) for a, c in (("x", "w"), ("y", "h"))))
+    # an image without a panel is one
+    box = {"label": ("label", F.lit("a")), "row": ("y_index", F.lit(0)), "col": ("x_index", F.lit(0)), "x0": ("x_lo", F.lit(0)), "y0": ("y_lo", F.lit(0)), "x1": ("x_hi", F.col("w")), "y1": ("y_hi", F.col("h"))}
+    return size.join(labelled, "image_id", "left").select("image_id", *(F.coalesce(c, whole).alias(name) for name, (c, whole) in box.items()))
 
 
 def cropped(pixels: DataFrame, panels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvemill.operators import panels
+from curvemill.plans import catalog
 
 
 @pytest.mark.parametrize("segment", [1, 2, 5, 64, 4096])
@@ -25,3 +26,10 @@ def test_runs_in_segments(spark, segment):
             at += n
     got = [(r.image_id, r.flag, r.lo, r.hi) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["panel_grid"])
+def test_plans_stay_small(spark, name):
+    """What a grid comes from isn't repeated at each place where it is used: the driver holds such plans in many versions."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 12
