@@ -123,6 +123,21 @@ def test_blocks_of_scattered_points_meet_few(spark):
     assert nearest.meetings(cut, units, "pred", "gt").count() <= 25 * cut.where("role = 'pred'").count()
 
 
+def test_dense_and_equal_points_meet_few(spark):
+    """Points that lie ever denser towards the bottom, each of them four times."""
+    rng = np.random.default_rng(4)
+    curves_of = {role: np.repeat(np.stack([rng.random(1600), rng.exponential(0.1, 1600)], axis=1), 4, axis=0) for role in ("pred", "gt")}
+    dots = [("f", role, "c", i, float(x), float(y)) for role, of in curves_of.items() for i, (x, y) in enumerate(of)]
+    pts = spark.createDataFrame(dots, "figure_id string, role string, curve_id string, ord int, x double, y double").cache()
+    cut = nearest.blocks(pts, curves.curve_stats(pts), 16).cache()
+    units = spark.createDataFrame([("f", "c", "c", 1.0, 1.0)], "figure_id string, pred_curve_id string, gt_curve_id string, x_range double, y_range double")
+    compared = nearest.meetings(cut, units, "pred", "gt").agg(F.sum(F.size("own") * F.size("others"))).first()[0]
+    assert compared <= 6400 * 200
+    pred, gt = (curves_of[role] for role in ("pred", "gt"))
+    want = np.hypot(*(pred[:, None, k] - gt[None, :, k] for k in (0, 1))).min(axis=1).mean()
+    assert nearest.nearest_means(cut, units, "pred", "gt").first()["mean"] == pytest.approx(want)
+
+
 def test_log_scale_spoils_figures_with_other_x(spark):
     pts = points(spark, {"good": pair(((1, 100), (0, 2)), ((1, 10, 100), (0, 1, 2))), "bad": pair(((0, 100), (0, 2)), ((1, 10, 100), (0, 1, 2))), "linear": pair(((0, 1), (0, 1)), ((0, 1), (0, 1)))})
     scales = spark.createDataFrame([("good", "log"), ("bad", "log"), ("linear", "linear")], "figure_id string, x_scale string")
