@@ -28,7 +28,7 @@ def test_runs_in_segments(spark, segment):
     assert len(got) == len(want) and set(got) == want
 
 
-@pytest.mark.parametrize("name", ["panel_grid", "panel_crop", "panel_histogram", "panel_rates", "panel_sample"])
+@pytest.mark.parametrize("name", ["panel_grid", "panel_crop", "panel_histogram", "panel_rates", "panel_sample", "sample_half"])
 def test_plans_stay_small(spark, name):
     """What a grid comes from isn't repeated at each place where it is used: the driver holds such plans in many versions."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
